@@ -4,15 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sharding, simhash
+from . import bpe, langid, secret_scan, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All secrets of every document, judged by how many sources hold the same value.
+
+    A source stands for an owner; a source's documents of one language for a repository.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    repo = F.concat_ws("/", "source", "lang")
+    return secret_scan.digest(secret_scan.scan_secrets(docs, repo=repo, owner="source"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 contiguous shards of near-equal bytes."""
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), shards=16)
@@ -23,9 +35,24 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every whole text by the 50k rank file."""
+    return bpe.round_trip_digests(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by rank-order profiles."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": op1_secret_scans,
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op10_language_id": op10_language_id,
 }
 
 #: SQL has no CRC-32, XXH64, tokenizers or archives: these operators are tested against
