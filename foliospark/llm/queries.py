@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, secret_scan, sharding, simhash, zip_warc
+from . import bpe, decontaminate, langid, pq_dedup, secret_scan, sharding, simhash, token_rollup, token_store, zip_warc
+from .common import materialize, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,43 @@ def op6_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in shards, read back through the perfect hash index."""
+    return token_store.round_trip(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    )
+
+
+def op8_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all vectors at cosine 0.95."""
+    return pq_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of the corpus without exact copies, kept up by four batches.
+
+    The first loads all documents counted by one tokenizer version, the second counts
+    them by another, the third deletes all but the first of equal texts, and the fourth
+    is the third sent again, which changes nothing.
+    """
+    versions = {v: public_tokenizers.path(f"{v}.tiktoken") for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    counted = token_rollup.with_token_counts(docs, "n", versions, public_tokenizers.PATTERN)
+    counted = materialize(
+        counted.select("doc_id", "source", "lang", "n", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")), "token-counts"
+    )
+    rollup = token_rollup.Rollup(spark, new_path(spark, "rollup"))
+    by = lambda df, v: df.select("source", "lang", F.lit(v).alias("version"), F.col("n")[v].alias("n_tokens"))
+    for v in versions:
+        rollup.commit(f"load-{v}", token_rollup.inserts(by(counted, v)))
+    first = counted.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    copies = counted.join(first.drop("copies"), "sha").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    gone = by(copies, "byte_bpe_50k").unionByName(by(copies, "byte_bpe_multi_50k"))
+    for _ in range(2):
+        rollup.commit("exact-copies", token_rollup.deletes(gone))
+    return rollup.totals()
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document by rank-order profiles."""
     return langid.identify(_table(spark, sf_dir, "documents"))
@@ -65,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_decontamination": op5_decontamination,
     "op6_zip_warc": op6_zip_warc,
+    "op7_token_store": op7_token_store,
+    "op8_pq_dedup": op8_pq_dedup,
+    "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
 }
 
