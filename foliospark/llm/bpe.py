@@ -164,31 +164,28 @@ def codec(rank_path: str, pattern: str, cache_entries: int = CACHE_ENTRIES) -> C
 
 
 def with_ids(docs: DataFrame, out: str, rank_path: str, pattern: str, *, text: str = "text") -> DataFrame:
-    """``docs`` with the binary column ``out``: each text's ids, 4 little-endian bytes each."""
+    """``docs`` with the column ``out``: ``struct<ids, n_tokens, exact>`` of each whole text.
+
+    ``ids`` is binary, 4 little-endian bytes an id; ``exact`` says that they decode to the
+    text. Null texts are empty.
+    """
     ship(docs.sparkSession)
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<ids:binary,n_tokens:bigint,exact:boolean>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(rank_path, pattern)
         for batch in batches:
-            yield pa.array((c.encode(t.as_py() or "") for t in batch), pa.binary(), size=len(batch))
+            texts = [t.as_py() or "" for t in batch]
+            ids = [c.encode(t) for t in texts]
+            exact = [c.decode(i) == t.encode("utf-8", "surrogatepass") for i, t in zip(ids, texts)]
+            yield pa.StructArray.from_arrays(
+                [pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(exact, pa.bool_())],
+                names=["ids", "n_tokens", "exact"],
+            )
 
     return docs.withColumn(out, encode.asNondeterministic()(F.col(text)))
 
 
-def with_bytes(docs: DataFrame, out: str, ids: str, rank_path: str, pattern: str) -> DataFrame:
-    """``docs`` with the binary column ``out``: the bytes that the column ``ids`` stands for."""
-    ship(docs.sparkSession)
-
-    @F.arrow_udf("binary")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        c = codec(rank_path, pattern)
-        for batch in batches:
-            yield pa.array((c.decode(i.as_py() or b"") for i in batch), pa.binary(), size=len(batch))
-
-    return docs.withColumn(out, decode.asNondeterministic()(F.col(ids)))
-
-
 def round_trip_digests(
     docs: DataFrame, rank_path: str, pattern: str, *, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:

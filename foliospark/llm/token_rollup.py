@@ -5,10 +5,11 @@ a small signed table: an insert adds a document and its tokens, a delete takes t
 a revision adds the difference of two counts. A batch's changes are aggregated by group
 before they are stored, so a store grows with batches and groups, not with documents.
 
-A batch counts once its commit file exists. The file is created exclusively, after the
-batch's data are written, and names them: a batch that fails leaves data nobody reads,
-and one that is sent again, or by two writers, changes nothing. Compaction is a commit
-that replaces those it lists.
+A batch counts once its commit file exists. That file names the batch's data, is written
+aside after them and renamed to the batch's name, which fails if the name is taken: a
+batch that breaks off leaves data nobody reads, and one that is sent again changes
+nothing. Where a rename is not atomic (object stores) one writer at a time may commit.
+Compaction is a commit that replaces those it lists.
 """
 
 from __future__ import annotations
