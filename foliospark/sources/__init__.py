@@ -1,0 +1 @@
+"""Readers of lines, tables of contents, libraries and evaluation sets."""

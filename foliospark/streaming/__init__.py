@@ -1,0 +1 @@
+"""Stateful sentence segmentation and incremental ingest."""
