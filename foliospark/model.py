@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 UNKNOWN = "Unknown"
 LEGACY_MATTER = "Front/Back Matter"
 
-LINES = T.StructType.fromDDL("book_title string, line_no bigint, page_number int, text string, size double")
-TOC = T.StructType.fromDDL("book_title string, pos int, level int, title string, start_page int")
-CHAPTERS = T.StructType.fromDDL("book_title string, pos int, title string, start_page int, end_page int, level int")
-CHUNK_WIRE = T.StructType.fromDDL(
+LINES = "book_title string, line_no bigint, page_number int, text string, size double"
+TOC = "book_title string, pos int, level int, title string, start_page int"
+CHAPTERS = "book_title string, pos int, title string, start_page int, end_page int, level int"
+CHUNK_WIRE = (
     "chunk_id string, text string, metadata struct<book_title: string, chapter: string, section: string, "
     "page_number: int, chunk_index_on_page: int>"
 )
-EXTRACTION = T.StructType.fromDDL(
+EXTRACTION = (
     "terms array<struct<term: string, definition: string>>, "
     "relations array<struct<source: string, relation: string, target: string>>"
 )
-EVAL_SET = T.StructType.fromDDL("id string, question string, ground_truth_answer string, ground_truth_chunk_id string")
+EVAL_SET = "id string, question string, ground_truth_answer string, ground_truth_chunk_id string"
 
 #: Retrieval defaults.
 CANDIDATE_DEPTH = 20
