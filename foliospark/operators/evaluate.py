@@ -98,10 +98,12 @@ def generated_questions(chunks: DataFrame, *, limit: int | None = 20) -> DataFra
 def sample_spread(chunks: DataFrame, *, n: int = 10) -> DataFrame:
     """``n`` chunks of each book, spread over it by page: every (count // n)-th from the first."""
     order = Window.partitionBy("book_title").orderBy("page_number", "corpus_pos")
-    counted = chunks.withColumn("_rn", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("book_title")))
+    narrow = chunks.select("book_title", "chunk_id", "page_number", "corpus_pos")  # a large book is sorted without its texts
+    counted = narrow.withColumn("_rn", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("book_title")))
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / F.least(F.lit(n), F.col("_n")))).cast("int")
     kept = counted.where((F.col("_rn") % step == 0) & (F.col("_rn") / step < n)) if n > 0 else counted.where(F.lit(False))
-    return kept.withColumn("nth", (F.col("_rn") / step).cast("int")).drop("_rn", "_n")
+    picked = kept.select("book_title", "chunk_id", "corpus_pos", (F.col("_rn") / step).cast("int").alias("nth"))
+    return chunks.join(picked, ["book_title", "chunk_id", "corpus_pos"])
 
 
 def report(row: dict, *, when: str) -> str:

@@ -16,7 +16,7 @@ from .sizes import broadcast_if_small
 
 def body_size(lines: DataFrame) -> DataFrame:
     """``book_title, body_size``: the size of most lines; ties go to the size seen first."""
-    counted = lines.groupBy("book_title", "size").agg(F.count("*").alias("n"), F.min("line_no").alias("first"))
+    counted = lines.groupBy("book_title", "size").agg(F.count("*").alias("n"), F.min(F.struct("page_number", "line_no")).alias("first"))
     return counted.groupBy("book_title").agg(F.min_by("size", F.struct((-F.col("n")).alias("n"), "first")).alias("body_size"))
 
 
@@ -64,16 +64,20 @@ def toc_ranges(toc: DataFrame, pages: DataFrame) -> DataFrame:
     """``book_title, pos, title, start_page, end_page, level`` of TOC entries.
 
     An entry ends on the page before the next entry at its own or a shallower level, or
-    with the book (``pages``: ``book_title, n_pages``), but never before it starts. Each
-    entry looks ahead in its own book's contents only.
+    with the book (``pages``: ``book_title, n_pages``), but never before it starts: one
+    window for each level that occurs, no look-up of every pair.
     """
-    entries = toc.groupBy("book_title").agg(F.array_sort(F.collect_list(F.struct("pos", "level", "start_page"))).alias("_all"))
-    joined = toc.join(entries, "book_title").join(pages, "book_title", "left")
-    later = F.filter("_all", lambda e: (e["pos"] > F.col("pos")) & (e["level"] <= F.col("level")))
-    end = F.coalesce(F.get(later, F.lit(0))["start_page"] - 1, F.col("n_pages"))
-    return joined.select(
-        "book_title", "pos", "title", "start_page", F.greatest(end, F.col("start_page")).alias("end_page"), "level"
-    )
+    levels = sorted(r[0] for r in toc.select("level").distinct().collect())  # a TOC's depth
+    ahead = Window.partitionBy("book_title").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    following = F.lit(None).cast("int")
+    for level in levels:
+        start = F.first(F.when(F.col("level") <= level, F.col("start_page")), ignorenulls=True).over(ahead)
+        following = F.when(F.col("level") == level, start).otherwise(following)
+    ended = toc.withColumn("_next", following).join(pages, "book_title", "left")
+    return ended.select(
+        "book_title", "pos", "title", "start_page",
+        F.greatest(F.coalesce(F.col("_next") - 1, "n_pages"), F.col("start_page")).alias("end_page"), "level",
+    )
 
 
 def heading_ranges(levelled: DataFrame, pages: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def text_lines(documents: DataFrame, *, book: str | Column = "source", page: str
     line without a full stop is a heading: up to 40 characters 16, up to 80 13, else 10.
     """
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
-    default = lambda t: F.when(t.rlike(r"[.!?]$"), 10.0).when(F.length(t) <= 40, 16.0).when(F.length(t) <= 80, 13.0).otherwise(10.0)
+    default = lambda t: F.when(F.right(t, F.lit(1)).isin(".", "!", "?"), 10.0).when(F.length(t) <= 40, 16.0).when(F.length(t) <= 80, 13.0).otherwise(10.0)
     lines = documents.select(
         as_col(book).alias("book_title"), as_col(page).cast("int").alias("page_number"), F.posexplode(F.split(text, "\n")).alias("line_no", "text")
     ).withColumn("text", F.trim("text"))

@@ -90,7 +90,7 @@ class _Segmenter(StatefulProcessor):
             self.state.clear()
         else:
             self.state.update((buffer, expected, emitted + len(out), json.dumps(waiting)))
-        yield pd.DataFrame({"stream_id": [key[0]] * len(out), "sentence_no": range(emitted, emitted + len(out)), "sentence": out})
+        yield pd.DataFrame({"stream_id": [key[0]] * len(out), "sentence_no": range(emitted, emitted + len(out)), "sentence": pd.Series(out, dtype=object)})
 
     def close(self) -> None:
         pass
