@@ -77,7 +77,7 @@ def members(f, size: int) -> list[Member]:
     """The central directory, by way of the ZIP64 records if the end record refers to them."""
     tail_at = max(0, size - 65557)
     tail = read_range(f, tail_at, size - tail_at)
-    end = tail.rfind(b"PK\x05\x06")
+    end = tail.rfind(b"PK\x05\x06", 0, max(0, len(tail) - 18))  # the record has 22 bytes
     while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
         end = tail.rfind(b"PK\x05\x06", 0, end)  # the signature may stand in a comment
     if end < 0:
