@@ -13,6 +13,8 @@ import base64
 import hashlib
 import re
 import struct
+import sys
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,13 +27,16 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-#: Entries that a worker's caches of chunks and of pre-tokens hold before they are emptied.
+#: Pieces that a worker's cache holds before it is emptied, at some 200 bytes each.
 CACHE_ENTRIES = 400_000
+_LITTLE = sys.byteorder == "little"
+#: A character that is no letter, number or white space, and stays so: for private use.
+_SYMBOL = chr(0xE000)
 #: White space as Unicode has it, which is what ``\s`` stands for in rank files' patterns.
 WHITE_SPACE = r"\t-\r\x20\x85\xa0" + "".join(
     map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
-#: A space before something that may be white space: there, text is not cut into chunks.
+#: A space before something that may be white space: there, text is not cut into pieces.
 _UNSAFE = re.compile(r" (?=[\s\x1c-\x1f\x85])")
 _CUT = re.compile(r" (?![\s\x1c-\x1f\x85])")
 
@@ -86,14 +91,13 @@ def serialize_model(ranks: dict[bytes, int]) -> bytes:
     return b"".join(out) + _field(2, trainer) + _field(3, normalizer)
 
 
-def chunks_of(text: str) -> list[str]:
-    """``text`` in pieces at whose borders every pre-token ends.
+def pieces_of(text: str) -> list[str]:
+    """``text`` cut at single spaces, which are left out, where every pre-token ends.
 
-    A cut is made before a space that something other than white space follows. There
-    a pre-token begins whatever stands before, so pieces can be encoded apart.
+    A cut is made at a space that something other than white space follows. There a
+    pre-token begins whatever stands before, so the pieces can be encoded apart.
     """
-    parts = text.split(" ") if not _UNSAFE.search(text) else _CUT.split(text)
-    return [parts[0], *[" " + p for p in parts[1:]]]
+    return text.split(" ") if not _UNSAFE.search(text) else _CUT.split(text)
 
 
 class _Cache(dict):
@@ -103,40 +107,92 @@ class _Cache(dict):
         self.compute, self.limit = compute, limit
 
     def __missing__(self, k):
+        v = self.compute(k)
         if len(self) >= self.limit:
             self.clear()
-        self[k] = v = self.compute(k)
+        self[k] = v
         return v
 
 
-class Codec:
-    """Encodes texts to ids and back, by the pre-tokens of ``pattern``."""
+@lru_cache(maxsize=1)
+def recent_characters() -> str:
+    """Letters and numbers by :mod:`regex` that Python's own, older tables do not have yet."""
+    every = "".join(chr(i) for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Cn")
+    return "".join(regex.findall(r"[\p{L}\p{N}]", every))
+
+
+class PieceEncoder:
+    """Encodes texts piece by piece; a subclass encodes a pre-token.
+
+    Most pieces are one pre-token with its space. Others are put together from their
+    pre-tokens, of which those with a space are pieces themselves.
+    """
+
+    def __init__(self, pattern: str, cache_entries: int):
+        self.pattern = regex.compile(unicode_white_space(pattern))
+        self.strange = frozenset(recent_characters()) - self._known(recent_characters())
+        self.shown = byte_characters()
+        self.pieces = _Cache(self._encode_piece, cache_entries)
+        self.others = _Cache(self._encode_word, max(1, cache_entries // 5))
+
+    def _encode_word(self, word: str) -> bytes:
+        raise NotImplementedError
+
+    def _known(self, characters: str) -> set[str]:
+        """Which of the characters the library to agree with takes for letters or numbers."""
+        raise NotImplementedError
+
+    def _words(self, text: str) -> list[str]:
+        """Pre-tokens; letters too new for the library are split as it does, like symbols."""
+        if text.isascii() or self.strange.isdisjoint(text):
+            return self.pattern.findall(text)
+        alike = "".join(_SYMBOL if c in self.strange else c for c in text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(alike)]
+
+    def _mapped(self, word: str) -> str:
+        if word.isascii() and word[1:].isalnum():  # of these only the space has another character
+            return word.replace(" ", self.shown[32])
+        return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
+
+    def _encode_piece(self, piece: str) -> bytes:
+        words = self._words(" " + piece)
+        return self._encode_word(words[0]) if len(words) == 1 else self._joined(words)
+
+    def _joined(self, words: list[str]) -> bytes:
+        pieces, others = self.pieces, self.others
+        return b"".join([pieces[w[1:]] if w[0] == " " else others[w] for w in words])
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, end to end, little-endian."""
+        head, *rest = pieces_of(text)
+        return self._joined(self._words(head)) + b"".join(map(self.pieces.__getitem__, rest))
+
+
+class Codec(PieceEncoder):
+    """Encodes texts to ids of 32 bits and back, by the pre-tokens of ``pattern``."""
 
     def __init__(self, rank_path: str, pattern: str, cache_entries: int = CACHE_ENTRIES):
+        super().__init__(pattern, cache_entries)
         ranks = load_ranks(rank_path)
-        self.pattern = regex.compile(unicode_white_space(pattern))
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialize_model(ranks))
         self.table = [b""] * len(ranks)
         for token, rank in ranks.items():
             self.table[rank] = token
-        self.shown = byte_characters()
-        self.words = _Cache(self._encode_word, cache_entries)
-        self.chunks = _Cache(self._encode_chunk, cache_entries)
 
-    def _encode_word(self, word: str) -> bytes:
-        mapped = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
-        return np.asarray(self.model.encode(mapped), "<u4").tobytes()
+    def _known(self, characters: str) -> set[str]:
+        import tiktoken
 
-    def _encode_chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(chunk)))
+        one = {bytes([b]): b for b in range(256)}
+        letters = tiktoken.Encoding("letters", pat_str=r"\p{L}|\p{N}", mergeable_ranks=one, special_tokens={})
+        return set(letters.decode(letters.encode_ordinary(characters)))  # what does not match is left out
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.chunks.__getitem__, chunks_of(text)))
+    def _encode_word(self, word: str) -> bytes:
+        ids = self.model.encode(self._mapped(word))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of which :meth:`encode` made ``ids``."""
-        return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.table.__getitem__, memoryview(ids).cast("I") if _LITTLE else np.frombuffer(ids, "<u4").tolist()))
 
 
 def unicode_white_space(pattern: str) -> str:
