@@ -83,11 +83,13 @@ def _by_length(block: list) -> dict[int, tuple[list[int], np.ndarray]]:
 
 
 def _keep_best(kept: dict, asked: dict, rows: pa.RecordBatch, depth: int, digits: int) -> None:
+    """Merge the best ``depth`` of some rows into each query's list; filters are compared as whole columns."""
     block = asked[-1][0]
     lengths = np.array([len(v) for v in rows.column("embedding")])
     pos = rows.column("corpus_pos").to_numpy(zero_copy_only=False)
-    ids = rows.column("chunk_id").to_pylist()
-    books, chapters = rows.column("book_title").to_pylist(), rows.column("chapter").to_pylist()
+    ids = rows.column("chunk_id")
+    named = {c: np.array(rows.column(c).to_pylist(), object) for c in ("book_title", "chapter")}
+    masks: dict[tuple, np.ndarray] = {}
     for n, (own, matrix) in asked.items():
         at = np.flatnonzero(lengths == n)
         if n < 0 or not len(at):
@@ -95,11 +97,17 @@ def _keep_best(kept: dict, asked: dict, rows: pa.RecordBatch, depth: int, digits
         v = rows.column("embedding").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), n)
         score = np.round(matrix @ v.T, digits)
         for j, i in enumerate(own):
-            _, _, book, chapter = block[i]
-            some = [k for k in range(len(at)) if (book is None or books[at[k]] == book) and (chapter is None or chapters[at[k]] == chapter)] if book is not None or chapter is not None else range(len(at))
-            some = np.fromiter(some, np.int64)
+            some = np.arange(len(at))
+            for column, wanted in zip(("book_title", "chapter"), block[i][2:4]):
+                if wanted is not None:
+                    if (column, wanted) not in masks:
+                        masks[column, wanted] = named[column] == wanted
+                    some = some[masks[column, wanted][at[some]]]
+            if len(some) > depth:  # rows below the cut's score cannot be among the best; ties stay
+                s = score[j, some]
+                some = some[s >= np.partition(s, len(s) - depth)[len(s) - depth]]
             order = some[np.lexsort((pos[at[some]], -score[j, some]))[:depth]]
-            new = [(-score[j, k], int(pos[at[k]]), ids[at[k]]) for k in order]
+            new = [(-score[j, k], int(pos[at[k]]), ids[int(at[k])].as_py()) for k in order]
             kept[i] = sorted(kept.get(i, []) + new)[:depth]
 
 

@@ -71,7 +71,7 @@ routes AS (SELECT q.query_id, CASE WHEN second = 0 OR top >= 1.5 * second THEN b
 LINES = """
 cut AS (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
 lines AS (SELECT 'doc' || doc_id AS book_title, line_no, line_no // 10 + 1 AS page_number, trim(raw) AS text,
-  CASE WHEN right(trim(raw), 1) IN ('.', '!', '?') THEN 10.0 WHEN length(trim(raw)) <= 40 THEN 16.0 WHEN length(trim(raw)) <= 80 THEN 13.0 ELSE 10.0 END::DOUBLE AS size
+  CASE WHEN length(trim(raw)) <= 24 THEN 16.0 WHEN length(trim(raw)) <= 48 THEN 13.0 ELSE 10.0 END::DOUBLE AS size
   FROM cut WHERE trim(raw) <> '')"""
 
 LEVELS = LINES + """,
@@ -129,6 +129,12 @@ nth AS (SELECT b.*, label, row_number() OVER (PARTITION BY b.term_id ORDER BY di
 related AS (SELECT n.term_id, coalesce(max(n), 0) AS n_related, coalesce(string_agg(relation || '>' || nth.label, ',' ORDER BY nth) FILTER (nth <= 8), '') AS related
   FROM nodes n LEFT JOIN nth USING (term_id) GROUP BY 1)"""
 
+HTML = r"""
+found AS (SELECT page_id, url, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS line_no
+  FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<(?:h1|h2|h3|p|li)\b[^>]*>.*?</(?:h1|h2|h3|p|li)>') AS l FROM pages)),
+tagged AS (SELECT *, lower(regexp_extract(raw, '^<(\w+)', 1)) AS tag, trim(regexp_replace(regexp_replace(raw, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM found),
+hlines AS (SELECT url AS book_title, line_no, page_id AS page_number, text, CASE tag WHEN 'h1' THEN 18.0 WHEN 'h2' THEN 15.0 WHEN 'h3' THEN 13.0 ELSE 10.0 END::DOUBLE AS size FROM tagged WHERE text <> '')"""
+
 TRUTHS = """truths AS (SELECT item_id AS query_id, lower(replace(source, ' ', '_')) || '_p' || doc_id || '_g0_c0' AS chunk_id
   FROM documents d JOIN benchmark b ON contains(d.text, b.text))"""
 
@@ -186,6 +192,9 @@ ORACLES: dict[str, str] = {
     + """, c AS (SELECT query_id, string_agg('[' || lang || ' | Unknown | p.' || doc_id || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS c
       FROM fused JOIN documents ON chunk_id = doc_id::VARCHAR GROUP BY 1) SELECT query_id, md5(c) AS context_md5, length(c) AS n_chars FROM c""",
     "text_lines": _with(LINES) + "SELECT book_title, line_no, page_number, text, size FROM lines",
+    "html_lines": _with(HTML) + "SELECT * FROM hlines",
+    "html_toc": _with(HTML)
+    + "SELECT book_title, line_no AS pos, CASE size WHEN 18 THEN 1 WHEN 15 THEN 2 ELSE 3 END::BIGINT AS level, text AS title, page_number AS start_page FROM hlines WHERE size > 10",
     "body_size_mode": _with(LEVELS) + "SELECT * FROM body",
     "heading_levels": _with(LEVELS) + "SELECT book_title, line_no, page_number, level FROM levelled",
     "heading_groups": _with(LEVELS)

@@ -129,7 +129,10 @@ class Tables:
 
     def truths(self) -> DataFrame:
         """Documents that hold an item's whole text; items without one are not in it."""
-        items = self.benchmark.agg(F.collect_list(F.struct("item_id", "text")).alias("items"))  # one row: the question set
+        size = self.benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        if size > 16 << 20:
+            raise ValueError("the question set is too large to compare with every document at once")
+        items = self.benchmark.agg(F.collect_list(F.struct("item_id", "text")).alias("items"))  # one row of checked size
         held = self.documents.crossJoin(F.broadcast(items)).select(
             "doc_id", "source", F.explode(F.filter("items", lambda i: F.contains(F.col("text"), i["text"]))).alias("i")
         )
