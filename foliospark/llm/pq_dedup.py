@@ -130,7 +130,7 @@ def compare(quantiser: Quantiser, table: pa.Table, threshold: float) -> tuple[di
     with_visitors = table.column("group")[0].as_py() >= 0
     # in a piece of two parts members of one part meet elsewhere; visitors have pieces of their own
     asking = np.flatnonzero(~member) if with_visitors else members
-    counts: dict[int, int] = {}
+    linked = np.zeros(len(cid), np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for i in range(0, len(asking), 512):
         q = asking[i : i + 512]
@@ -150,12 +150,12 @@ def compare(quantiser: Quantiser, table: pa.Table, threshold: float) -> tuple[di
         a, b_row = a[keep], b_row[keep]
         same = (v[a] * v[b_row]).sum(1) >= threshold
         a, b_row = a[same], b_row[same]
-        for x, y in zip(a.tolist(), b_row.tolist()):
-            counts[cid[x]] = counts.get(cid[x], 0) + int(copies[y])
-            counts[cid[y]] = counts.get(cid[y], 0) + int(copies[x])
+        np.add.at(linked, a, copies[b_row])
+        np.add.at(linked, b_row, copies[a])
         if len(a):
             found = [spanning([*found, (cid[a], cid[b_row])])]
-    return counts, found
+    some = np.flatnonzero(linked)
+    return dict(zip(cid[some].tolist(), linked[some].tolist())), found
 
 
 def near_duplicate_vectors(
