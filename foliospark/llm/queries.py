@@ -83,11 +83,15 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = lambda df, v: df.select("source", "lang", F.lit(v).alias("version"), F.col("n")[v].alias("n_tokens"))
     for v in versions:
         rollup.commit(f"load-{v}", token_rollup.inserts(by(counted, v)))
-    first = counted.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    copies = counted.join(first.drop("copies"), "sha").where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    gone = by(copies, "byte_bpe_50k").unionByName(by(copies, "byte_bpe_multi_50k"))
+    # all copies less the first of each text: sums alone, no join on a text that may be everywhere
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "source", "lang")
+    first = counted.groupBy("sha").agg(F.min_by(F.struct("source", "lang", "n"), place).alias("f")).select("f.*")
+    changes = None
+    for v in versions:
+        one = token_rollup.deletes(by(counted, v)).unionByName(token_rollup.inserts(by(first, v)))
+        changes = one if changes is None else changes.unionByName(one)
     for _ in range(2):
-        rollup.commit("exact-copies", token_rollup.deletes(gone))
+        rollup.commit("exact-copies", changes)
     return rollup.totals()
 
 
