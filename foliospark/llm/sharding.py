@@ -1,6 +1,6 @@
 """Contiguous byte-balanced shards from global prefix sums.
 
-Only ``(key, size, checksum)`` leave the scan, never the text. Rows are range-partitioned
+Only ``(key, size, checksum)`` leave the one scan, never the text. Rows are range-partitioned
 by key once; each range gives one total; the totals' prefix sums (as many rows as ranges)
 turn a running sum inside each range into a global byte offset and row number, and the
 offsets are cut at equal targets. DataFrame functions only.
@@ -77,6 +77,8 @@ def shard_by_bytes(
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
     )
+    # written first: the range partitioner looks at its input twice, which must not be the texts
+    narrow = materialize(narrow, "sizes")
     placed = global_offsets(narrow, ["doc_id", "size", "text_crc32"], "size", ranges=ranges)
     # the middle byte, in whole numbers; decimals, as shards * bytes may pass a long
     shard = F.expr(
