@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import ship
 
 #: Pieces that a worker's cache holds before it is emptied, at some 200 bytes each.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 _LITTLE = sys.byteorder == "little"
 #: A character that is no letter, number or white space, and stays so: for private use.
 _SYMBOL = chr(0xE000)

@@ -16,6 +16,9 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of rows that a Python worker is given at once.
+BATCH_BYTES = 8 << 20
+
 _LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
@@ -50,7 +53,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors that do not have it installed."""
+    """Make this package importable on executors that do not have it installed.
+
+    Also bounds what goes to a Python worker at once, in bytes: rows may be long.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
