@@ -11,6 +11,7 @@ Files are reached through ``pyarrow.fs`` by URI.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -41,8 +42,8 @@ READ_BYTES = 8 << 20
 class LibraryCodec(PieceEncoder):
     """Ids by the tokenizers library: its BPE model encodes each distinct pre-token.
 
-    Pre-tokens are those of the file's own byte-level splitter; special tokens' strings
-    in a text are ordinary text.
+    Pre-tokens are those of the file's own byte-level splitter. Texts are cut at the
+    file's added tokens first, as the library does at its default settings.
     """
 
     def __init__(self, path: str, pattern: str, cache_entries: int = CACHE_ENTRIES):
@@ -53,6 +54,13 @@ class LibraryCodec(PieceEncoder):
         super().__init__(pattern, cache_entries)
         self.dtype = np.dtype("<u2" if whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        added = whole.get_added_tokens_decoder()
+        self.added = {t.content: struct.pack(f"<{self.code}", i) for i, t in added.items()}
+        longest = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(longest)})") if longest else None
+        # tokens that take in white space, or stand for whole words only, are left to the library
+        plain = not any(t.single_word or t.lstrip or t.rstrip for t in added.values()) and whole.normalizer is None
+        self.whole = None if plain else whole
 
     def _known(self, characters: str) -> set[str]:
         # after a letter or number "'s" is a pre-token of its own, after a symbol it is not
@@ -65,6 +73,15 @@ class LibraryCodec(PieceEncoder):
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
 
+    def encode(self, text: str) -> bytes:
+        if self.cut is None or not self.cut.search(text):
+            return super().encode(text)
+        if self.whole is not None:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        parts = self.cut.split(text)  # every other one is an added token
+        return b"".join([self.added[p] if i % 2 else super(LibraryCodec, self).encode(p) for i, p in enumerate(parts) if p])
+
+
 @lru_cache(maxsize=2)
 def library_codec(path: str, pattern: str) -> LibraryCodec:
     """One codec a worker."""

@@ -155,6 +155,16 @@ def test_op7_odd(odd_docs, no_docs):
     assert token_store.round_trip(no_docs, JSON, PATTERN).count() == 0
 
 
+def test_op7_added_tokens_are_the_librarys(spark):
+    t = "<|endoftext|>"
+    texts = [f"a {t} b", t, t * 3, f"{t} it's\n\n {t}  x {t}", f"é😀{t}12 ", "<|endoftext |> <|endoftext", f"a  {t}\t b", " ", ""]
+    tokenizer = Tokenizer.from_file(JSON)
+    want = {i: [*tokenizer.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, 0]
+    got = token_store.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), JSON, PATTERN).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in got} == {k: (len(v), zlib.crc32(np.array(v, "<u4").tobytes())) for k, v in want.items()}
+
+
 def test_keyed_access(spark, docs):
     manifest = token_store.write_shards(docs, JSON, PATTERN, shards=3).orderBy("shard").collect()
     tokenizer = Tokenizer.from_file(JSON)
