@@ -274,6 +274,8 @@ ORACLES: dict[str, str] = {
     "word_counts": rf"""SELECT doc_id, len(regexp_extract_all(lower(text), '\S+')) AS n_tokens,
       len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 2 AND x NOT IN ({_STOP}))) AS n_words FROM documents""",
     "strip_citations": r"SELECT doc_id, regexp_replace(substring(text, 1, 40), '\s+$', '') || ' and (p. 3) on.' AS text FROM documents",
+    "strip_citations_whole": r"""SELECT doc_id, md5(regexp_replace(mark || substring(text, 1, (length(text) // 2)::BIGINT) || mark || substring(text, length(text) // 2 + 1) || mark,
+      '[\s\x{0B}\x{85}\p{Z}]*\([^()]*p\.\p{Nd}+\)', '', 'g')) AS text_md5 FROM documents, (SELECT ' (Chapter 1, Section 2, p.12)' AS mark)""",
     "latex_to_spoken": """SELECT item_id, 'Let ' || item_id || ' over n the sum from i equals 1 to n of x sub i less than or equal to alpha squared and E equals mc cubed times y to the power of k+1, nabla sub theta L.' AS spoken FROM benchmark""",
     "sentence_end_test": _with(LINES)
     + r"""SELECT book_title, line_no, NOT regexp_matches(text, '(?i:\bp\.\s*\d*$|\be\.g\.$|\bi\.e\.$)|\b\d+\.$') AS ends, false AS cited_ends FROM lines""",

@@ -547,6 +547,15 @@ def strip_citations(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.strip_citations(cited).alias("text"))
 
 
+@registered
+def strip_citations_whole(t: Tables) -> DataFrame:
+    """Whole texts, with a citation before, within and after them."""
+    mark = F.lit(" (Chapter 1, Section 2, p.12)")
+    half = F.floor(F.length("text") / 2).cast("int")
+    cited = F.concat(mark, F.substr("text", F.lit(1), half), mark, F.substr("text", half + 1), mark)
+    return t.documents.select("doc_id", F.md5(X.strip_citations(cited)).alias("text_md5"))
+
+
 @registered
 def latex_to_spoken(t: Tables) -> DataFrame:
     n = F.col("item_id").cast("string")
