@@ -12,12 +12,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of rows that a Python worker is given at once.
 BATCH_BYTES = 8 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -26,38 +29,94 @@ _SHIPPED: set[str] = set()
 def workspace(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    ``spark.checkpoint.dir`` as the session gives it. Only where it is unset (tests
-    on one machine) a temporary folder is made and set as the checkpoint directory.
+    ``spark.checkpoint.dir`` as the session gives it. Only where it is unset and one
+    machine runs everything (tests) a temporary folder is made and set as the checkpoint
+    directory; on a cluster that is an error, as machines do not see each other's.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL_DIRS:
             _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="foliospark-")
             spark.sparkContext.setCheckpointDir(_LOCAL_DIRS[app])
         root = "file://" + _LOCAL_DIRS[app]
-    return root.rstrip("/")
+    return f"{root.rstrip('/')}/foliospark/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the workspace."""
-    return f"{workspace(spark)}/foliospark/{name}-{uuid.uuid4().hex}"
+    return f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path of any store that Spark reaches."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear_workspace(spark: SparkSession) -> None:
+    """Delete all that this application's queries stored; results not yet written are lost."""
+    delete(spark, workspace(spark))
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Within the block the session has the setting; afterwards it is as before."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the workspace and read it back: cuts the lineage, fixes the rows."""
+    """Write ``df`` to the workspace and read it back: cuts the lineage, fixes the rows.
+
+    The shuffle files of the write go when it is done.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with setting(spark, _CLEANUP, "true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, t._stored_at)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``docs`` has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def new_column(docs: DataFrame, name: str) -> str:
+    """``name``, unless ``docs`` has such a column already: that is an error, as it would be replaced."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {name} already")
+    return name
 
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable on executors that do not have it installed.
 
-    Also bounds what goes to a Python worker at once, in bytes: rows may be long.
+    Also bounds what goes to a Python worker at once, in bytes, as rows may be long:
+    unless the session has a bound of its own, it keeps this one.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if bound not in spark.conf.getAll:
+        spark.conf.set(bound, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -74,9 +133,22 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def text_or_empty(col: Column | str) -> Column:
-    """The text column, null read as empty."""
-    return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+#: Bits of the bitmap by which rows are picked before they are shuffled.
+BITMAP = 1 << 25
+
+
+def with_held(table: DataFrame, names: DataFrame, column: str, out: str) -> DataFrame:
+    """``table`` with the boolean ``out``: false only where ``names`` surely lacks the long in ``column``.
+
+    By a bitmap of 4 MB at most, whatever the number of names.
+    """
+    place = F.pmod(F.col(column), F.lit(BITMAP)) + 1
+    bits = names.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte.cast("long"), (at % 8).cast("int")) == 1, F.lit(False))
+    marked = table.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "_bucket", "left")
+    return marked.select(*table.columns, held.alias(out))
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -109,7 +181,8 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
         before = _fingerprint(e)
         if before[0] == 0:
             break
-        e = materialize(_small_star(_large_star(e)), "edges")
+        e, last = materialize(_small_star(_large_star(e)), "edges"), e
+        release(last)
         if _fingerprint(e) == before:
             break
     else:
