@@ -5,8 +5,9 @@ fingerprint is dealt to pigeonhole buckets (two that differ in at most ``radius`
 agree on all bits of some ``blocks - radius`` of the ``blocks`` bit blocks), which keeps
 the work far from all pairs without losing one. In a bucket the Hamming distances to
 many reference fingerprints form a table; a pair whose largest coordinate difference
-exceeds the radius cannot be close (triangle inequality) and is discarded; the others
-are verified bit by bit. Buckets beyond ``bucket_rows`` are split into salted blocks of
+exceeds the radius cannot be close (triangle inequality) and is discarded. A bucket is
+sorted by the first coordinate, so a row looks at those in a window of the radius only;
+the other coordinates discard pairs in it; survivors are verified bit by bit. Buckets beyond ``bucket_rows`` are split into salted blocks of
 rows of which every two meet in some task, so a hot bucket is spread and nothing is
 capped. Tasks return spanning links, never all pairs of a group.
 """
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, ship, shuffle_width
+from .common import connected_components, materialize, new_column, release, ship, shuffle_width
 
 SEED = 42
 BITS = 64
@@ -53,10 +54,11 @@ def fingerprint(text: str | None, words: int = 4) -> int:
         [digest(body[a:b], SEED) for a, b in zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist())],
         np.uint64,
     )
-    return _majority(hashes)
+    return fingerprint_of(hashes)
 
 
-def _majority(hashes: np.ndarray) -> int:
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes: a bit is 1 if set in over half of them; none: 0."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 65536):  # very long texts: a bounded piece at a time
         piece = hashes[i : i + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -75,7 +77,7 @@ def with_fingerprint(docs: DataFrame, out: str, *, text: str = "text", words: in
             values = np.fromiter((fingerprint(t.as_py(), words) for t in batch), np.uint64, len(batch))
             yield pa.array(values.view(np.int64))
 
-    return docs.withColumn(out, signed.asNondeterministic()(F.col(text)))
+    return docs.withColumn(new_column(docs, out), signed.asNondeterministic()(F.col(text)))
 
 
 def pivot_table(fingerprints: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -153,18 +155,26 @@ def links(
 
 
 def close_pairs(
-    fp: np.ndarray, piece: np.ndarray, pivots: np.ndarray, radius: int
+    fp: np.ndarray, piece: np.ndarray, pivots: np.ndarray, radius: int, seen: dict[str, int] | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links within the pieces: pivot filter by largest difference, then verify."""
-    order = np.lexsort((fp, piece))
+    """Spanning links within the pieces: a window of the first pivot, the largest difference of all, then the bits.
+
+    ``seen``, if given, gets the numbers of pairs in the windows, of those that the table
+    leaves, and of those that are close.
+    """
+    first = pivot_table(fp, pivots[:1])[:, 0]
+    order = np.lexsort((fp, first, piece))
     fp, piece = fp[order], piece[order]
     table = pivot_table(fp, pivots)
     few = min(8, len(pivots))
     found: list[tuple[np.ndarray, np.ndarray]] = []
+    counts = {"windows": 0, "left": 0, "close": 0}
     left, lag = np.arange(max(0, len(fp) - 1)), 1
     while len(left):
         left = left[left + lag < len(fp)]
-        left = left[piece[left] == piece[left + lag]]
+        # in a piece the first coordinate ascends: beyond the first that is too far all are
+        left = left[(piece[left] == piece[left + lag]) & (table[left + lag, 0] - table[left, 0] <= radius)]
+        counts["windows"] += len(left)
         for i in range(0, len(left), 1 << 18):
             x = left[i : i + (1 << 18)]
             y = x + lag
@@ -172,12 +182,16 @@ def close_pairs(
             x, y = x[keep], y[keep]
             keep = np.abs(table[x] - table[y]).max(axis=1) <= radius
             x, y = x[keep], y[keep]
+            counts["left"] += len(x)
             keep = (np.bitwise_count(fp[x] ^ fp[y]) <= radius) & (fp[x] != fp[y])
+            counts["close"] += int(keep.sum())
             if keep.any():
                 found.append((fp[x[keep]], fp[y[keep]]))
         if sum(len(a) for a, _ in found) > 1 << 20:
             found = [spanning(found)]
         lag += 1
+    if seen is not None:
+        seen |= counts
     return spanning(found)
 
 
@@ -229,6 +243,7 @@ def near_duplicates(
     )
     least = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
     answer = materialize(grouped.join(least, "root").select("fp", "component_id"), "classes")
+    release(low)
     return marked.join(answer, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
