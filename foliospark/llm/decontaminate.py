@@ -3,17 +3,19 @@
 The index is document-partitioned: a *segment* is a bounded batch of documents whose
 words have positions in one number line (documents lie apart on it by one free
 position), and a posting list is the ascending positions of a term in the segment. All
-of it is one Parquet table in the shared workspace, so searches read only the terms they
-ask for, and many benchmarks can be searched in one index.
+terms of all documents are stored as one Parquet table in the shared workspace, so any
+number of benchmarks can be searched in one index, each reading the terms it asks for.
 
 A phrase is found by intersecting the posting lists of its words, each moved back by the
-word's offset, from the corpus-wide rarest word on; a phrase whose rarest word is not in
-a segment costs one look-up there. Proximity matches come from the same lists.
+word's offset, from the corpus-wide rarest word on. Phrases are kept by their rarest
+word, so a segment looks only at those whose rarest word it holds. Proximity matches
+come from the same lists.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, release, ship
 
 #: Words of a window.
 WINDOW = 13
@@ -30,8 +32,6 @@ WINDOW = 13
 SEGMENT_WORDS = 2_000_000
 #: Bytes of benchmark text that are searched at once (and broadcast); more go block by block.
 BLOCK_BYTES = 8 << 20
-#: Bytes of vocabulary up to which an index is restricted to the benchmark's terms.
-VOCABULARY_BYTES = 16 << 20
 
 #: A-Z in lower case; bytes of ASCII other than digits and letters to a space; others stay.
 _WORDS = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i > 127 else 32 for i in range(256))
@@ -44,93 +44,81 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
-def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
-    """All runs of ``size`` words; the whole where there are fewer; nothing where there are none."""
-    if len(words) <= size:
-        return [tuple(words)] if words else []
-    return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
-
-
-def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", terms: Iterable[bytes] | None = None) -> DataFrame:
+def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """Store the positional index of whole texts; returns the stored table.
 
     It has a row per document (``term`` null: ``segment, ordinal, base, n_words, key``)
     and a row per segment and term (``segment, term, n, positions``; positions are
-    little-endian unsigned 32-bit differences). ``terms`` restricts the posting lists to
-    a set of a size its caller has checked; None stores all terms. Null texts have no
-    words; repeated rows are documents of their own.
+    little-endian unsigned 32-bit differences). Null texts have no words; repeated rows
+    are documents of their own.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    wanted = None if terms is None else spark.sparkContext.broadcast({t: i for i, t in enumerate(sorted(set(terms)))})
+    ship(docs.sparkSession)
     schema = _INDEX.format(key=docs.schema[key].dataType.simpleString())
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 32
-        seg = _Segment(None if wanted is None else wanted.value)
-        n = 0
+        seg, n, kind = _Segment(), 0, None
         for b in batches:
+            kind = b.schema.field(0).type
             for k, t in zip(b.column(0), b.column(1)):
                 seg.add(k.as_py(), t.as_py())
-                if seg.at >= SEGMENT_WORDS:
-                    yield seg.rows(part + n, b.schema.field(0).type)
-                    seg, n = _Segment(None if wanted is None else wanted.value), n + 1
-            last = b.schema.field(0).type
+                if seg.at >= segment_words:
+                    yield seg.rows(part + n, kind)
+                    seg, n = _Segment(), n + 1
         if seg.keys:
-            yield seg.rows(part + n, last)
+            yield seg.rows(part + n, kind)
 
     return materialize(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(index, schema), "postings")
 
 
+class _Numbers(dict):
+    """Numbers terms as they come."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = n = len(self)
+        return n
+
+
 class _Segment:
     """Collects documents, gives their index rows."""
 
-    def __init__(self, wanted: dict[bytes, int] | None):
-        self.wanted, self.own = wanted, {}
+    def __init__(self):
+        self.own = _Numbers()
         self.at, self.keys, self.bases, self.counts = 0, [], [], []
         self.terms: list[np.ndarray] = []
-        self.places: list[np.ndarray] = []
 
     def add(self, key, text: str | None) -> None:
         words = words_of(text)
-        if self.wanted is None:
-            own = self.own
-            ids = np.fromiter((own.setdefault(w, len(own)) for w in words), np.int32, len(words))
-            at = np.arange(len(words))
-        else:
-            get = self.wanted.get
-            ids = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-            at = np.flatnonzero(ids >= 0)
-            ids = ids[at]
+        self.terms.append(np.fromiter(map(self.own.__getitem__, words), np.int32, len(words)))
         self.keys.append(key)
         self.bases.append(self.at)
         self.counts.append(len(words))
-        self.terms.append(ids)
-        self.places.append((at + self.at).astype(np.uint32))
         self.at += len(words) + 1
 
     def rows(self, segment: int, key_type: pa.DataType) -> pa.RecordBatch:
-        ids, places = np.concatenate(self.terms), np.concatenate(self.places)
+        ids = np.concatenate(self.terms)
+        places = np.concatenate([np.arange(b, b + n, dtype=np.uint32) for b, n in zip(self.bases, self.counts)])
         order = np.argsort(ids, kind="stable")
-        ids, places = ids[order], places[order]
-        first = np.flatnonzero(np.concatenate((ids[:1] >= 0, ids[1:] != ids[:-1])))
-        ends = np.concatenate((first[1:], [len(ids)]))
-        named = list(self.wanted or self.own)
+        places = places[order]
+        counts = np.bincount(ids, minlength=len(self.own))  # every term has a place
+        first = np.cumsum(counts) - counts
         d, p = len(self.keys), len(first)
         deltas = np.diff(places, prepend=np.uint32(0)).astype("<u4")
         deltas[first] = places[first]
-        raw = deltas.tobytes()
-        null = lambda n, t: pa.nulls(n, t)
+        at = np.concatenate((np.zeros(d, np.int64), 4 * first, [4 * len(ids)])).astype(np.int32)
+        positions = pa.BinaryArray.from_buffers(
+            pa.binary(), d + p, [pa.array([False] * d + [True] * p).buffers()[1], pa.py_buffer(at.tobytes()), pa.py_buffer(deltas.tobytes())]
+        )
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([segment] * (d + p), pa.int64()),
-                pa.array([*range(d), *[None] * p], pa.int32()),
-                pa.array([*self.bases, *[None] * p], pa.int64()),
-                pa.array([*self.counts, *[None] * p], pa.int64()),
-                pa.concat_arrays([pa.array(self.keys, key_type), null(p, key_type)]),
-                pa.array([*[None] * d, *[named[ids[i]] for i in first]], pa.binary()),
-                pa.array([*[None] * d, *(ends - first).tolist()], pa.int64()),
-                pa.array([*[None] * d, *[raw[4 * a : 4 * b] for a, b in zip(first.tolist(), ends.tolist())]], pa.binary()),
+                pa.array(np.full(d + p, segment)),
+                pa.concat_arrays([pa.array(np.arange(d, dtype=np.int32)), pa.nulls(p, pa.int32())]),
+                pa.concat_arrays([pa.array(self.bases, pa.int64()), pa.nulls(p, pa.int64())]),
+                pa.concat_arrays([pa.array(self.counts, pa.int64()), pa.nulls(p, pa.int64())]),
+                pa.concat_arrays([pa.array(self.keys, key_type), pa.nulls(p, key_type)]),
+                pa.concat_arrays([pa.nulls(d, pa.binary()), pa.array(list(self.own), pa.binary())]),
+                pa.concat_arrays([pa.nulls(d, pa.int64()), pa.array(counts.astype(np.int64))]),
+                positions,
             ],
             names=["segment", "ordinal", "base", "n_words", "key", "term", "n", "positions"],
         )
@@ -147,11 +135,11 @@ def _terms_table(index: DataFrame, terms: Iterable[bytes]) -> DataFrame:
     return index.sparkSession.createDataFrame([(bytearray(t),) for t in sorted(set(terms))], "term binary")
 
 
-def intersect(lists: dict[bytes, np.ndarray], phrase: tuple[bytes, ...], count: dict[bytes, int]) -> np.ndarray:
-    """Where ``phrase`` starts: offset-adjusted posting lists, intersected from the rarest word on."""
+def intersect(lists: list[np.ndarray | None], order: Iterable[int]) -> np.ndarray:
+    """Where a phrase starts: its words' posting lists, moved back by their offsets, intersected in the given order."""
     at: np.ndarray | None = None
-    for i in sorted(range(len(phrase)), key=lambda i: count.get(phrase[i], 0)):
-        found = lists.get(phrase[i])
+    for i in order:
+        found = lists[i]
         if found is None:
             return np.empty(0, np.int64)
         if at is None:
@@ -163,7 +151,48 @@ def intersect(lists: dict[bytes, np.ndarray], phrase: tuple[bytes, ...], count:
             at = at[found[where] == want]
         if not len(at):
             break
-    return at
+    return at if at is not None else np.empty(0, np.int64)
+
+
+class Phrases(NamedTuple):
+    """One block of items' phrases by their rarest word: all arrays ascend with ``rarest``.
+
+    ``words`` holds the items' words end to end as numbers of ``terms``; a phrase is
+    ``size`` of them from ``start`` on. ``count`` is each term's number in the corpus.
+    """
+
+    terms: list[bytes]
+    count: np.ndarray
+    words: np.ndarray
+    items: list[str]
+    rarest: np.ndarray
+    item: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+
+
+def arrange(index: DataFrame, items: list[tuple[str, list[bytes]]], window: int | None) -> Phrases:
+    """Every window of the items' words (None: each item is one phrase), without those that hold a word the corpus lacks."""
+    terms = sorted({w for _, ws in items for w in ws})
+    number = {t: i for i, t in enumerate(terms)}
+    found = frequencies(index, terms)
+    count = np.array([found.get(t, 0) for t in terms], np.int64)
+    words = np.array([number[w] for _, ws in items for w in ws], np.int32)
+    item, start, size, rarest, begin = [], [], [], [], 0
+    for i, (_, ws) in enumerate(items):
+        n = min(window or len(ws), len(ws))
+        if n:
+            every = np.lib.stride_tricks.sliding_window_view(words[begin : begin + len(ws)], n)
+            at = np.flatnonzero(count[every].min(1) > 0)
+            rarest.append(every[at, count[every[at]].argmin(1)])
+            start.append(begin + at)
+            item.append(np.full(len(at), i))
+            size.append(np.full(len(at), n))
+        begin += len(ws)
+    none = [np.empty(0, np.int64)]
+    rarest, item, start, size = (np.concatenate(none + x) for x in (rarest, item, start, size))
+    order = np.argsort(rarest, kind="stable")
+    return Phrases(terms, count, words, [i for i, _ in items], rarest[order], item[order], start[order], size[order])
 
 
 def near(lists: dict[bytes, np.ndarray], terms: list[bytes], within: int, count: dict[bytes, int]) -> np.ndarray:
@@ -200,30 +229,37 @@ def _opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[b
     )
 
 
-def phrase_matches(index: DataFrame, items: list[tuple[str, list[tuple[bytes, ...]]]]) -> DataFrame:
-    """Exact matches of one block of items: ``segment, ordinal, item_id, spans``.
+def phrase_matches(index: DataFrame, items: list[tuple[str, list[bytes]]], window: int | None = None) -> DataFrame:
+    """Exact matches of one block of items, stored: ``segment, ordinal, item_id, spans``.
 
-    ``items`` pairs an id with its phrases. ``spans`` are the document's word positions
-    that occurrences of any of them cover, merged, as ``array<struct<start, end>>``, ends
-    exclusive.
+    ``items`` pairs an id with its words; looked for is every run of ``window`` of them
+    (the whole where there are fewer, or if it is None). ``spans`` are the document's
+    word positions that occurrences of any of them cover, merged, as
+    ``array<struct<start, end>>``, ends exclusive.
     """
     spark = index.sparkSession
     ship(spark)
-    terms = {w for _, phrases in items for p in phrases for w in p}
-    shared = spark.sparkContext.broadcast((items, frequencies(index, terms)))
+    phrases = arrange(index, items, window)
+    shared = spark.sparkContext.broadcast(phrases)  # a few numbers for each word of the block
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def search(table: pa.Table) -> pa.Table:
-        asked, count = shared.value
-        ordinal, base, _, lists = _opened(table)
+        p = shared.value
+        ordinal, base, _, by_term = _opened(table)
         segment = table.column("segment")[0].as_py()
+        number = {t: i for i, t in enumerate(p.terms)}
+        held = {number[t]: v for t, v in by_term.items()}
+        pieces: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for term in sorted(held):
+            for k in range(*np.searchsorted(p.rarest, [term, term + 1]).tolist()):
+                words = p.words[p.start[k] : p.start[k] + p.size[k]]
+                at = intersect([held.get(w) for w in words.tolist()], np.argsort(p.count[words], kind="stable").tolist())
+                if len(at):
+                    pieces.setdefault(int(p.item[k]), []).append((at, int(p.size[k])))
         out: list[tuple[int, str, list[dict]]] = []
-        for item, phrases in asked:
-            pieces = [(at, len(p)) for p in phrases if len(at := intersect(lists, p, count))]
-            if not pieces:
-                continue
-            start = np.concatenate([at for at, _ in pieces])
-            end = np.concatenate([at + n for at, n in pieces])
+        for i, found in sorted(pieces.items()):
+            start = np.concatenate([at for at, _ in found])
+            end = np.concatenate([at + n for at, n in found])
             doc = np.searchsorted(base, start, "right") - 1
             order = np.argsort(start, kind="stable")
             merged: dict[int, list[list[int]]] = {}
@@ -234,7 +270,7 @@ def phrase_matches(index: DataFrame, items: list[tuple[str, list[tuple[bytes, ..
                     own[-1][1] = max(own[-1][1], b)
                 else:
                     own.append([a, b])
-            out += [(int(ordinal[d]), item, [{"start": a, "end": b} for a, b in own]) for d, own in merged.items()]
+            out += [(int(ordinal[d]), p.items[i], [{"start": a, "end": b} for a, b in own]) for d, own in merged.items()]
         return pa.table(
             {
                 "segment": pa.array([segment] * len(out), pa.int64()),
@@ -244,9 +280,12 @@ def phrase_matches(index: DataFrame, items: list[tuple[str, list[tuple[bytes, ..
             }
         )
 
-    return _postings(index, terms).groupBy("segment").applyInArrow(
+    found = _postings(index, phrases.terms).groupBy("segment").applyInArrow(
         search, "segment long, ordinal int, item_id string, spans array<struct<start:long,end:long>>"
     )
+    found = materialize(found, "matches")
+    shared.unpersist()
+    return found
 
 
 def proximity_matches(index: DataFrame, queries: list[tuple[str, list[bytes], int]]) -> DataFrame:
@@ -309,6 +348,7 @@ def blocks_of(items: DataFrame, *, key: str, text: str, block_bytes: int = BLOCK
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
     item_text: str = "text", window: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES,
+    segment_words: int = SEGMENT_WORDS,
 ) -> DataFrame:
     """One row per document: ``key, n_words, n_hit, n_items, items_sha256, contaminated``.
 
@@ -316,19 +356,18 @@ def decontaminate(
     contaminated if it has hits and at least one word in ``share`` is hit. Null texts
     have no words, items without words no windows, items of a null id count as one of an
     empty id; items that share an id count once. Repeated rows each give a row. Other
-    columns are not read. An empty benchmark hits nothing; no documents, no rows.
+    columns are not read; ``key`` must not be named like a result. An empty benchmark hits
+    nothing; no documents, no rows.
     """
-    size = benchmark.select(F.sum(F.octet_length(F.col(item_text))).alias("n")).first()["n"] or 0
-    terms = None
-    if size <= VOCABULARY_BYTES:
-        terms = {w for block in blocks_of(benchmark, key=item_key, text=item_text) for _, ws in block for w in ws}
-    index = build_index(docs, key=key, text=text, terms=terms)
+    if key in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated"):
+        raise ValueError(f"{key} is a column of the result")
+    index = build_index(docs, key=key, text=text, segment_words=segment_words)
     found = None
     for block in blocks_of(benchmark, key=item_key, text=item_text, block_bytes=block_bytes):
-        phrases = [(i, list(dict.fromkeys(windows_of(ws, window)))) for i, ws in block]
-        part = phrase_matches(index, phrases)
+        part = phrase_matches(index, block, window)
         found = part if found is None else found.unionByName(part)
-    rows = index.where("term is null").select("segment", "ordinal", F.col("key").alias(key), "n_words")
+    rows = materialize(index.where("term is null").select("segment", "ordinal", "key", "n_words"), "documents")
+    release(index)
     if found is None:
         hits = rows.withColumn("_spans", F.array().cast("array<struct<start:long,end:long>>")).withColumn("_items", F.array().cast("array<string>"))
     else:
@@ -348,7 +387,7 @@ def decontaminate(
     )
     n_hit = F.coalesce(covered, F.lit(0).cast("long"))
     return hits.select(
-        key,
+        F.col("key").alias(key),
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"),
