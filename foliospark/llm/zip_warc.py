@@ -1,41 +1,45 @@
 """WARC records in ZIP packages, read by range without extraction.
 
-An archive is a ZIP file with two stored members: gzip-compressed WARC records end to
-end, and an index of their places. The reader parses the end record, the ZIP64 records
-where there are any, and the central directory, finds the stored members, reads the
-index, and then reads records by byte range; nothing is unpacked or copied. Files are
-reached through ``pyarrow.fs`` by URI, so a shared folder can be local, HDFS or an object
-store.
+An archive is a ZIP file with stored members: gzip-compressed WARC records end to end
+under ``archive/``, and a CDXJ index of their places under ``indexes/``. The reader
+parses the end record, the ZIP64 records where there are any, and the central directory,
+finds the stored members, reads the indexes (CDXJ or CDX, by their own file names), and
+then reads records by byte range; nothing is unpacked or copied. So packages of other
+writers can be read too. Files are reached through ``pyarrow.fs`` by URI: a shared folder
+can be local, HDFS or an object store.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
+import json
 import struct
 import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO, NamedTuple
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, ship, shuffle_width
+from .common import materialize, new_path, release, ship, shuffle_width, with_held
 
 RECORDS = "archive/data.warc.gz"
-INDEX = "indexes/index.cdx"
+INDEX = "indexes/index.cdxj"
 #: Bytes of compressed records after which an archive is closed.
 ARCHIVE_BYTES = 32 << 20
 #: Bytes that are read at once when many records are.
 READ_BYTES = 4 << 20
-#: Groups of equal payloads up to which the table of groups is broadcast (some 80 bytes each).
-BROADCAST_GROUPS = 50_000
-_DATE = "1970-01-01T00:00:00Z"
+#: The letters that name the columns of a CDX line that are read here: compressed size, place, file name.
+_CDX = {"S": "length", "V": "offset", "g": "filename"}
+_DATE, _STAMP = "1970-01-01T00:00:00Z", "19700101000000"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -165,17 +169,26 @@ def record_id(key: str | None) -> str:
 
 
 def key_of(identifier: str) -> str | None:
-    return None if identifier == "<urn:page:null>" else identifier[len("<urn:page:key:") : -1]
+    """The key in an identifier of :func:`record_id`; null for others' records."""
+    return identifier[len("<urn:page:key:") : -1] if identifier.startswith("<urn:page:key:") else None
 
 
 def parse_record(raw: bytes) -> Record:
     """A record from its compressed bytes; a response's payload must have its digest."""
-    data = zlib.decompress(raw, 31)
+    try:
+        data = zlib.decompress(raw, 31)
+    except zlib.error as e:
+        raise ValueError(f"a record is damaged: {e}") from e
     head, _, rest = data.partition(b"\r\n\r\n")
     headers = _headers(head)
+    if not {"warc-type", "warc-record-id", "content-length"} <= headers.keys():
+        raise ValueError("a record lacks a header that every record has")
     body = rest[: int(headers["content-length"])]
+    if headers["warc-type"] not in ("response", "revisit") or not headers.get("content-type", "").startswith("application/http"):
+        return Record(headers, {}, body)
     http, _, payload = body.partition(b"\r\n\r\n")
-    if headers["warc-type"] == "response" and headers["warc-payload-digest"] != "sha1:" + digest(payload):
+    kind, _, name = headers.get("warc-payload-digest", "").partition(":")
+    if headers["warc-type"] == "response" and kind == "sha1" and name != digest(payload):
         raise ValueError(f"{headers['warc-record-id']}: the payload does not have its digest")
     return Record(headers, _headers(http), payload)
 
@@ -184,45 +197,106 @@ def _headers(raw: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in raw.decode("utf-8", "replace").split("\r\n")[1:])}
 
 
-def package(records: list[bytes]) -> bytes:
-    """A ZIP file of the records and of their index, both stored."""
-    lines, at = [], 0
+def surt(url: str) -> str:
+    """A URL with its host's labels reversed, as indexes are sorted by; what is no URL stays, without spaces."""
+    try:
+        parts = urlsplit(url.strip())
+        host = (parts.hostname or "").split(".")
+        port = f":{parts.port}" if parts.port else ""
+    except ValueError:
+        parts, host, port = None, [""], ""
+    if host == [""]:
+        return quote(url, safe="/:?&=%@+,;~()")
+    rest = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    return quote(f"{','.join(reversed(host))}{port}){rest}".lower(), safe="/:?&=%@+,;~()")
+
+
+class Packed(NamedTuple):
+    """A record on its way into a package."""
+
+    raw: bytes
+    url: str
+    digest: str
+    kind: str
+
+
+def package(records: list[Packed]) -> bytes:
+    """A ZIP file of the records and of their CDXJ index, both stored."""
+    lines, at, name = [], 0, RECORDS.rpartition("/")[2]
     for r in records:
-        lines.append(f"{at} {len(r)}\n")
-        at += len(r)
+        fields = {"url": r.url, "mime": "text/html" if r.kind == "response" else "warc/revisit", "status": "200", "digest": f"sha1:{r.digest}", "length": str(len(r.raw)), "offset": str(at), "filename": name}
+        lines.append(f"{surt(r.url)} {_STAMP} {json.dumps(fields)}\n")
+        at += len(r.raw)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-        z.writestr(RECORDS, b"".join(records))
-        z.writestr(INDEX, "".join(lines))
+        z.writestr(RECORDS, b"".join(r.raw for r in records))
+        z.writestr(INDEX, "".join(sorted(lines)))
     return out.getvalue()
 
 
+def index_places(raw: bytes) -> list[tuple[str, int, int]]:
+    """``(file name, offset, length)`` of every line of a CDXJ or CDX index, by file and offset."""
+    out, columns = [], None
+    try:
+        for line in raw.decode("utf-8").splitlines():
+            if line.lstrip().upper().startswith("CDX "):
+                columns = line.split()[1:]
+            elif not line.strip() or line.startswith("!"):
+                continue
+            elif columns is not None:
+                fields = dict(zip((_CDX.get(c, c) for c in columns), line.split()))
+                out.append((fields["filename"], int(fields["offset"]), int(fields["length"])))
+            else:
+                fields = json.loads(line.split(" ", 2)[2])
+                out.append((fields["filename"], int(fields["offset"]), int(fields["length"])))
+    except (KeyError, IndexError, TypeError, ValueError) as e:
+        raise ValueError(f"an index line has no file name, offset and length: {e!r}") from e
+    return sorted(set(out))
+
+
+def places_of(f, size: int) -> list[tuple[int, int]]:
+    """Where a package's records begin in the file, and their lengths, ascending."""
+    found = members(f, size)
+    archives = {m.name.rpartition("/")[2]: m for m in found if m.name.startswith("archive/") and m.name.endswith((".warc.gz", ".warc"))}
+    indexes = [m for m in found if m.name.startswith("indexes/") and m.name.removesuffix(".gz").endswith((".cdx", ".cdxj"))]
+    if not archives or not indexes:
+        raise ValueError("the package has no records under archive/, or no index under indexes/")
+    base, out = {name: stored_at(f, m) for name, m in archives.items()}, []
+    for m in indexes:
+        raw = read_range(f, stored_at(f, m), m.stored_size)
+        for name, at, n in index_places(gzip.decompress(raw) if m.name.endswith(".gz") else raw):
+            name = name.rpartition("/")[2]
+            if name not in base or at < 0 or n < 0 or at + n > archives[name].stored_size:
+                raise ValueError(f"the index has a record that is not there: {name}, {at}, {n}")
+            out.append((base[name] + at, n))
+    return sorted(set(out))
+
+
+def _record_at(raw: bytes) -> Record:
+    return parse_record(raw if raw[:2] == b"\x1f\x8b" else gzip.compress(raw, 1))
+
+
 def read_archive(uri: str) -> Iterator[Record]:
-    """The records of an archive in its index's order, read by range in runs of some MB."""
+    """The records that an archive's indexes list, by place, read by range in runs of some MB."""
     f, size = open_file(uri)
     with f:
-        by_name = {m.name: m for m in members(f, size)}
-        base, index_at = stored_at(f, by_name[RECORDS]), stored_at(f, by_name[INDEX])
-        places = [tuple(map(int, x.split())) for x in read_range(f, index_at, by_name[INDEX].size).decode().splitlines()]
+        places = places_of(f, size)
         i = 0
         while i < len(places):
             j, start = i, places[i][0]
-            while j < len(places) and (j == i or start <= places[j][0] and sum(places[j]) - start <= READ_BYTES):
+            while j < len(places) and (j == i or sum(places[j]) - start <= READ_BYTES):
                 j += 1
-            raw = read_range(f, base + start, max(sum(p) for p in places[i:j]) - start)
+            raw = read_range(f, start, max(sum(p) for p in places[i:j]) - start)
             for at, n in places[i:j]:
-                yield parse_record(raw[at - start : at - start + n])
+                yield _record_at(raw[at - start : at - start + n])
             i = j
 
 
 def read_one(uri: str, nth: int) -> Record:
-    """One record: three small range reads and the record's own bytes."""
+    """One record by its place: the directory, the index and the record's own bytes are read."""
     f, size = open_file(uri)
     with f:
-        by_name = {m.name: m for m in members(f, size)}
-        index_at = stored_at(f, by_name[INDEX])
-        at, n = map(int, read_range(f, index_at, by_name[INDEX].size).decode().splitlines()[nth].split())
-        return parse_record(read_range(f, stored_at(f, by_name[RECORDS]) + at, n))
+        return _record_at(read_range(f, *places_of(f, size)[nth]))
 
 
 def write_archives(
@@ -251,10 +325,13 @@ def write_archives(
         .select("sha", "largest"),
         "payload-groups",
     )
-    small = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    joined = rows.join(F.broadcast(groups) if small else groups, "sha", "left")
+    # only payloads that may be repeated are shuffled to their group; a bitmap finds them
+    names = groups.select(F.xxhash64("sha").alias("name"))
+    marked = with_held(rows.withColumn("name", F.xxhash64("sha")), names, "name", "held")
+    lone = marked.where("not held").withColumn("largest", F.lit(None).cast(groups.schema["largest"].dataType))
+    joined = marked.where("held").join(groups.hint("merge"), "sha", "left").unionByName(lone)
     other = F.col("largest").isNotNull() & ~F.col("key").eqNullSafe(F.col("largest"))
-    records = joined.select(F.col("key").cast("string").alias("key"), "url", "html", F.when(other, F.col("largest").cast("string")).alias("refers_to"))
+    records = joined.select(F.col("key").cast("string").alias("key"), "url", "html", "sha", F.when(other, F.col("largest").cast("string")).alias("refers_to"))
     folder = new_path(spark, "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,23 +350,29 @@ def write_archives(
             )
 
         for b in batches:
-            for k, u, h, r in zip(*(b.column(i) for i in range(4))):
+            for k, u, h, sha, r in zip(*(b.column(i) for i in range(5))):
                 payload = (h.as_py() or "").encode("utf-8", "surrogatepass")
-                records.append(build_record(k.as_py(), u.as_py(), payload, r.as_py()))
-                size += len(records[-1])
+                name = base64.b32encode(bytes.fromhex(sha.as_py())).decode()
+                raw = build_record(k.as_py(), u.as_py(), payload, r.as_py(), name)
+                records.append(Packed(raw, u.as_py() or "", name, "response" if r.as_py() is None else "revisit"))
+                size += len(raw)
                 if size >= archive_bytes:
                     yield close()
                     records, size = [], 0
         if records:
             yield close()
 
-    return materialize(records.mapInArrow(write, "uri string, n_records long, n_bytes long"), "archives")
+    out = materialize(records.mapInArrow(write, "uri string, n_records long, n_bytes long"), "archives")
+    release(groups)
+    return out
 
 
 def read_archives(manifest: DataFrame, key_type: str = "bigint") -> DataFrame:
-    """A row per record of the archives listed: ``page_id, payload_bytes, payload_digest, record_type, refers_to, url``.
+    """A row per response or revisit of the archives listed.
 
-    A revisit's payload length is that of its HTTP header, its digest that of its record.
+    ``page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_id``. A
+    revisit's payload length is that of its HTTP header, its digest that of its record;
+    both are null where a record of another writer does not give them.
     """
     ship(manifest.sparkSession)
 
@@ -299,23 +382,27 @@ def read_archives(manifest: DataFrame, key_type: str = "bigint") -> DataFrame:
                 rows = []
                 for r in read_archive(uri):
                     h = r.headers
+                    if h["warc-type"] not in ("response", "revisit"):
+                        continue
+                    length = r.http.get("content-length", "")
                     rows.append((
                         key_of(h["warc-record-id"]),
-                        len(r.payload) if h["warc-type"] == "response" else int(r.http["content-length"]),
-                        h["warc-payload-digest"].removeprefix("sha1:"),
+                        len(r.payload) if h["warc-type"] == "response" else int(length) if length.isdigit() else None,
+                        h["warc-payload-digest"].rpartition(":")[2] if "warc-payload-digest" in h else None,
                         h["warc-type"],
                         key_of(h["warc-refers-to"]) if "warc-refers-to" in h else None,
-                        h["warc-target-uri"],
+                        h.get("warc-target-uri"),
+                        h["warc-record-id"],
                     ))
-                columns = list(zip(*rows)) or [()] * 6
+                columns = list(zip(*rows)) or [()] * 7
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), *[pa.string()] * 4))],
-                    names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"],
+                    [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), *[pa.string()] * 5))],
+                    names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id"],
                 )
 
     dealt = manifest.select("uri").repartition(shuffle_width(manifest.sparkSession))
     out = dealt.mapInArrow(
-        read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string"
+        read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, record_id string"
     )
     return out.withColumn("page_id", F.col("page_id").cast(key_type)).withColumn("refers_to", F.col("refers_to").cast(key_type))
 
