@@ -8,8 +8,12 @@ before they are stored, so a store grows with batches and groups, not with docum
 A batch counts once its commit file exists. That file names the batch's data, is written
 aside after them and renamed to the batch's name, which fails if the name is taken: a
 batch that breaks off leaves data nobody reads, and one that is sent again changes
-nothing. Where a rename is not atomic (object stores) one writer at a time may commit.
-Compaction is a commit that replaces those it lists.
+nothing. Where a rename to a name that is taken is not refused in one step (local files,
+object stores) one writer at a time may commit.
+
+Compaction is a commit that replaces those it lists. It is named by its generation, one
+more than the last it knows, so of two that read the same batches one fails. Readers open
+the last compaction and the commits it does not list.
 """
 
 from __future__ import annotations
@@ -19,15 +23,16 @@ import json
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import new_column, ship
 
 GROUP = ["source", "lang", "version"]
+_COMPACTION = "compaction-"
 _SCHEMA = "source string, lang string, version string, n_docs long, n_tokens long"
 
 
@@ -55,7 +60,7 @@ def with_token_counts(docs: DataFrame, out: str, rank_paths: dict[str, str], pat
                 rows.append([(v, len(e.encode_ordinary(t))) for v, e in encodings])
             yield pa.array(rows, pa.map_(pa.string(), pa.int64()))
 
-    return docs.withColumn(out, count.asNondeterministic()(F.col(text)))
+    return docs.withColumn(new_column(docs, out), count.asNondeterministic()(F.col(text)))
 
 
 def inserts(counts: DataFrame) -> DataFrame:
@@ -84,21 +89,20 @@ class Rollup:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _commits(self) -> dict[str, dict]:
+    def _names(self) -> tuple[list[int], list[str]]:
+        """Generations of the compactions, and the names of the other batches that have a commit file of their own."""
         p, system = self._file("commits")
-        if not system.exists(p):
-            return {}
-        out = {}
-        for status in system.listStatus(p):
-            if not status.getPath().getName().endswith(".json"):
-                continue
-            stream = system.open(status.getPath())
-            raw = bytes(self.spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream))
-            stream.close()
-            if raw:  # an empty file is a commit that was never finished
-                body = json.loads(raw)
-                out[body["batch"]] = body
-        return out
+        files = [f.getPath().getName() for f in system.listStatus(p)] if system.exists(p) else []
+        names = [unquote(f.removesuffix(".json")) for f in files if f.endswith(".json")]
+        folded = [n.removeprefix(_COMPACTION) for n in names if n.startswith(_COMPACTION)]
+        return sorted(map(int, folded)), sorted(n for n in names if not n.startswith(_COMPACTION))
+
+    def _read(self, batch: str) -> dict:
+        p, system = self._file(f"commits/{quote(batch, safe='')}.json")
+        stream = system.open(p)
+        raw = bytes(self.spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream))
+        stream.close()
+        return json.loads(raw)
 
     def _commit(self, batch: str, changes: DataFrame, replaces: list[str]) -> bool:
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
@@ -117,23 +121,26 @@ class Rollup:
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch's signed changes once; False if a batch of that name is committed already."""
+        if batch.startswith(_COMPACTION):
+            raise ValueError(f"names that begin with {_COMPACTION} are for compactions")
         if batch in self.batches():
             return False
         return self._commit(batch, changes, [])
 
     def batches(self) -> set[str]:
         """All batches ever committed, folded ones included."""
-        commits = self._commits()
-        return set(commits) | {b for c in commits.values() for b in c["replaces"]}
+        return set(self._names()[1])
 
-    def _live(self) -> list[dict]:
-        commits = self._commits()
-        replaced = {b for c in commits.values() for b in c["replaces"]}
-        return [c for b, c in sorted(commits.items()) if b not in replaced]
+    def _live(self) -> tuple[int, list[dict]]:
+        """The last compaction's generation, 0 if there is none, and the commits that count."""
+        folded, names = self._names()
+        last = [self._read(f"{_COMPACTION}{folded[-1]}")] if folded else []
+        replaced = set(last[0]["replaces"]) if last else set()
+        return folded[-1] if folded else 0, last + [self._read(n) for n in names if n not in replaced]
 
     def changes(self) -> DataFrame:
         """The stored changes that count."""
-        paths = [c["data"] for c in self._live()]
+        paths = [c["data"] for c in self._live()[1]]
         if not paths:
             return self.spark.createDataFrame([], _SCHEMA)
         return self.spark.read.schema(_SCHEMA).parquet(*paths)
@@ -144,9 +151,13 @@ class Rollup:
         return out.where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
     def compact(self) -> bool:
-        """Fold all live batches into one; readers see the same totals before and after."""
-        live = self._live()
+        """Fold all live batches into one; readers see the same totals before and after.
+
+        False if there is nothing to fold, or another compaction of this generation came first.
+        """
+        last, live = self._live()
         if len(live) < 2:
             return False
-        names = sorted({b for c in live for b in [c["batch"], *c["replaces"]]})
-        return self._commit(f"compaction-{uuid.uuid4().hex}", self.changes(), names)
+        names = sorted({b for c in live for b in [c["batch"], *c["replaces"]] if not b.startswith(_COMPACTION)})
+        stored = self.spark.read.schema(_SCHEMA).parquet(*[c["data"] for c in live])
+        return self._commit(f"{_COMPACTION}{last + 1}", stored, names)
