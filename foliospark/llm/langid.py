@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import new_column, ship
 
 #: N-grams of a language profile, and of a document.
 PROFILE_SIZE = 400
@@ -34,24 +34,25 @@ _BITS = 21
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """For every code point, whether it is a letter or a mark."""
+    """For every code point 2 if it is a letter, 1 if it is a mark, else 0."""
+    kinds = {"L": 2, "M": 1}
     return np.fromiter(
-        (unicodedata.category(chr(i))[0] in "LM" for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1
+        (kinds.get(unicodedata.category(chr(i))[0], 0) for i in range(sys.maxunicode + 1)), np.int8, sys.maxunicode + 1
     )
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a text, packed 21 bits a character, ascending, with their counts.
 
-    The text is lower-cased; runs of other than letters are one space, at both ends too;
-    n-grams that hold a space between two characters, or nothing else, are left out.
-    No letters: empty.
+    The text is lower-cased; runs of other than letters and marks are one space, at both
+    ends too; n-grams that hold a space between two characters, or nothing else, are left
+    out. No letters: empty, whatever marks there are.
     """
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    letter = _letters()[codes] if len(codes) else np.empty(0, bool)
-    if not letter.any():
+    kind = _letters()[codes] if len(codes) else np.empty(0, np.int8)
+    if not (kind == 2).any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    c = np.where(letter, codes, _SPACE)
+    c = np.where(kind > 0, codes, _SPACE)
     c = np.concatenate(([_SPACE], c, [_SPACE]))
     c = c[np.concatenate(([True], (c[1:] != _SPACE) | (c[:-1] != _SPACE)))]
     one, two = c, c[:-1] << _BITS | c[1:]
@@ -164,7 +165,7 @@ def with_language(docs: DataFrame, out: str, profiles: Profiles, *, text: str =
                 names=["lang_pred", "score"],
             )
 
-    return docs.withColumn(out, predict.asNondeterministic()(F.col(text)))
+    return docs.withColumn(new_column(docs, out), predict.asNondeterministic()(F.col(text)))
 
 
 def held_out(key: Column) -> Column:
