@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_width
+from .common import materialize, release, shuffle_width
 
 #: Rows that one range holds at about this many at most, for the sort inside it.
 ROWS_PER_RANGE = 1_000_000
@@ -20,6 +20,7 @@ ROWS_PER_RANGE = 1_000_000
 def global_offsets(rows: DataFrame, key: list[str], size: str, *, ranges: int | None = None) -> DataFrame:
     """Add ``byte_start`` and ``row_start``: bytes and rows before each row in key order.
 
+    There are as many ranges as shuffle partitions, or more for ``ROWS_PER_RANGE``.
     ``rows`` holds the columns of ``key`` and the long column ``size``; other columns
     travel along and should be narrow. Null keys come first. Rows equal in every column
     of ``key`` take consecutive places in no fixed order. Ranges are cut by all key
@@ -27,7 +28,7 @@ def global_offsets(rows: DataFrame, key: list[str], size: str, *, ranges: int |
     ``total_bytes`` and ``total_rows``. An empty input gives an empty result.
     """
     spark = rows.sparkSession
-    n = ranges or shuffle_width(spark)
+    n = ranges or max(shuffle_width(spark), -(-rows.count() // ROWS_PER_RANGE))
     order = [F.col(k).asc_nulls_first() for k in key]
     ranged = materialize(
         rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranged"
@@ -77,15 +78,17 @@ def shard_by_bytes(
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
     )
-    # written first: the range partitioner looks at its input twice, which must not be the texts
-    narrow = materialize(narrow, "sizes")
-    placed = global_offsets(narrow, ["doc_id", "size", "text_crc32"], "size", ranges=ranges)
+    # written first: the range partitioner looks at its input twice, which must not be the texts;
+    # the number only parts rows that are equal in all else, however many there are
+    narrow = materialize(narrow.withColumn("_any", F.monotonically_increasing_id()), "sizes")
+    placed = global_offsets(narrow, ["doc_id", "size", "text_crc32", "_any"], "size", ranges=ranges)
     # the middle byte, in whole numbers; decimals, as shards * bytes may pass a long
     shard = F.expr(
         f"cast(byte_start + size div 2 as decimal(28,0)) * cast({int(shards)} as decimal(10,0)) "
         "div cast(total_bytes as decimal(28,0))"
     )
-    placed = placed.withColumn("shard", F.least(shard.cast("int"), F.lit(shards - 1)))
+    placed = materialize(placed.withColumn("shard", F.least(shard.cast("int"), F.lit(shards - 1))), "placed")
+    release(narrow)
     first = placed.groupBy("shard").agg(F.min("row_start").alias("_first"))
     return placed.join(F.broadcast(first), "shard").select(  # at most ``shards`` rows
         "doc_id",
