@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, new_column, ship
 
 #: Kinds in the order in which spans of one start are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "generic")
@@ -103,7 +103,7 @@ def with_candidates(docs: DataFrame, out: str, *, text: str = "text", min_entrop
                 )
             yield pa.array(rows, pa.list_(_SPAN_TYPE))
 
-    return docs.withColumn(out, scan.asNondeterministic()(F.col(text)))
+    return docs.withColumn(new_column(docs, out), scan.asNondeterministic()(F.col(text)))
 
 
 def ownership(candidates: DataFrame, *, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
