@@ -14,6 +14,11 @@ from . import brute  # noqa: E402
 ENGLISH = "the quick brown fox of the hill and the lazy dog that lay in the sun for a day"
 
 
+def shingles(text, k=5):
+    words = brute.low(text).split()
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory, docs):
     rng = np.random.default_rng(1)
@@ -49,9 +54,9 @@ def test_stages_take_effect_and_keep_columns(spark, corpus, docs):
     kept = [r for r in rows if r[1] and langid.ngrams(r[1])[0].size]
     assert sorted(map(str, (r["doc_id"] for r in seen["language_id"]))) == sorted(str(r[0]) for r in kept)
 
-    prints = [brute.simhash(r[1]) for r in kept]
+    sets = [shingles(r[1]) for r in kept]
     order = [(r[0] is None, r[0] or 0, i) for i, r in enumerate(kept)]
-    least = brute.components(order, lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
+    least = brute.components(order, lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
     unique = [r for i, r in enumerate(kept) if least[i] == order[i]]
     text = lambda rows: sorted((str(r[0]), r[1]) for r in rows)
     assert text((r["doc_id"], r["text"]) for r in seen["simhash_dedup"]) == text(unique)
@@ -69,6 +74,18 @@ def test_stages_take_effect_and_keep_columns(spark, corpus, docs):
     assert sorted((str(r["doc_id"]), bytes(r["ids"])) for r in seen["byte_bpe"]) == want and all(r["exact"] for r in seen["byte_bpe"])
 
 
+def test_stages_keep_columns_named_like_their_own(spark, corpus):
+    folder = corpus[0]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for clash in ("language", "row_name", "encoded", "key", "text_hash", "kept", "n_words", "segment", "_row_name"):
+        docs = docs.selectExpr("*", f"'clash' as {clash}")
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.materialize(stage(spark, docs, folder), f"clash-{name}")
+        if name != "byte_bpe":
+            assert out.columns == docs.columns and {r["row_name"] for r in out.select("row_name").distinct().collect()} == {"clash"}
+    assert out.count() == docs.count()
+
+
 def test_run_gives_the_last_stage(spark, corpus):
     out = corpus_pipeline.run(spark, corpus[0])
     assert {"doc_id", "n_tokens", "ids"} <= set(out.columns) and out.count() > 10

@@ -5,6 +5,7 @@ import hashlib
 import io
 import zipfile
 import zlib
+from urllib.parse import quote
 
 import numpy as np
 import public_tokenizers
@@ -50,9 +51,35 @@ def test_op2_odd(odd_docs, no_docs, ranges):
     assert sharding.shard_by_bytes(no_docs).count() == 0
 
 
-def test_op2_runs_no_python(odd_docs):
-    plan = sharding.shard_by_bytes(odd_docs)._jdf.queryExecution().toString()
-    assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+def test_op2_runs_no_python(spark, odd_docs, tmp_path, monkeypatch):
+    plans = []
+    stored = sharding.materialize
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(sharding, "materialize", seen)
+    odd_docs.write.parquet(f"{tmp_path}/docs")
+    plans.append(sharding.shard_by_bytes(spark.read.parquet(f"{tmp_path}/docs"))._jdf.queryExecution().toString())
+    assert len(plans) == 4 and not any(w in p for p in plans for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_op2_equal_rows_are_dealt_to_all_ranges(spark, monkeypatch):
+    """Rows equal in all but their number, as nulls may be: no range takes them all."""
+    rows = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    parts = []
+    stored = sharding.materialize
+
+    def seen(df, name):
+        out = stored(df, name)
+        if name == "ranged":
+            parts.extend(r["count"] for r in out.groupBy("_range").count().collect())
+        return out
+
+    monkeypatch.setattr(sharding, "materialize", seen)
+    check_shards(sharding.shard_by_bytes(rows, shards=4, ranges=4).orderBy("byte_start").collect(), [None] * 1000, 4)
+    assert len(parts) == 4 and max(parts) < 500
 
 
 # --- op6 -----------------------------------------------------------------------------------
@@ -87,7 +114,7 @@ def test_op6_odd(spark):
 
 
 def archive(records):
-    return [zip_warc.build_record(str(i), "u", r) for i, r in enumerate(records)]
+    return [zip_warc.Packed(zip_warc.build_record(str(i), "u", r), "u", zip_warc.digest(r), "response") for i, r in enumerate(records)]
 
 
 def test_reads_by_range_only(tmp_path):
@@ -121,8 +148,8 @@ def test_damaged_archives(tmp_path):
         read(b"")
     compressed = io.BytesIO()
     with zipfile.ZipFile(compressed, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr(zip_warc.RECORDS, b"".join(archive([b"p"])))
-        z.writestr(zip_warc.INDEX, "0 1\n")
+        z.writestr(zip_warc.RECORDS, archive([b"p"])[0].raw)
+        z.writestr(zip_warc.INDEX, "")
     with pytest.raises(ValueError, match="compressed"):
         read(compressed.getvalue())
     commented = io.BytesIO(good)
@@ -131,12 +158,53 @@ def test_damaged_archives(tmp_path):
     assert read(commented.getvalue())[0].payload == b"payload"
 
 
+def other_package(path, names, index, how=zipfile.ZIP_STORED):
+    with zipfile.ZipFile(path, "w", how) as z:
+        for name, raw in names.items():
+            z.writestr(name, raw)
+        for name, raw in index.items():
+            z.writestr(name, raw)
+    return f"file://{path}"
+
+
+def test_reads_packages_of_other_writers(spark, tmp_path):
+    one, two = (zip_warc.build_record(k, f"http://{k}.org/", k.encode() * 9) for k in "ab")
+    info = zip_warc.zlib.compressobj(6, zip_warc.zlib.DEFLATED, 31)
+    info = info.compress(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 4\r\n\r\nx: y\r\n\r\n") + info.flush()
+    plain = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:2>\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: 23\r\n\r\nHTTP/1.1 200 OK\r\n\r\nbody\r\n\r\n"
+    cdx = f" CDX N b a m s k r M S V g\norg,a)/ 20200101000000 http://a.org/ text/html 200 X - - {len(one)} {len(info)} rec-1.warc.gz\n"
+    cdxj = f'!meta {{}}\norg,b)/ 20200101000000 {{"url": "http://b.org/", "filename": "rec-2.warc.gz", "offset": "0", "length": {len(two)}}}\n'
+    more = f'com,c)/ 2020 {{"filename": "rec-3.warc", "offset": "0", "length": "{len(plain)}"}}\nwarcinfo 2020 {{"filename": "rec-1.warc.gz", "offset": 0, "length": {len(info)}}}\n'
+    uri = other_package(tmp_path / "o.wacz", {"archive/rec-1.warc.gz": info + one, "archive/rec-2.warc.gz": two, "archive/rec-3.warc": plain, "pages/pages.jsonl": b""}, {"indexes/a.cdx": cdx, "indexes/b.cdxj": cdxj, "indexes/c.cdx.gz": zip_warc.gzip.compress(more.encode())})
+    assert [(r.headers["warc-record-id"], r.payload) for r in zip_warc.read_archive(uri)] == [("<urn:uuid:1>", b"x: y"), ("<urn:page:key:a>", b"a" * 9), ("<urn:page:key:b>", b"b" * 9), ("<urn:uuid:2>", b"body")]
+    rows = zip_warc.read_archives(spark.createDataFrame([(uri,)], "uri string"), "string").collect()
+    assert sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"]) for r in rows) == [("None", 4, "response"), ("a", 9, "response"), ("b", 9, "response")]
+
+
+@pytest.mark.parametrize("index", ["", "org,a)/ 2020 nothing", 'a 2020 {"filename": "x.warc.gz", "offset": 0, "length": 3}', 'a 2020 {"filename": "a.warc.gz", "offset": 0, "length": 3000}', 'a 2020 {"filename": "a.warc.gz", "offset": 0, "length": 2}'])
+def test_broken_packages_are_value_errors(tmp_path, index):
+    names = {"archive/a.warc.gz": b"\x1f\x8bzz"} if index else {"data/a.warc.gz": b""}
+    with pytest.raises(ValueError):
+        list(zip_warc.read_archive(other_package(tmp_path / "b.wacz", names, {"indexes/i.cdxj": index})))
+
+
+def test_op6_repeated_payloads_meet_at_every_size(spark):
+    """A third of all rows hold one payload; the others are pairs and lone ones."""
+    n = 900
+    rows = [(i, "http://h/", "hot" if i % 3 == 0 else f"pair {i // 6 * 6}" if i % 3 == 1 else f"lone {i}") for i in range(n)]
+    last = {}
+    for i, _, h in rows:
+        last[h] = i
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in zip_warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: ("response", None) if last[h] == i else ("revisit", last[h]) for i, _, h in rows}
+    assert zip_warc.surt("http://www.A.org:81/x y?q=1") == "org,a,www:81)/x%20y?q=1" and " " not in zip_warc.surt("no url [") and zip_warc.surt("http://[") == quote("http://[", safe="/:")
+
+
 # --- op7 -----------------------------------------------------------------------------------
 
 
 def check_store(got, rows):
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     ids = lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
     want = sorted((str(k), len(ids(t)), zlib.crc32(np.array(ids(t), "<u4").tobytes())) for k, t in rows)
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in got) == want
@@ -166,20 +234,59 @@ def test_op7_added_tokens_are_the_librarys(spark):
 
 
 def test_keyed_access(spark, docs):
-    manifest = token_store.write_shards(docs, JSON, PATTERN, shards=3).orderBy("shard").collect()
+    stored = token_store.write_shards(docs, JSON, PATTERN, ranges=3)
+    manifest = stored.orderBy("shard").collect()
     tokenizer = Tokenizer.from_file(JSON)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert len(manifest) == 3 and all(m["first_key"] <= m["last_key"] for m in manifest)
+    assert all(a["last_key"] < b["first_key"] and a["first_id"] + a["n_ids"] == b["first_id"] for a, b in zip(manifest, manifest[1:]))
     found = 0
     for m in manifest:
         shard = token_store.Shard(m["uri"])
         first, run = shard.find([token_store.key_bytes(k) for k in texts])
         for k, f, n in zip(texts, first, run):
+            one = shard.get(token_store.key_bytes(k))
+            assert len(one) == n and (n > 0) == (m["first_key"] <= k <= m["last_key"])
             if n:
                 found += 1
-                assert shard.ids(int(f)).tolist() == [*tokenizer.encode(texts[k], add_special_tokens=False).ids, 0]
+                want = [*tokenizer.encode(texts[k], add_special_tokens=False).ids, 0]
+                assert shard.ids(int(f)).tolist() == want and one[0].tolist() == want
         strangers = shard.find([b"k-%d" % i for i in range(20_000)])[1]
         assert strangers.sum() <= 1  # a fingerprint of 32 bits
     assert found == len(texts)
+    for k in (7, 150):
+        assert [x.tolist() for x in token_store.look_up(stored, k)] == [[*tokenizer.encode(texts[k], add_special_tokens=False).ids, 0]]
+    assert token_store.look_up(stored, -5) == [] and token_store.look_up(stored, None) == []
+
+
+def test_keys_over_many_shards(spark, monkeypatch):
+    """Small shards; one key holds most rows; nulls are a key too."""
+    monkeypatch.setattr(token_store.ShardWriter, "full", lambda self: len(self.keys) >= 10)
+    rows = [(None, f"null {i % 3}") for i in range(25)] + [("k", f"text {i % 5}") for i in range(60)] + [(f"x{i}", "a" * i) for i in range(15)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    check_store(token_store.round_trip(df, JSON, PATTERN).collect(), rows)
+    stored = token_store.write_shards(df, JSON, PATTERN)
+    assert len(token_store.look_up(stored, None)) == 25 and len(token_store.look_up(stored, "k")) == 60 and len(token_store.look_up(stored, "x3")) == 1 and not token_store.look_up(stored, "x")
+
+
+def test_a_look_up_reads_no_more_in_a_larger_shard(tmp_path):
+    def most(n):
+        path = f"{tmp_path}/{n}.ids"
+        with open(path, "wb") as out:
+            writer = token_store.ShardWriter(out, np.dtype("<u2"))
+            for i in range(n):
+                writer.add(token_store.key_bytes(i), np.arange(5, dtype="<u2").tobytes())
+            writer.close()
+        reads = []
+        for i in range(0, n, max(1, n // 300)):
+            shard = token_store.Shard(f"file://{path}")
+            assert shard.get(token_store.key_bytes(i))[0].tolist() == [0, 1, 2, 3, 4]
+            reads.append(shard.bytes_read)
+            shard.close()
+        return sum(reads) / len(reads)
+
+    small, large = most(1000), most(100_000)
+    assert large < 2500 and large < 1.05 * small
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 30_000])
@@ -236,6 +343,39 @@ def test_op8_hot_groups_and_oddities(spark, block):
     assert sorted((str(r["vec_id"]), r["n_links"], r["kept"]) for r in pq_dedup.near_duplicate_vectors(short).collect()) == [("1", 1, True), ("2", 1, False), ("3", 0, True), ("None", 0, False)]
 
 
+def test_op8_compares_vectors_of_each_length(spark):
+    x = [[1.0, 2.0, 3.0], [1.0, 2.0, 3.1], [9.0, -1.0, 0.0], [1.0, 2.0], [2.0, 4.0], [1.0, 2.0], [5.0], [-5.0]]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in pq_dedup.near_duplicate_vectors(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (1, 0, True), 1: (1, 0, False), 2: (0, 2, True), 3: (2, 3, True), 4: (2, 3, False), 5: (2, 3, False), 6: (0, 6, True), 7: (0, 7, True)}
+
+
+def test_op8_repeated_keys_are_vectors_of_their_own(spark):
+    x = [(1, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [1.0, 0.0]), (2, [0.0, 1.0])]
+    got = sorted(tuple(r) for r in pq_dedup.near_duplicate_vectors(spark.createDataFrame(x, "vec_id long, embedding array<float>")).collect())
+    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True), (2, 2, 1, False)]
+
+
+def test_classes_are_those_of_the_pairs():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 30, 300):
+        a, b = rng.integers(0, 200, n), rng.integers(0, 200, n)
+        nodes, roots = pq_dedup.classes(a, b)
+        keys = sorted({*a.tolist(), *b.tolist()})
+        pairs = {(x, y) for x, y in zip(a.tolist(), b.tolist())}
+        want = dict(zip(keys, brute.components(keys, lambda i, j: (keys[i], keys[j]) in pairs or (keys[j], keys[i]) in pairs)))
+        assert dict(zip(nodes.tolist(), roots.tolist())) == {k: r for k, r in want.items() if k != r}
+
+
+def test_op8_two_levels_split_units_and_lists(spark):
+    """Many lists, tiny blocks: units of several lists, split lists, several groups of visitors."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 12))
+    x = [(centres[i % 40] + 0.1 * rng.normal(size=12)).astype(np.float32).tolist() for i in range(800)]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<float>")
+    compare_vectors(pq_dedup.near_duplicate_vectors(df, lists=60, block=12, margin=0.16).collect(), list(range(len(x))), x)
+    assert pq_dedup.units_of([5, 5, 30, 0, 4, 4], [1, 1, 1, 1, 1, 2], 12) == ([0, 0, 1, 2, 2, 3], [1, 1, 3, 1, 1, 1])
+
+
 # --- op9 -----------------------------------------------------------------------------------
 
 
@@ -273,6 +413,39 @@ def test_rollup_batches_count_once(spark, tmp_path):
     assert len(totals()) == 2
 
 
+def test_of_two_compactions_one_counts(spark, tmp_path):
+    one, two = (token_rollup.Rollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    rows = spark.createDataFrame([("s", "en", "v", 5)], "source string, lang string, version string, n_tokens long")
+    for name in "ab":
+        one.commit(name, token_rollup.inserts(rows))
+    seen = two._live()
+    two._live = lambda: seen  # has read the same batches before the first commits
+    assert one.compact() and not two.compact()
+    assert [tuple(r)[3:] for r in one.totals().collect()] == [(2, 10)]
+    one.commit("c", token_rollup.inserts(rows))
+    assert one.compact() and one._names()[0] == [1, 2] and one.batches() == {"a", "b", "c"}
+    assert [tuple(r)[3:] for r in one.totals().collect()] == [(3, 15)] and len(one._live()[1]) == 1
+    with pytest.raises(ValueError):
+        one.commit("compaction-9", token_rollup.inserts(rows))
+
+
+def test_op9_odd_rows_through_the_totals(spark, tmp_path, odd_docs, no_docs):
+    """Null sources and languages are groups; repeated rows count each; deletes of all leave nothing."""
+    counted = odd_docs.select("source", "lang", F.lit("v").alias("version"), F.coalesce(F.length("text"), F.lit(0)).alias("n_tokens"))
+    store = token_rollup.Rollup(spark, f"file://{tmp_path}/odd")
+    store.commit("none", token_rollup.inserts(counted.limit(0)))
+    assert store.totals().count() == 0
+    store.commit("a/b c%", token_rollup.inserts(counted))
+    want = {}
+    for r in counted.collect():
+        n, t = want.get((r["source"], r["lang"]), (0, 0))
+        want[r["source"], r["lang"]] = (n + 1, t + r["n_tokens"])
+    assert {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in store.totals().collect()} == want and (None, None) in want
+    assert not store.commit("a/b c%", token_rollup.inserts(counted)) and store.compact()
+    store.commit("gone", token_rollup.deletes(counted))
+    assert store.totals().count() == 0
+
+
 def test_op9_odd(odd_docs, no_docs):
     counted = token_rollup.with_token_counts(odd_docs, "n", {"v": public_tokenizers.path("byte_bpe_50k.tiktoken")}, PATTERN)
     assert {r["doc_id"]: r["n"]["v"] for r in counted.where("doc_id in (2, 3)").collect()} == {2: 0, 3: 0}

@@ -9,6 +9,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from foliospark.llm import bpe, decontaminate, langid, queries, secret_scan, simhash, token_store
 from foliospark.llm.common import connected_components
@@ -122,13 +123,25 @@ def test_bucket_masks_and_pivots():
     assert simhash.pivot_table(fp, pivots)[7, 3] == (int(fp[7]) ^ int(pivots[3])).bit_count()
 
 
+def test_pivot_table_narrows_the_pairs():
+    """Of a bucket's pairs a window of the first pivot leaves some, the table few, the bits those within the radius."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    fp = np.unique(np.concatenate([base, base[:60] ^ np.uint64(0b1011)]))
+    seen = {}
+    a, b = simhash.close_pairs(fp, np.zeros(len(fp), np.int64), simhash.reference_fingerprints(), 4, seen)
+    pairs = len(fp) * (len(fp) - 1) // 2
+    assert len(a) == 60 == seen["close"] and (np.bitwise_count(a ^ b) <= 4).all()
+    assert seen["close"] <= seen["left"] < pairs / 100 and seen["windows"] < 0.85 * pairs
+
+
 # --- op4, op7: tokenizers ------------------------------------------------------------------
 
 
 @pytest.fixture(scope="module")
 def encoders():
     reference = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=brute.ranks(RANKS), special_tokens={})
-    return reference, bpe.Codec(RANKS, PATTERN, 500), token_store.LibraryCodec(JSON, PATTERN, 500)
+    return reference, bpe.Codec(RANKS, PATTERN, 50_000), token_store.LibraryCodec(JSON, PATTERN, 50_000)
 
 
 ODD_TEXTS = ["", " ", "  a", "a  b   c ", "a \n b\n\n c", "it's we'll I'M ' s", "<|endoftext|> x<|endoftext|>", "é 😀😀 中文 １２", "՘'s \x1c a\x85b　c ", "tab\t tab", "x" * 5000, "a​ b  c"]
@@ -136,10 +149,10 @@ ODD_TEXTS = ["", " ", "  a", "a  b   c ", "a \n b\n\n c", "it's we'll I'M ' s",
 
 def test_codecs_agree_with_the_reference_library(encoders):
     reference, codec, library = encoders
+    whole = Tokenizer.from_file(JSON)  # at its default settings: added tokens count
     for t in ODD_TEXTS:
-        want = reference.encode_ordinary(t)
-        assert codec.encode(t) == np.array(want, "<u4").tobytes(), t
-        assert library.encode(t) == np.array(want, library.dtype).tobytes(), t
+        assert codec.encode(t) == np.array(reference.encode_ordinary(t), "<u4").tobytes(), t
+        assert library.encode(t) == np.array(whole.encode(t, add_special_tokens=False).ids, library.dtype).tobytes(), t
         assert codec.decode(codec.encode(t)) == t.encode()
 
 
@@ -152,6 +165,33 @@ def test_codecs_on_random_texts(encoders, t):
     assert codec.decode(codec.encode(t)) == t.encode()
 
 
+def test_caches_are_bounded_by_bytes_and_keep_no_long_piece(encoders):
+    """Texts without spaces are pieces as long as they: none stays."""
+    rng = np.random.default_rng(8)
+    c = bpe.Codec(RANKS, PATTERN, 20_000)
+    held = lambda d: sum(bpe.sys.getsizeof(k) + bpe.sys.getsizeof(v) + bpe.ENTRY_BYTES for k, v in d.items())
+    for _ in range(40):
+        for t in ("".join(map(chr, rng.integers(0x4E00, 0x9FA5, 3000))), "".join(rng.choice(list("abXY012+/"), 4000)), " ".join(f"w{int(i)}" for i in rng.integers(0, 1 << 40, 60))):
+            assert c.encode(t) == np.array(encoders[0].encode_ordinary(t), "<u4").tobytes()
+            for cache in (c.pieces, c.others):
+                assert held(cache) == cache.used <= cache.limit and max(map(len, cache), default=0) <= bpe.CACHED_PIECE
+
+
+def test_patterns_that_do_not_cut_at_spaces_are_encoded_whole():
+    for pattern, cuts in ((PATTERN, True), (r"\w+ \w+|.|\n", False), (r"[^ ]+ ?| ", False)):
+        c = bpe.Codec(RANKS, pattern)
+        assert c.cuts == cuts
+        reference = tiktoken.Encoding("p", pat_str=pattern, mergeable_ranks=brute.ranks(RANKS), special_tokens={})
+        for t in ("ab cd ef", "a  b", "x, y z."):
+            assert c.encode(t) == np.array(reference.encode_ordinary(t), "<u4").tobytes()
+
+
+def test_results_do_not_replace_columns(docs):
+    for mark in (lambda d: simhash.with_fingerprint(d, "lang"), lambda d: bpe.with_ids(d, "LANG", RANKS, PATTERN), lambda d: langid.with_language(d, "lang", langid.Profiles({})), lambda d: secret_scan.with_candidates(d, "lang")):
+        with pytest.raises(ValueError):
+            mark(docs)
+
+
 def test_model_needs_whole_ranks():
     with pytest.raises(ValueError):
         bpe.serialize_model({b"a": 0, b"b": 2})
@@ -197,12 +237,37 @@ def test_op5_odd(spark, odd_docs, no_docs, block_bytes):
     assert len(none) == len(rows) and not any(r["contaminated"] for r in none)
 
 
+def test_op5_segments_roll_over(spark, odd_docs):
+    """Documents and batches beyond a segment; a phrase at a document's very end and begin."""
+    rng = np.random.default_rng(6)
+    text = lambda n: " ".join(f"w{int(i)}" for i in rng.integers(0, 9, n))
+    texts = [text(int(n)) for n in rng.integers(0, 60, 80)] + ["", None, text(700)]
+    items = [(str(i), " ".join(texts[i].split()[j : j + 16])) for i, j in ((3, 0), (10, 5), (40, 2), (82, 650))] + [("short", "w1 w2 w3"), ("absent", "w1 w2 never seen here"), ("one", "w5")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items_sha256"]) for r in decontaminate.decontaminate(df, bench, segment_words=50, block_bytes=200).collect()}
+    want = {i: (n, hit, hashlib.sha256(",".join(ids).encode()).hexdigest()) for i, (n, hit, ids, _) in enumerate(brute.contamination(texts, items))}
+    assert got == want
+    with pytest.raises(ValueError):
+        decontaminate.decontaminate(df.withColumn("n_hit", F.col("doc_id")), bench, key="n_hit")
+    named = decontaminate.decontaminate(df.withColumnRenamed("doc_id", "segment"), bench, key="segment")
+    assert {r["segment"]: r["n_hit"] for r in named.collect()} == {k: v[1] for k, v in want.items()}
+
+
+def test_index_holds_every_word_of_every_document(spark):
+    df = spark.createDataFrame([(1, "red x red"), (2, None), (2, "x")], "doc_id long, text string")
+    index = decontaminate.build_index(df.coalesce(1))
+    assert sorted((bytes(r["term"]), r["n"]) for r in index.where("term is not null").collect()) == [(b"red", 2), (b"x", 2)]
+    assert sorted((r["key"], r["n_words"]) for r in index.where("term is null").collect()) == [(1, 3), (2, 0), (2, 1)]
+    whole = decontaminate.phrase_matches(index, [("i", [b"x", b"red"]), ("j", [b"red", b"red"])])
+    assert [(r["item_id"], [tuple(s) for s in r["spans"]]) for r in whole.collect()] == [("i", [(1, 3)])]
+
+
 def test_proximity(spark):
     df = spark.createDataFrame([(1, "red x x fox x x x red"), (2, "red " + "x " * 9 + "fox"), (3, "fox"), (4, "red"), (5, "fox red")], "doc_id long, text string")
-    for terms in (None, [b"red", b"fox", b"x"]):
-        index = decontaminate.build_index(df, terms=terms)
-        got = {r["key"]: r["places"] for r in decontaminate.proximity_matches(index, [("q", [b"red", b"fox"], 3)]).collect()}
-        assert set(got) == {1, 5}
+    index = decontaminate.build_index(df)
+    got = {r["key"]: r["places"] for r in decontaminate.proximity_matches(index, [("q", [b"red", b"fox"], 3)]).collect()}
+    assert set(got) == {1, 5}
 
 
 # --- op10 ----------------------------------------------------------------------------------
@@ -236,6 +301,57 @@ def test_op10_learns_nothing_from_held_out_labels(spark, docs):
     assert one.exceptAll(two).count() == 0
 
 
+def plain_ngrams(text):
+    """N-grams of one to three characters in plain Python."""
+    import unicodedata
+
+    kind = [unicodedata.category(c)[0] for c in text.lower()]
+    if "L" not in kind:
+        return {}
+    words = "".join(c if k in "LM" else " " for c, k in zip(text.lower(), kind)).split(" ")
+    padded = " " + " ".join(w for w in words if w) + " "
+    found = {}
+    for n in (1, 2, 3):
+        for i in range(len(padded) - n + 1):
+            g = padded[i : i + n]
+            if g != " " and " " not in g[1:-1]:
+                found[g] = found.get(g, 0) + 1
+    return found
+
+
+def ranked(found, size):
+    # ties by characters' codes, shorter n-grams first
+    return sorted(found, key=lambda g: (-found[g], sum(ord(c) << 21 * i for i, c in enumerate(reversed(g)))))[:size]
+
+
+def test_op10_matches_a_plain_version(spark, sf_dir, docs):
+    import zlib
+
+    rows = docs.collect()
+    profiles = {}
+    for r in rows:  # fewer than are learned from at most: all count
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            own = profiles.setdefault(r["lang"], {})
+            for g, n in plain_ngrams(r["text"]).items():
+                own[g] = own.get(g, 0) + n
+    profiles = {lang: {g: i for i, g in enumerate(ranked(found, langid.PROFILE_SIZE))} for lang, found in profiles.items()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op10_language_id(spark, sf_dir).collect()}
+    for r in rows:
+        top = ranked(plain_ngrams(r["text"]), langid.DOCUMENT_SIZE)
+        if not top:
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        size = langid.PROFILE_SIZE
+        away = {lang: sum(min(abs(p[g] - i), size) if g in p else size for i, g in enumerate(top)) / len(top) for lang, p in profiles.items()}
+        best = min(sorted(away), key=away.__getitem__)
+        assert got[r["doc_id"]][0] == best and got[r["doc_id"]][1] == pytest.approx(1 - away[best] / size)
+
+
+def test_marks_alone_are_no_letters(spark):
+    model = langid.Profiles({"en": [ord("a")]})
+    assert model.predict("\u0301\u0302 \u0903") == ("und", 0.0) and model.predict("a\u0301")[0] == "en"
+
+
 def test_op10_odd(odd_docs, no_docs):
     got = langid.identify(odd_docs).collect()
     assert len(got) == odd_docs.count()
