@@ -25,12 +25,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_column, ship
+from .common import lean, new_column, ship
 
 #: Bytes that a worker's cache of pieces takes before it is emptied, and characters of the longest piece in it.
-CACHE_BYTES, CACHED_PIECE = 24 << 20, 64
+CACHE_BYTES, CACHED_PIECE = 64 << 20, 64
 #: Bytes of an entry beside those of its two objects.
-ENTRY_BYTES = 100
+ENTRY_BYTES = 70
 _LITTLE = sys.byteorder == "little"
 #: A character that is no letter, number or white space, and stays so: for private use.
 _SYMBOL = chr(0xE000)
@@ -103,18 +103,25 @@ def pieces_of(text: str) -> list[str]:
 
 
 class _Cache(dict):
-    """A dict that computes what is missing, keeps it unless its key is long, and starts anew when it is full."""
+    """A dict that computes what is missing and keeps it, unless its key is long.
+
+    When half the limit is full, what was kept becomes the older half, from which what is
+    asked for again returns; the older half before it goes.
+    """
 
     def __init__(self, compute, limit: int):
-        self.compute, self.limit, self.used = compute, limit, 0
+        self.compute, self.limit, self.used, self.older = compute, limit, 0, {}
 
     def __missing__(self, k):
-        v = self.compute(k)
+        v = self.older.pop(k, None)
+        if v is None:
+            v = self.compute(k)
         if len(k) <= CACHED_PIECE:
-            self.used += sys.getsizeof(k) + sys.getsizeof(v) + ENTRY_BYTES
-            if self.used > self.limit:
+            size = sys.getsizeof(k) + sys.getsizeof(v) + ENTRY_BYTES
+            if 2 * (self.used + size) > self.limit:
+                self.older, self.used = dict(self), 0
                 self.clear()
-                self.used = sys.getsizeof(k) + sys.getsizeof(v) + ENTRY_BYTES
+            self.used += size
             self[k] = v
         return v
 
@@ -250,6 +257,7 @@ def with_ids(docs: DataFrame, out: str, rank_path: str, pattern: str, *, text: s
     ship(docs.sparkSession)
 
     @F.arrow_udf("struct<ids:binary,n_tokens:bigint,exact:boolean>")
+    @lean
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(rank_path, pattern)
         for batch in batches:
@@ -276,6 +284,7 @@ def round_trip_digests(
     ship(docs.sparkSession)
 
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    @lean
     def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(rank_path, pattern)
         for batch in batches:

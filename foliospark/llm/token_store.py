@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import PieceEncoder
-from .common import materialize, new_path, release, ship, shuffle_width
+from .common import lean, materialize, new_path, release, ship, shuffle_width
 from .sharding import global_offsets
 from .zip_warc import open_file, read_range
 
 MAGIC = b"FOLIOIDS"
 #: Bytes of a worker's cache of pieces: more than :mod:`.bpe`'s, as a miss costs more here.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 256 << 20
 #: Bytes of ids, and documents, at which a shard is closed.
 SHARD_BYTES, SHARD_DOCUMENTS = 256 << 20, 1 << 18
 #: Bits a key and level of the perfect hash: more finish sooner, fewer are smaller.
@@ -353,6 +353,7 @@ def write_shards(
     bounds = sorted(_place(r["key"], r["hash"], r["any"]) for r in bounds)
     release(narrow)
 
+    @lean
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = library_codec(tokenizer_path, pattern)
         end = np.array([end_id], codec.dtype).tobytes()
@@ -366,6 +367,7 @@ def write_shards(
     folder = new_path(spark, "token-ids")
     schema = f"shard long, uri string, n_documents long, n_ids long, first_key {key_type}, last_key {key_type}"
 
+    @lean
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = library_codec(tokenizer_path, pattern).dtype
         writer, out, uri, first, last, n, kind = None, None, "", None, None, 0, None
@@ -406,6 +408,7 @@ def read_shards(manifest: DataFrame, key_type: str = "bigint") -> DataFrame:
     """
     ship(manifest.sparkSession)
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri, first_id in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
