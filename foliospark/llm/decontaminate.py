@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, ship
+from .common import lean, materialize, release, ship, trim
 
 #: Words of a window.
 WINDOW = 13
 #: Words of text that a segment holds at about this many.
-SEGMENT_WORDS = 2_000_000
+SEGMENT_WORDS = 1_000_000
 #: Bytes of benchmark text that are searched at once (and broadcast); more go block by block.
 BLOCK_BYTES = 8 << 20
 
@@ -55,6 +55,7 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", seg
     ship(docs.sparkSession)
     schema = _INDEX.format(key=docs.schema[key].dataType.simpleString())
 
+    @lean
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 32
         seg, n, kind = _Segment(), 0, None
@@ -271,6 +272,7 @@ def phrase_matches(index: DataFrame, items: list[tuple[str, list[bytes]]], windo
                 else:
                     own.append([a, b])
             out += [(int(ordinal[d]), p.items[i], [{"start": a, "end": b} for a, b in own]) for d, own in merged.items()]
+        trim()
         return pa.table(
             {
                 "segment": pa.array([segment] * len(out), pa.int64()),

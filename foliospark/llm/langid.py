@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_column, ship
+from .common import lean, new_column, ship
 
 #: N-grams of a language profile, and of a document.
 PROFILE_SIZE = 400
@@ -125,6 +125,7 @@ def fit(
     share = F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("lang"))
     sample = known.where(unit < share)
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             by: dict[str, list] = {}
@@ -157,6 +158,7 @@ def with_language(docs: DataFrame, out: str, profiles: Profiles, *, text: str =
     model = docs.sparkSession.sparkContext.broadcast(profiles)  # bounded by MAX_LANGUAGES
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @lean
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found = [model.value.predict(t.as_py() or "") for t in batch]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_column, ship
+from .common import lean, materialize, new_column, ship
 
 #: Kinds in the order in which spans of one start are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "generic")
@@ -89,6 +89,7 @@ def with_candidates(docs: DataFrame, out: str, *, text: str = "text", min_entrop
     ship(docs.sparkSession)
 
     @F.arrow_udf(_SPAN_DDL)
+    @lean
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = []

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, new_column, release, ship, shuffle_width
+from .common import connected_components, lean, materialize, new_column, release, ship, shuffle_width
 
 SEED = 42
 BITS = 64
@@ -72,6 +72,7 @@ def with_fingerprint(docs: DataFrame, out: str, *, text: str = "text", words: in
     ship(docs.sparkSession)
 
     @F.arrow_udf("long")
+    @lean
     def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             values = np.fromiter((fingerprint(t.as_py(), words) for t in batch), np.uint64, len(batch))
@@ -142,6 +143,7 @@ def links(
     )
     table = reference_fingerprints(pivots)
 
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp, piece = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for b in batches:  # 16 bytes a row; a partition is one of many

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_column, ship
+from .common import lean, new_column, ship
 
 GROUP = ["source", "lang", "version"]
 _COMPACTION = "compaction-"
@@ -51,6 +51,7 @@ def with_token_counts(docs: DataFrame, out: str, rank_paths: dict[str, str], pat
     versions = sorted(rank_paths)
 
     @F.arrow_udf("map<string,bigint>")
+    @lean
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encodings = [(v, _encoding(rank_paths[v], pattern)) for v in versions]
         for batch in batches:

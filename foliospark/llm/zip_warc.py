@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, release, ship, shuffle_width, with_held
+from .common import lean, materialize, new_path, release, ship, shuffle_width, with_held
 
 RECORDS = "archive/data.warc.gz"
 INDEX = "indexes/index.cdxj"
@@ -334,6 +334,7 @@ def write_archives(
     records = joined.select(F.col("key").cast("string").alias("key"), "url", "html", "sha", F.when(other, F.col("largest").cast("string")).alias("refers_to"))
     folder = new_path(spark, "warc")
 
+    @lean
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = fs.FileSystem.from_uri(folder)
         system.create_dir(path, recursive=True)
@@ -376,6 +377,7 @@ def read_archives(manifest: DataFrame, key_type: str = "bigint") -> DataFrame:
     """
     ship(manifest.sparkSession)
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri in b.column(0).to_pylist():
