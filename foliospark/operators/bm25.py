@@ -1,8 +1,9 @@
 """BM25 over chunks for many queries at once.
 
 Statistics (documents, lengths, document frequencies) are those of the whole corpus;
-filters act after scoring and before the cut. Only postings of terms that some query has
-are counted by chunk; the scan is not repeated for each query.
+filters act after scoring and before the cut. One pass over the words gives frequencies,
+number and lengths of chunks, another counts the queries' terms in each chunk; the scan
+is not repeated for each query.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..model import CANDIDATE_DEPTH
-from .sizes import broadcast_if_small
+from .sizes import is_small, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -25,16 +26,20 @@ def tokens(chunks: DataFrame) -> DataFrame:
     ).withColumn("dl", F.size("tokens"))
 
 
-def corpus_stats(tokenised: DataFrame) -> DataFrame:
-    """One row: ``n_docs, avgdl``."""
-    return tokenised.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+def _counted(tokenised: DataFrame) -> DataFrame:
+    """``term, df, n``: chunks that hold each term; the null term's are all chunks, its ``n`` their length."""
+    one = lambda term, n: F.struct(term.alias("term"), n.cast("long").alias("n"))
+    words = F.transform(F.array_distinct("tokens"), lambda w: one(w, F.lit(0)))
+    rows = F.concat(F.array(one(F.lit(None).cast("string"), F.col("dl"))), words)
+    return tokenised.select(F.explode(rows).alias("w")).groupBy("w.term").agg(F.count("*").alias("df"), F.sum("w.n").alias("n"))
 
 
-def idf(tokenised: DataFrame) -> DataFrame:
-    """``term, df, idf``: negative values become a quarter of the mean over the vocabulary."""
-    df = tokenised.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = tokenised.agg(F.count("*").alias("n_docs"))
-    raw = df.crossJoin(F.broadcast(n)).select(  # one row
+def _stats(counted: DataFrame) -> DataFrame:
+    return counted.where("term is null").select(F.col("df").alias("n_docs"), (F.col("n") / F.col("df")).alias("avgdl"))
+
+
+def _idf(counted: DataFrame) -> DataFrame:
+    raw = counted.where("term is not null").crossJoin(F.broadcast(_stats(counted).select("n_docs"))).select(  # one row
         "term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")
     )
     mean = raw.agg(F.avg("raw").alias("mean"))
@@ -43,24 +48,31 @@ def idf(tokenised: DataFrame) -> DataFrame:
     )
 
 
+def idf(tokenised: DataFrame) -> DataFrame:
+    """``term, df, idf``: negative values become a quarter of the mean over the vocabulary."""
+    return _idf(_counted(tokenised))
+
+
 def scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id, chunk_id, corpus_pos, book_title, chapter, score`` of chunks with a query term.
 
     ``queries`` has ``query_id, question``; a word that a query repeats counts as often.
     """
-    t = tokens(chunks)
+    t = tokens(spread(chunks.select("chunk_id", "corpus_pos", "book_title", "chapter", "text")))
     asked = queries.select("query_id", F.explode(X.whitespace_tokens("question")).alias("term"))
     asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    vocabulary = broadcast_if_small(asked.select("term").distinct())
+    # what is joined to the queries' terms has no more rows than they: one check is enough
+    small = F.broadcast if is_small(asked) else lambda df: df
     # the queries' terms are known before postings are counted, so only theirs are shuffled
     tf = (
         t.select("chunk_id", "corpus_pos", "book_title", "chapter", "dl", F.explode("tokens").alias("term"))
-        .join(vocabulary, "term", "left_semi")
+        .join(small(asked.select("term").distinct()), "term", "left_semi")
         .groupBy("chunk_id", "corpus_pos", "book_title", "chapter", "dl", "term")
         .agg(F.count("*").alias("tf"))
     )
-    weights = broadcast_if_small(asked.join(idf(t), "term"))
-    stats = F.broadcast(corpus_stats(t))  # one row
+    counted = _counted(t)
+    weights = small(asked.join(_idf(counted), "term"))
+    stats = F.broadcast(_stats(counted))  # one row
     part = (
         F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1)
         / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -113,7 +125,8 @@ def top_k(chunks: DataFrame, queries: DataFrame, *, depth: int = CANDIDATE_DEPTH
     ``drop_zero``; queries without a chunk that passes their filters give no rows.
     """
     q = with_filters(queries).select("query_id", "question", "book_filter", "chapter_filter")
-    filters = broadcast_if_small(q.drop("question"))
+    small = F.broadcast if is_small(q) else lambda df: df
+    filters = small(q.drop("question"))
     matched = (
         scores(chunks, q).join(filters, "query_id").where(passes())
         .select("query_id", "chunk_id", "corpus_pos", F.round("score", digits).alias("score"))
@@ -121,15 +134,25 @@ def top_k(chunks: DataFrame, queries: DataFrame, *, depth: int = CANDIDATE_DEPTH
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_pos", "chunk_id")
     top = matched.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= depth).drop("rank")
     if not drop_zero:
+        zero = F.lit(0.0).alias("score")
+        # words below zero stand in over half of all chunks, so a query that has one matches
+        # about as many chunks as it is compared with here; elsewhere no query is
+        low = matched.where("score < 0").select("query_id").distinct()
+        unmatched = (
+            chunks.select("chunk_id", "corpus_pos", "book_title", "chapter").join(small(low.join(filters, "query_id")), passes())
+            .join(matched.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+            .select("query_id", "chunk_id", "corpus_pos", zero)
+        )
+        unmatched = unmatched.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= depth).drop("rank")
         # of 2 * depth chunks at least depth are unmatched where fewer than depth matched
         pools = _pools(chunks, depth).select("chunk_id", "corpus_pos", "f_book", "f_chapter")
+        full = top.groupBy("query_id").count().where(F.col("count") >= depth).select("query_id")
         fill = (
             pools.join(filters, pools["f_book"].eqNullSafe(filters["book_filter"]) & pools["f_chapter"].eqNullSafe(filters["chapter_filter"]))
-            .select("query_id", "chunk_id", "corpus_pos", F.lit(0.0).alias("score"))
+            .select("query_id", "chunk_id", "corpus_pos", zero)
+            .join(full.unionByName(low), "query_id", "left_anti")
             .join(top.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
         )
-        # a chunk matched with a lower score than the cut has no business here
-        full = top.groupBy("query_id").count().where(F.col("count") >= depth).select("query_id")
-        top = top.unionByName(fill.join(full, "query_id", "left_anti"))
+        top = top.unionByName(fill).unionByName(unmatched)
     ranked = top.withColumn("rank0", F.row_number().over(best) - 1).where(F.col("rank0") < depth)
     return ranked.select("query_id", "chunk_id", "rank0", "score")

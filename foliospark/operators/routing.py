@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.vector import dot
 from ..model import BOOK_MARGIN, CHAPTER_FLOOR, CHAPTER_MARGIN, LEGACY_MATTER, PROFILE_SIZE
-from .sizes import broadcast_if_small
+from .sizes import broadcast_if_small, spread
+from .store import chapter_cache_key
 
 
 def book_profiles(chunks: DataFrame, *, top_n: int = PROFILE_SIZE) -> DataFrame:
     """``book_title, word, score, rank``: each book's most distinctive words.
 
     Score: (count / book total) / (corpus count / corpus total) * count. Ties go to the
-    word that comes first in the book.
+    word that comes first in the book (words beyond a chunk's 16 millionth count as there).
     """
-    words = chunks.select("book_title", "corpus_pos", F.posexplode(X.word_tokens("text")).alias("at", "word"))
-    count = words.groupBy("book_title", "word").agg(
-        F.count("*").alias("n"), F.min(F.struct("corpus_pos", "at")).alias("first")
-    )
+    words = spread(chunks.select("book_title", "corpus_pos", "text")).select("book_title", "corpus_pos", F.posexplode(X.word_tokens("text")).alias("at", "word"))
+    # a place as one number: a minimum of structs would have to sort all words
+    place = F.shiftleft(F.col("corpus_pos").cast("long"), 24) + F.least("at", F.lit((1 << 24) - 1))
+    count = words.groupBy("book_title", "word").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     book = count.groupBy("book_title").agg(F.sum("n").alias("book_total"))
     corpus = count.groupBy("word").agg(F.sum("n").alias("corpus_n"))
     total = book.agg(F.sum("book_total").alias("corpus_total"))
@@ -48,7 +49,8 @@ def route_books(queries: DataFrame, profiles: DataFrame, *, min_margin: float =
     ``min_margin`` times the runner-up's hits.
     """
     words = queries.select("query_id", F.explode(F.array_distinct(X.word_tokens("question"))).alias("word"))
-    hits = words.join(broadcast_if_small(profiles.select("book_title", "word")), "word").groupBy("query_id", "book_title").agg(F.count("*").alias("score"))
+    # the questions' words are checked, not the profiles: these may still have to be computed
+    hits = profiles.select("book_title", "word").join(broadcast_if_small(words), "word").groupBy("query_id", "book_title").agg(F.count("*").alias("score"))
     best = _margin(hits, "book_title", ["book_title"])
     sure = (F.col("second") == 0) | (F.col("top") >= min_margin * F.col("second"))
     chosen = best.select("query_id", F.when(sure, F.col("book_title")).alias("book_filter"))
@@ -69,6 +71,21 @@ def chapter_vectors(chapters: DataFrame, encode) -> DataFrame:
     return chapters.withColumn("embedding", encode(F.col("chapter")))
 
 
+def cached_chapter_vectors(chapters: DataFrame, cache: DataFrame, encode, encoder: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors of ``chapters`` that a cache has, and what it lacks, encoded: rows to add to it.
+
+    The cache has ``cache_key, encoder, book_title, chapter, chapter_pos, embedding``; a
+    book's key changes with its set of chapter titles, so a book that is relabelled is
+    encoded again. The second result calls the encoder when it is read.
+    """
+    keyed = chapters.join(chapter_cache_key(chapters), "book_title").withColumn("encoder", F.lit(encoder))
+    own = ["cache_key", "encoder"]
+    known = cache.join(keyed.select(*own).distinct(), own, "left_semi")
+    todo = keyed.join(cache.select(*own).distinct(), own, "left_anti")
+    columns = ["cache_key", "encoder", "book_title", "chapter", "chapter_pos", "embedding"]
+    return known.select(*columns), chapter_vectors(todo, encode).select(*columns)
+
+
 def route_chapters(
     queries: DataFrame, vectors: DataFrame, *, min_margin: float = CHAPTER_MARGIN, min_similarity: float = CHAPTER_FLOOR, digits: int = 6
 ) -> DataFrame:

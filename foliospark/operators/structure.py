@@ -27,7 +27,7 @@ def heading_level(ratio: F.Column) -> F.Column:
 
 def heading_levels(lines: DataFrame, *, page_offset: int = 0) -> DataFrame:
     """``lines`` with ``level``; pages are shifted by ``page_offset``."""
-    sized = lines.join(broadcast_if_small(body_size(lines)), "book_title")
+    sized = lines.join(body_size(lines), "book_title")
     return sized.withColumn("level", heading_level(F.col("size") / F.col("body_size"))).withColumn(
         "page_number", F.col("page_number") + page_offset
     ).drop("body_size")

@@ -41,6 +41,27 @@ def test_bm25(spark, chunks, question):
     assert kept == min(6, sum(s != 0 for s in want))
 
 
+@pytest.mark.parametrize("n_rare", [1, 4])
+def test_bm25_weights_below_zero(spark, n_rare):
+    """A corpus whose words nearly all stand in over half of its chunks: the zero fill outranks what matches."""
+    texts = ["the end of the day"] * 9 + ["the day", "of"] + [f"rare{i}" for i in range(n_rare)] + ["", "the", "of the", None]
+    df = spark.createDataFrame([(f"c{i:02}", i, "A" if i % 3 else "B", "en", t) for i, t in enumerate(texts)], "chunk_id string, corpus_pos long, book_title string, chapter string, text string")
+    questions = ["the day", "the", "rare0 the", "of end", "day rare0 end of", "none"]
+    q = spark.createDataFrame(list(enumerate(questions)), "query_id long, question string")
+    booked = q.selectExpr("query_id + 100 as query_id", "question", "'B' as book_filter")
+    got = bm25.top_k(df, q.withColumn("book_filter", F.lit(None).cast("string")).unionByName(booked), depth=5).collect()
+    some = False
+    for i, question in enumerate(questions):
+        scores = [round(s, 6) for s in plain_bm25(texts, question)]
+        some |= min(scores) < 0
+        for base, mine in ((0, range(len(texts))), (100, range(0, len(texts), 3))):
+            want = sorted(mine, key=lambda k: (-scores[k], k))[:5]
+            found = sorted((r["rank0"], r["chunk_id"], r["score"]) for r in got if r["query_id"] == base + i)
+            assert [c for _, c, _ in found] == [f"c{k:02}" for k in want], question
+            assert [s for *_, s in found] == pytest.approx([scores[k] for k in want], abs=2e-6)
+    assert some or n_rare > 1
+
+
 def test_filters_act_after_scoring(spark, chunks):
     q = spark.createDataFrame([(1, "fox", "B2", None), (2, "fox", "", "fr"), (3, "fox", "none", None)], "query_id long, question string, book_filter string, chapter_filter string")
     got = bm25.top_k(chunks, q, depth=3)
