@@ -38,10 +38,10 @@ RELATED_CAP = 8
 
 # Words that routing ignores, titles that are no chapters, chapters that
 # pollute results, Greek letters that are read out.
-STOPWORDS = (
-    "the a an is are of to and in on for that this it as by with or be at from "
-    "which each can will its into used also"
-).split()
+STOPWORDS = [
+    "the", "a", "an", "is", "are", "of", "to", "and", "in", "on", "for", "that", "this", "it", "as", "by",
+    "with", "or", "be", "at", "from", "which", "each", "can", "will", "its", "into", "used", "also",
+]
 NON_CHAPTER_KEYWORDS = [
     "acknowledg", "dedicat", "preface", "notation", "table of contents", "bibliograph",
     "reference", "index", "appendix", "foreword", "about the author", "glossary",

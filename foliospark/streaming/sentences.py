@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.text import NOT_AN_END
+
 _END = re.compile(r"[.!?](?:\s|$)")
-_NOT_AN_END = re.compile(r"(?i:\bp\.\s*\d*$|\be\.g\.$|\bi\.e\.$)|\b\d+\.$")
+_NOT_AN_END = re.compile(NOT_AN_END)
 
 
 def _taken(buffer: str) -> tuple[str, str] | None:

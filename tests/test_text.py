@@ -19,6 +19,8 @@ def one(spark, expression, *values):
         (r"It is $\frac{1}{n}\sum_{i=1}^{n} x_i$.", "It is 1 over n the sum from i equals 1 to n of x sub i."),
         (r"Given $\alpha \leq \beta$, the gradient $\nabla_\theta L$ converges.", "Given alpha less than or equal to beta, the gradient nabla sub theta L converges."),
         (r"x^{3} y^{k+1} z^23 a_{ij} \cdot b \neq c", "x cubed y to the power of k+1 z to the power of 23 a sub ij times b not equal to c"),
+        ("a^2^3 b^{2}^n x^y^2", "a squared^3 b squared^n x to the power of y^2"),  # a power is no base
+        ("e^{2}3 2^22 q^{}", "e squared3 2 to the power of 22 q to the power of"),
         ("", ""),
         (None, None),
     ],
