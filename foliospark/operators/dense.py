@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import dot
 from ..model import CANDIDATE_DEPTH
 from .bm25 import passes, with_filters
 
@@ -43,13 +43,18 @@ def top_k(
     length than a query's are not compared with it. Every task keeps the best ``depth`` of
     its rows for each query, so the shuffle holds tasks * queries * depth rows, however
     many chunks there are. Ordered by score rounded to ``digits``, then corpus position.
+    Queries beyond ``block_numbers`` are searched block by block, each block's result being
+    checkpointed (in ``spark.checkpoint.dir``) before the next is sent out.
     """
     spark = chunks.sparkSession
     q = with_filters(queries).where("embedding is not null").select("query_id", "embedding", "book_filter", "chapter_filter")
     kind = q.schema["query_id"].dataType.simpleString()
     rows = chunks.where("embedding is not null").select("chunk_id", "corpus_pos", "book_title", "chapter", "embedding")
-    out = None
-    for block in query_blocks(q, block_numbers):
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_pos", "chunk_id")
+    blocks, out = query_blocks(q, block_numbers), None
+    block, following = next(blocks, None), next(blocks, None)
+    several = following is not None
+    while block is not None:
         shared = spark.sparkContext.broadcast(block)
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -67,12 +72,15 @@ def top_k(
             )
 
         part = rows.mapInArrow(best, f"query_id {kind}, score double, corpus_pos long, chunk_id string")
+        part = part.withColumn("rank0", F.row_number().over(w) - 1).where(F.col("rank0") < depth).select("query_id", "chunk_id", "rank0", "score")
+        if several:
+            part = part.checkpoint()
+            shared.unpersist()
         out = part if out is None else out.unionByName(part)
+        block, following = following, next(blocks, None)
     if out is None:
         return spark.createDataFrame([], f"query_id {kind}, chunk_id string, rank0 int, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_pos", "chunk_id")
-    ranked = out.withColumn("rank0", F.row_number().over(w) - 1).where(F.col("rank0") < depth)
-    return ranked.select("query_id", "chunk_id", "rank0", "score")
+    return out
 
 
 def _by_length(block: list) -> dict[int, tuple[list[int], np.ndarray]]:
@@ -85,10 +93,14 @@ def _by_length(block: list) -> dict[int, tuple[list[int], np.ndarray]]:
 def _keep_best(kept: dict, asked: dict, rows: pa.RecordBatch, depth: int, digits: int) -> None:
     """Merge the best ``depth`` of some rows into each query's list; filters are compared as whole columns."""
     block = asked[-1][0]
-    lengths = np.array([len(v) for v in rows.column("embedding")])
+    lengths = pc.list_value_length(rows.column("embedding")).to_numpy(zero_copy_only=False)
     pos = rows.column("corpus_pos").to_numpy(zero_copy_only=False)
     ids = rows.column("chunk_id")
-    named = {c: np.array(rows.column(c).to_pylist(), object) for c in ("book_title", "chapter")}
+    named = {}
+    for c in ("book_title", "chapter"):
+        coded = rows.column(c).dictionary_encode()
+        number = {v: i for i, v in enumerate(coded.dictionary.to_pylist())}
+        named[c] = number, coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
     masks: dict[tuple, np.ndarray] = {}
     for n, (own, matrix) in asked.items():
         at = np.flatnonzero(lengths == n)
@@ -101,7 +113,8 @@ def _keep_best(kept: dict, asked: dict, rows: pa.RecordBatch, depth: int, digits
             for column, wanted in zip(("book_title", "chapter"), block[i][2:4]):
                 if wanted is not None:
                     if (column, wanted) not in masks:
-                        masks[column, wanted] = named[column] == wanted
+                        number, codes = named[column]
+                        masks[column, wanted] = codes == number.get(wanted, -2)
                     some = some[masks[column, wanted][at[some]]]
             if len(some) > depth:  # rows below the cut's score cannot be among the best; ties stay
                 s = score[j, some]
@@ -111,9 +124,4 @@ def _keep_best(kept: dict, asked: dict, rows: pa.RecordBatch, depth: int, digits
             kept[i] = sorted(kept.get(i, []) + new)[:depth]
 
 
-def pairwise(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Dot products of a few query vectors with a few others, inside the JVM; both sides small."""
-    return queries.crossJoin(F.broadcast(vectors)).withColumn("similarity", dot(F.col("q"), F.col("v")))
-
-
-__all__ = ["top_k", "pairwise", "query_blocks", "passes"]
+__all__ = ["top_k", "query_blocks", "passes"]
