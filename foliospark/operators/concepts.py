@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+import json
+import re
+import time
+import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..model import EXTRACTION, EXTRACTION_BATCH, RELATED_CAP
-from .query import call_model
 from .sizes import broadcast_if_small
 
 PROMPT = (
@@ -43,17 +48,115 @@ def parse(answers: DataFrame, column: str = "answer") -> DataFrame:
     return answers.withColumn("extraction", F.from_json(X.fence_stripped(column), EXTRACTION))
 
 
-def extract(batch_prompts: DataFrame, cache: DataFrame, model: Callable[[str], str]) -> DataFrame:
-    """Answers to the batches that the cache lacks, up to each book's first failure.
+CACHE = "text_key string, answer string"
+
+
+def extraction_cache(spark: SparkSession, folder: str) -> DataFrame:
+    """``text_key, answer`` of the batches that :func:`extract` has stored in a folder; none if there is no such folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema(CACHE).json(folder) if there else spark.createDataFrame([], CACHE)
+
+
+def _is_extraction(answer: str | None) -> bool:
+    try:
+        return isinstance(json.loads(re.sub(r"^```json\s*|\s*```$", "", (answer or "").strip())), dict)
+    except ValueError:
+        return False
+
 
-    ``cache`` has ``text_key``. Answers after a book's first failed batch are dropped, so
-    that a later run resumes there.
+def extract(batch_prompts: DataFrame, folder: str, model: Callable[[str], str], *, pause: float = 0.0, callers: int | None = None) -> DataFrame:
+    """Ask for the batches that the cache lacks; every answer is stored at once, so that a run that breaks off resumes.
+
+    A row per batch asked for, ``book_title, batch_id, text_key, error``: a book's batches
+    are asked for one after another, ``pause`` seconds apart, up to its first failure (an
+    exception, or no JSON object), which has an ``error``; later ones are not asked for.
+    ``callers`` tasks call at a time (None: as many as shuffle partitions). ``folder``,
+    which all machines reach, holds one small file a batch. A task that runs again finds
+    what it has stored. The calls are made when the result is read.
+    """
+    spark = batch_prompts.sparkSession
+    todo = batch_prompts.join(extraction_cache(spark, folder).select("text_key"), "text_key", "left_anti")
+    todo = todo.select("book_title", "batch_id", "text_key", "prompt")
+    width = callers or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = todo.repartition(width, "book_title").sortWithinPartitions("book_title", "batch_id")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        failed, called = set(), False
+        for b in batches:
+            rows = []
+            for book, batch, key, prompt in zip(*(b.column(i).to_pylist() for i in range(4))):
+                file = f"{path}/{key}.json"
+                if book in failed or system.get_file_info(file).type == fs.FileType.File:
+                    continue
+                if called:
+                    time.sleep(pause)
+                called, error = True, None
+                try:
+                    answer = model(prompt)
+                    if not _is_extraction(answer):
+                        error = "no JSON object"
+                except Exception as e:  # noqa: BLE001  what a model raises is its own
+                    error = f"{type(e).__name__}: {e}"
+                if error:
+                    failed = {book}  # rows come by book
+                else:
+                    aside = f"{path}/_{uuid.uuid4().hex}"  # readers pass over names with an underscore
+                    with system.open_output_stream(aside) as out:
+                        out.write(json.dumps({"text_key": key, "answer": answer}).encode())
+                    system.move(aside, file)
+                rows.append((book, batch, key, error))
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string()))], names=["book_title", "batch_id", "text_key", "error"]
+            )
+
+    return ordered.mapInArrow(ask, "book_title string, batch_id int, text_key string, error string")
+
+
+def extracted(batch_prompts: DataFrame, cache: DataFrame) -> DataFrame:
+    """``book_title, batch_id, text_key, answer, extraction`` of each book's batches up to the first that the cache lacks."""
+    known = parse(cache.dropDuplicates(["text_key"]))
+    rows = batch_prompts.select("book_title", "batch_id", "text_key").join(known, "text_key", "left")
+    upto = Window.partitionBy("book_title").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
+    lacks = F.max(F.col("extraction").isNull()).over(upto)
+    return rows.withColumn("_lacks", lacks).where(~F.col("_lacks")).select("book_title", "batch_id", "text_key", "answer", "extraction")
+
+
+def _placed(extractions: DataFrame) -> DataFrame:
+    """With ``book_pos``: books by title unless the rows have places of their own."""
+    if "book_pos" in extractions.columns:
+        return extractions
+    books = extractions.select(F.col("book_title").alias("_book")).distinct()
+    places = books.withColumn("book_pos", F.row_number().over(Window.orderBy("_book")) - 1)  # a row per book
+    return extractions.join(places, F.col("book_title").eqNullSafe(F.col("_book"))).drop("_book")
+
+
+def _rows(extractions: DataFrame, field: str, place: str) -> DataFrame:
+    rows = _placed(extractions).select("book_title", "book_pos", "batch_id", F.posexplode(f"extraction.{field}").alias("at", "x"))
+    return rows.select("book_title", "book_pos", (F.shiftleft(F.col("batch_id").cast("long"), 32) + F.col("at")).alias(place), "x.*")
+
+
+def terms(extractions: DataFrame) -> DataFrame:
+    """``book_title, book_pos, term_pos, term, definition``: all batches' terms in order, repeated as they come.
+
+    ``extractions`` has ``book_title, batch_id, extraction`` and, if books have an order of
+    their own, ``book_pos``. Terms without a name are left out; bad extractions have none.
     """
-    todo = batch_prompts.join(cache.select("text_key"), "text_key", "left_anti")
-    done = parse(call_model(todo, model))
-    ordered = Window.partitionBy("book_title").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
-    failed = F.max(F.when(F.col("extraction").isNull(), 1).otherwise(0)).over(ordered)
-    return done.withColumn("_failed", failed).where("_failed = 0").drop("_failed")
+    return _rows(extractions, "terms", "term_pos").where("term is not null")
+
+
+def relations(extractions: DataFrame) -> DataFrame:
+    """``book_title, book_pos, rel_pos, source, relation, target``, as :func:`terms`; those without both ends are left out."""
+    return _rows(extractions, "relations", "rel_pos").where("source is not null and target is not null")
+
+
+def graph(extractions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the term graph of some books' extractions."""
+    found = nodes(terms(extractions))
+    return found, edges(relations(extractions), found)
 
 
 def calls_needed(chunks: DataFrame, *, size: int = 8) -> DataFrame:

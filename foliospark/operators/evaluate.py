@@ -106,10 +106,35 @@ def sample_spread(chunks: DataFrame, *, n: int = 10) -> DataFrame:
     return chunks.join(picked, ["book_title", "chunk_id", "corpus_pos"])
 
 
-def report(row: dict, *, when: str) -> str:
-    """Markdown of one row of metrics: rates in percent, others with three decimals."""
-    lines = [f"# Evaluation report\n\nGenerated: {when}\n", "| Metric | Value |", "|---|---|"]
-    for name, value in row.items():
-        shown = "-" if value is None else f"{value:.2%}" if name.startswith("hit_rate") else f"{value:.3f}"
-        lines.append(f"| {name} | {shown} |")
+GENERATION = ("faithfulness", "relevance", "recall")
+
+
+def generation_metrics(items: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """One row: the mean judged score of each kind, and ``error``: what a judge raised first, by kind and question.
+
+    ``items`` has ``question, answer, context, truth``.
+    """
+    judged = None
+    for n, kind in enumerate(GENERATION):
+        one = judge(items, model, kind=kind).select(F.lit(kind).alias("kind"), F.lit(n).alias("n"), "question", "score", "judged_error")
+        judged = one if judged is None else judged.unionByName(one)
+    scores = [F.coalesce(F.avg(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in GENERATION]
+    first = F.min_by("judged_error", F.when(F.col("judged_error").isNotNull(), F.struct("n", "question")))
+    return judged.agg(*scores, first.alias("error"))
+
+
+def report(row: dict, *, when: str, size: int | None = None, generation: dict | None = None, skipped: str | None = None) -> str:
+    """Markdown of one row of metrics: rates in percent, others with three decimals.
+
+    ``generation`` adds the judged scores with two decimals; ``skipped`` says why there are none.
+    """
+    shown = lambda name, v: "-" if v is None else f"{v:.2%}" if name.startswith("hit_rate") else f"{v:.3f}"
+    lines = [f"# Evaluation report\n\nGenerated: {when}\n"]
+    if size is not None:
+        lines.append(f"Questions: {size}\n")
+    lines += ["## Retrieval\n", "| Metric | Value |", "|---|---|", *(f"| {n} | {shown(n, v)} |" for n, v in row.items())]
+    if generation:
+        lines += ["\n## Generation\n", "| Metric | Value |", "|---|---|", *(f"| {n} | {v:.2f} |" for n, v in generation.items())]
+    elif skipped:
+        lines += ["\n## Generation\n", f"Skipped: {skipped}"]
     return "\n".join(lines) + "\n"

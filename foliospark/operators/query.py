@@ -41,20 +41,31 @@ def call_model(prompts: DataFrame, model: Callable[[str], str], *, column: str =
     """``prompts`` with ``out``: what ``model`` says to each; errors are null with a message in ``<out>_error``.
 
     ``model`` is any picklable callable; retries belong into it (see :func:`with_retry`).
+    A null prompt gives a null answer.
     """
+    return _called(prompts, model, [column], out)
 
+
+def call_image_model(rows: DataFrame, model: Callable[[str, bytes, str], str], *, column: str = "prompt", image: str = "image", mime: str = "mime_type", out: str = "answer") -> DataFrame:
+    """As :func:`call_model` for a model that is given a text, an image's bytes and their type (null: ``image/png``)."""
+    typed = rows.withColumn(mime, F.coalesce(mime, F.lit("image/png")) if mime in rows.columns else F.lit("image/png"))
+    return _called(typed, model, [column, image, mime], out)
+
+
+def _called(rows: DataFrame, model: Callable[..., str], columns: list[str], out: str) -> DataFrame:
     @F.arrow_udf("struct<answer:string,error:string>")
     def ask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = []
-            for p in batch.to_pylist():
+            said = []
+            for given in batch.to_pylist():
+                given = list(given.values())
                 try:
-                    rows.append({"answer": None if p is None else model(p), "error": None})
+                    said.append({"answer": None if None in given else model(*given), "error": None})
                 except Exception as e:  # noqa: BLE001  what a model raises is its own
-                    rows.append({"answer": None, "error": f"{type(e).__name__}: {e}"})
-            yield pa.array(rows, pa.struct([("answer", pa.string()), ("error", pa.string())]))
+                    said.append({"answer": None, "error": f"{type(e).__name__}: {e}"})
+            yield pa.array(said, pa.struct([("answer", pa.string()), ("error", pa.string())]))
 
-    called = prompts.withColumn("_a", ask.asNondeterministic()(F.col(column)))
+    called = rows.withColumn("_a", ask.asNondeterministic()(F.struct(*columns)))
     return called.withColumn(out, F.col("_a.answer")).withColumn(f"{out}_error", F.col("_a.error")).drop("_a")
 
 
@@ -108,9 +119,3 @@ def keyword_search(chunks: DataFrame, keyword: str, *, book: str | None = None,
 def nth_rows(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` in order."""
     return df.orderBy(*order).offset(offset).limit(limit)
-
-
-def first_per_group(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
-    """The first ``n`` rows of each group."""
-    w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")

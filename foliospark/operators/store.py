@@ -1,68 +1,158 @@
-"""The library as one table partitioned by book; embeddings are a column of it."""
+"""The library as one versioned table of chunks; embeddings are a column of it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+_NO_BOOK = "none"
+
+
+def book_key(title: Column | str) -> Column:
+    """A title as a folder name: its MD5 after a letter; titles of any characters are told apart, none is a number."""
+    return F.coalesce(F.concat(F.lit("b"), F.md5(X.col(title))), F.lit(_NO_BOOK))
+
 
 class Library:
-    """A Parquet table of chunks under a path, one partition a book.
+    """A table of chunks under a path whose versions are committed whole.
 
-    Books are replaced whole (dynamic partition overwrite), so ingesting a book twice
-    leaves it once, and other books' files are not touched.
+    Every change writes the books concerned into a folder of its own, by book, and then a
+    new list of which folder holds which book. The list becomes the newest version by one
+    rename, so a run that breaks off leaves the version before, and other books' files are
+    not touched. One writer at a time may commit; readers keep the version they began
+    with until :meth:`vacuum`. Titles are a column, folders are named by their hash.
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def version(self) -> int:
+        """The newest version; 0 where there is none."""
+        names = [f.getPath().getName() for f in _list(self.spark, f"{self.path}/versions")]
+        return max((int(n[1:]) for n in names if n.startswith("v")), default=0)
+
+    def _listed(self, version: int | None = None) -> DataFrame:
+        """``book_key, written``: a row per book."""
+        version = self.version() if version is None else version
+        schema = "book_key string, written string"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/versions/v{version}") if version else self.spark.createDataFrame([], schema)
 
-    def read(self, book: str | None = None) -> DataFrame:
-        """All chunks, or one book's (its partition alone is read)."""
-        rows = self.spark.read.parquet(self.path)
-        return rows if not book else rows.where(F.col("book_title") == book)
+    def _stored(self) -> DataFrame:
+        return self.spark.read.option("basePath", f"{self.path}/data").parquet(f"{self.path}/data")
+
+    def read(self, book: str | None = None, *, version: int | None = None) -> DataFrame:
+        """All chunks, or one book's (its files alone are read), of a version or the newest.
+
+        A library that was never written to is an error, as its columns are not known.
+        """
+        listed = self._listed(version)
+        rows = self._stored()
+        if book:
+            key = self.spark.range(1).select(book_key(F.lit(book)).alias("book_key")).first()[0]
+            listed, rows = listed.where(F.col("book_key") == key), rows.where(F.col("book_key") == key)
+        kept = rows.join(listed, ["book_key", "written"], "left_semi")
+        return kept.drop("book_key", "written")
+
+    def _write(self, chunks: DataFrame) -> DataFrame:
+        """Write chunks by book; returns their rows of a list."""
+        written = f"w{uuid.uuid4().hex}"
+        keyed = chunks.withColumn("book_key", book_key("book_title"))
+        keyed.write.partitionBy("book_key").parquet(f"{self.path}/data/written={written}")
+        return self._stored().where(F.col("written") == written).select("book_key", "written").distinct()
+
+    def _commit(self, listed: DataFrame) -> None:
+        version = self.version() + 1
+        aside = f"{self.path}/pending-{uuid.uuid4().hex}"
+        listed.coalesce(1).write.parquet(aside)  # a row per book
+        to = f"{self.path}/versions/v{version}"
+        source, system = _path(self.spark, aside)
+        target, _ = _path(self.spark, to)
+        system.mkdirs(target.getParent())
+        if system.exists(target) or not system.rename(source, target):
+            _remove(self.spark, aside)
+            raise RuntimeError(f"another writer has committed version {version}")
 
     def upsert(self, chunks: DataFrame) -> None:
-        """Replace the books that ``chunks`` holds."""
-        chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_title").parquet(self.path)
+        """Replace the books that ``chunks`` holds; no chunks change nothing."""
+        new = self._write(chunks)
+        self._commit(self._listed().join(new, "book_key", "left_anti").unionByName(new))
+
+    def replace(self, books: DataFrame, chunks: DataFrame) -> None:
+        """Replace the books of ``book_title`` by ``chunks``, which may be read from this library; books without any go."""
+        new = self._write(chunks)
+        gone = books.select(book_key("book_title").alias("book_key")).unionByName(new.select("book_key"))
+        self._commit(self._listed().join(gone, "book_key", "left_anti").unionByName(new))
 
     def rebuild(self, chunks: DataFrame) -> None:
-        """Replace everything; ``chunks`` must not be read from this path."""
-        chunks.write.mode("overwrite").partitionBy("book_title").parquet(self.path)
+        """Replace everything; ``chunks`` may be read from this library."""
+        self._commit(self._write(chunks))
 
     def delete_ids(self, ids: DataFrame) -> None:
-        """Delete chunks by ``chunk_id``; only books that lose chunks are rewritten.
-
-        The survivors are written aside first: an overwrite must not read what it replaces.
-        """
-        rows = self.read()
-        hit = rows.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi").select("book_title").distinct()
-        kept = rows.join(hit, "book_title", "left_semi").join(ids.select("chunk_id"), "chunk_id", "left_anti")
-        aside = f"{self.path.rstrip('/')}_deleting"
-        books = [r[0] for r in hit.collect()]  # names of the books concerned
-        kept.write.mode("overwrite").parquet(aside)
-        survivors = self.spark.read.parquet(aside)
-        left = {r[0] for r in survivors.select("book_title").distinct().collect()}
-        self.upsert(survivors.select(*rows.columns))
-        for book in books:
-            if book not in left:
-                self.delete_book(book)
-        _remove(self.spark, aside)
+        """Delete chunks by ``chunk_id``; only books that lose chunks are rewritten."""
+        version = self.version()
+        rows = self.read(version=version).withColumn("book_key", book_key("book_title"))
+        hit = rows.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi").select("book_key").distinct()
+        kept = rows.join(hit, "book_key", "left_semi").join(ids.select("chunk_id"), "chunk_id", "left_anti")
+        new = self._write(kept.drop("book_key"))
+        self._commit(self._listed(version).join(hit, "book_key", "left_anti").unionByName(new))
 
     def delete_book(self, book: str) -> None:
-        """Drop a book's partition."""
-        from urllib.parse import quote
-
-        _remove(self.spark, f"{self.path.rstrip('/')}/book_title={quote(book, safe=' ')}")
+        """Drop a book."""
+        self._commit(self._listed().where(F.col("book_key") != book_key(F.lit(book))))
+
+    def vacuum(self) -> None:
+        """Delete files and lists that the newest version does not need; older versions cannot be read any more."""
+        version = self.version()
+        needed = {(f"written={r['written']}", f"book_key={r['book_key']}") for r in self._listed(version).collect()}  # a row per book
+        name = lambda f: f.getPath().getName()
+        for write in _list(self.spark, f"{self.path}/data"):
+            for book in _list(self.spark, write.getPath().toString()):
+                if name(book).startswith("book_key=") and (name(write), name(book)) not in needed:
+                    _remove(self.spark, book.getPath().toString())
+            if name(write) not in {w for w, _ in needed}:
+                _remove(self.spark, write.getPath().toString())
+        for f in _list(self.spark, f"{self.path}/versions"):
+            if name(f) != f"v{version}":
+                _remove(self.spark, f.getPath().toString())
 
     def reset(self) -> None:
         _remove(self.spark, self.path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _path(spark: SparkSession, path: str) -> tuple:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all machines share, under ``spark.checkpoint.dir``; a local one only where one machine runs all."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = "file://" + tempfile.mkdtemp(prefix="foliospark-")
+    return f"{root.rstrip('/')}/foliospark/{name}-{uuid.uuid4().hex}"
+
+
+def _list(spark: SparkSession, path: str) -> list:
+    p, system = _path(spark, path)
+    return list(system.listStatus(p)) if system.exists(p) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, system = _path(spark, path)
+    return system.exists(p)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p, system = _path(spark, path)
+    system.delete(p, True)
 
 
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,5 +1,9 @@
 """The engine from lines to answers, and its command line."""
 
+import json
+
+import pytest
+
 from foliospark import engine
 from foliospark.operators import concepts
 
@@ -30,6 +34,7 @@ def test_round(spark, tmp_path, capsys):
     chapters = spark.createDataFrame([("Networks", 0, "All", 2, 9)], "book_title string, pos int, title string, start_page int, end_page int")
     counts = {r["book_title"]: (r["relabelled"], r["removed"]) for r in e.fix_chapters(chapters).collect()}
     assert counts == {"Databases": (0, 0), "Networks": (1, 1)}
+    assert {(r["book_title"], r["chapter"]) for r in e.library.read().collect()} == {("Databases", "Index Chapter"), ("Networks", "All")}
     reply = '{"terms": [{"term": "Index", "definition": "d"}], "relations": []}'
     calls = [r["extraction"]["terms"][0]["term"] for r in e.extract_concepts("Databases", lambda p: reply).collect()]
     assert calls == ["Index"]
@@ -38,15 +43,109 @@ def test_round(spark, tmp_path, capsys):
         raise AssertionError
 
     assert e.extract_concepts("Databases", never).count() == 1  # from the cache
-    t = spark.createDataFrame([("Databases", 0, 0, "Index", "d")], "book_title string, book_pos int, term_pos int, term string, definition string")
-    r = spark.createDataFrame([], "book_title string, book_pos int, rel_pos int, source string, relation string, target string")
-    nodes = concepts.nodes(t)
-    assert "Index" in e.concept_map(nodes, concepts.edges(r, nodes), "Map")
+    nodes, edges = e.concept_graph()
+    assert [r["label"] for r in nodes.collect()] == ["Index"] and "Index" in e.concept_map(nodes, edges, "Map")
     engine.main([e.root, "list-books"])
     engine.main([e.root, "ask", "query index join", "--book", "Databases"])
     assert "Databases" in capsys.readouterr().out
     e.reset()
-    assert not any((tmp_path / "e").glob("library*"))
+    assert not any((tmp_path / "e").iterdir())
+
+
+def test_asking_prepares_once_for_a_version(spark, tmp_path):
+    encoded = []
+
+    def encode(c):
+        encoded.append(str(c))
+        return engine.hashed_embedding(c)
+
+    e = engine.Engine(spark, f"file://{tmp_path}/e", encode=encode)
+    e.ingest(lines(spark))
+    q = spark.createDataFrame([(0, "query index join table")], "query_id long, question string")
+    assert e.ask(q).count()
+    held = e._held
+    vectors = lambda: e.spark.read.parquet(f"{e.root}/chapter_vectors")
+    n, files = vectors().count(), len(list((tmp_path / "e" / "profiles").iterdir()))
+    assert e.ask(q).count() and e._held is held and vectors().count() == n == 4
+    e.ingest(lines(spark).where("book_title = 'Networks' and page_number > 1"))  # other chapters: a new version
+    assert e.ask(q).count() and e._held[0] == held[0] + 1 and len(list((tmp_path / "e" / "profiles").iterdir())) == files + 1
+    assert {r["book_title"]: r["count"] for r in vectors().groupBy("book_title").count().collect()} == {"Databases": 2, "Networks": 3}
+    again = engine.Engine(spark, e.root, encode=encode, encoder="another")
+    assert again.ask(q).count() and vectors().count() == 5 + 3
+    e.forget()
+    assert e._held is None
+
+
+def test_upload(spark, tmp_path):
+    e = engine.Engine(spark, f"file://{tmp_path}/e")
+    pages = {1: ["Preface|20", "thanks|10"], 2: ["Index Chapter|20", "the index of a query|10"], 3: ["more of it|10"], 4: ["Bibliography|20", "names|10"]}
+    parser = lambda content: [(int(n), [(x.split("|")[0], float(x.split("|")[1])) for x in t]) for n, t in json.loads(content).items()]
+    content = json.dumps(pages).encode()
+    assert e.ingest_upload(content, "Up — load", parser) == (3, 0)
+    real = lambda content: [(1, "Preface", 1), (1, "Queries", 2), (1, "Bibliography", 4)]
+    assert e.ingest_upload(content, "Up — load", parser, contents=real) == (1, 2)
+    assert [(r["book_title"], r["chapter"]) for r in e.library.read().collect()] == [("Up — load", "Queries")]
+    assert not list((tmp_path / "e" / "uploads").iterdir())
+    with pytest.raises(Exception):  # noqa: B017  whatever a parser raises
+        e.ingest_upload(b"no JSON", "Other", parser)
+    assert not list((tmp_path / "e" / "uploads").iterdir()) and e.library.read().count() == 1
+
+
+def test_extraction_stops_and_resumes_by_book(spark, tmp_path):
+    """Each answer is stored when it comes; a failure ends its book only."""
+    e = engine.Engine(spark, f"file://{tmp_path}/e")
+    rows = [r for b in ("A", "B") for i in range(40) for r in ((b, 2 * i, i + 1, f"Head {i}", 20.0), (b, 2 * i + 1, i + 1, f"text {b}{i} " * 3, 10.0), (b, 1000 + i, i + 1, "more body", 10.0))]
+    e.ingest(spark.createDataFrame(rows, LINES))
+    prompts = e._prompts(e.library.read())
+    assert {r["book_title"]: r["count"] for r in prompts.groupBy("book_title").count().collect()} == {"A": 3, "B": 3}
+
+    def model(p):
+        if "A20 " in p:
+            raise TimeoutError("late")
+        return '{"terms": [{"term": "T", "definition": "d"}, {"term": "U"}], "relations": [{"source": "t", "relation": "is", "target": "U"}]}'
+
+    asked = concepts.extract(prompts, e.cache, model).collect()
+    assert sorted((r["book_title"], r["batch_id"], r["error"]) for r in asked if r["error"]) == [("A", 1, "TimeoutError: late")]
+    assert len(asked) == 5 and len(list((tmp_path / "e" / "extractions").glob("*.json"))) == 4
+    nodes, edges = e.concept_graph(["B", "A"])
+    assert {r["label"]: r["books"] for r in nodes.collect()} == {"T": ["A", "B"], "U": ["A", "B"]} and [(r["src"], r["dst"], r["book"]) for r in edges.collect()] == [("t", "u", "A")]
+    assert e.extract_concepts("A", model).count() == 1
+    bad = concepts.extract(prompts, e.cache, lambda p: "not JSON").collect()
+    assert [(r["batch_id"], r["error"]) for r in bad] == [(1, "no JSON object")]
+    assert e.extract_concepts("A", lambda p: '```json\n{"terms": []}\n```').count() == 3
+    assert concepts.extract(prompts, e.cache, model).count() == 0
+
+
+def test_evaluation(spark, tmp_path):
+    e = engine.Engine(spark, f"file://{tmp_path}/e")
+    e.ingest(lines(spark))
+    ids = {r["book_title"]: r["chunk_id"] for r in e.library.read().where("chapter like '%Chapter'").collect()}
+    items = spark.createDataFrame([("q1", "index query join", "an index", ids["Databases"]), ("q2", "neuron layer", "a layer", "gone")], "id string, question string, ground_truth_answer string, ground_truth_chunk_id string")
+    text = e.evaluate(items, path=f"file://{tmp_path}/report.md")
+    assert "| hit_rate_1 | 50.00% |" in text and "Skipped: no text model was given" in text and (tmp_path / "report.md").read_text() == text
+    assert "Questions: 2" in text
+    judged = e.evaluate(items, lambda p: "0.5" if "from 0 to 1" in p else "an answer")
+    assert "| faithfulness | 0.50 |" in judged and "| recall | 0.50 |" in judged
+
+    def failing(p):
+        raise KeyError("key")
+
+    assert "Skipped: KeyError" in e.evaluate(items, failing)
+    assert "Questions: 5" in e.evaluate()
+
+
+def test_commands(spark, tmp_path, capsys):
+    lines(spark).write.parquet(f"{tmp_path}/lines")
+    root = f"file://{tmp_path}/e"
+    engine.main([root, "list-chapters", f"{tmp_path}/lines"])
+    assert "Neuron Chapter (pages 2-7)" in capsys.readouterr().out
+    engine.main([root, "ingest-chapter", f"{tmp_path}/lines", "Networks", "1"])
+    engine.main([root, "list-books"])
+    assert "Networks — Neuron Chapter" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        engine.main([root, "ingest-chapter", f"{tmp_path}/lines", "Networks", "9"])
+    engine.main([root, "evaluate", "--report", f"{tmp_path}/r.md"])
+    assert "Evaluation report" in capsys.readouterr().out and (tmp_path / "r.md").exists()
 
 
 def test_chapters(spark, tmp_path):

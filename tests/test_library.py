@@ -12,21 +12,61 @@ from foliospark.streaming import ingest, sentences
 CHUNKS = "chunk_id string, text string, book_title string, corpus_pos long"
 
 
-def test_upsert_is_idempotent_and_deletes_touch_one_book(spark, tmp_path):
+def ids(lib, **options):
+    return sorted(r["chunk_id"] for r in lib.read(**options).collect())
+
+
+def test_upsert_is_idempotent_and_changes_touch_one_book(spark, tmp_path):
     lib = store.Library(spark, f"file://{tmp_path}/lib")
     two = spark.createDataFrame([("a0", "x", "A B", 0), ("a1", "y", "A B", 1), ("b0", "z", "B", 0)], CHUNKS)
     lib.rebuild(two)
-    other = sorted((tmp_path / "lib" / "book_title=B").glob("*.parquet"))
+    files = lambda: sorted((tmp_path / "lib" / "data").rglob("*.parquet"))
+    before = files()
     new = spark.createDataFrame([("a9", "new", "A B", 0)], CHUNKS)
     lib.upsert(new)
     lib.upsert(new)
-    assert sorted(r["chunk_id"] for r in lib.read().collect()) == ["a9", "b0"]
-    assert sorted((tmp_path / "lib" / "book_title=B").glob("*.parquet")) == other
-    assert [r["chunk_id"] for r in lib.read("A B").collect()] == ["a9"]
+    assert ids(lib) == ["a9", "b0"] and ids(lib, version=1) == ["a0", "a1", "b0"] and lib.version() == 3
+    assert set(before) <= set(files())
+    assert ids(lib, book="A B") == ["a9"] and lib.read().columns == two.columns
     lib.delete_ids(spark.createDataFrame([("a9",)], "chunk_id string"))
-    assert [r["chunk_id"] for r in lib.read().collect()] == ["b0"]
+    assert ids(lib) == ["b0"]
+    lib.upsert(new.limit(0))
+    assert ids(lib) == ["b0"]
+    lib.vacuum()
+    assert ids(lib) == ["b0"] and len(files()) == 1 and len(list((tmp_path / "lib" / "versions").iterdir())) == 1
     lib.reset()
-    assert not (tmp_path / "lib").exists()
+    assert not (tmp_path / "lib").exists() and lib.version() == 0
+
+
+TITLES = ["007", "1e5", "Book — One", "A (2nd, ed.)", "a=b/c%20d", "[x] {y}", "été: \"q\" 'r' #?*", "", None, "NULL", "A", "a"]
+
+
+def test_titles_of_any_characters_are_kept_and_deleted(spark, tmp_path):
+    lib = store.Library(spark, f"file://{tmp_path}/lib")
+    lib.rebuild(spark.createDataFrame([(f"c{i}", "x", t, i) for i, t in enumerate(TITLES)], CHUNKS))
+    read = lambda: {r["chunk_id"]: r["book_title"] for r in lib.read().collect()}
+    assert read() == {f"c{i}": t for i, t in enumerate(TITLES)}
+    lib.delete_ids(spark.createDataFrame([("c2",), ("c8",)], "chunk_id string"))
+    for t in ("007", "A (2nd, ed.)", "a=b/c%20d"):
+        assert [r["book_title"] for r in lib.read(t).collect()] == [t]
+        lib.delete_book(t)
+    assert read() == {f"c{i}": t for i, t in enumerate(TITLES) if i not in (0, 2, 3, 4, 8)}
+
+
+def test_a_change_that_breaks_off_leaves_the_version_before(spark, tmp_path):
+    lib = store.Library(spark, f"file://{tmp_path}/lib")
+    rows = spark.createDataFrame([("a0", "x", "A", 0), ("b0", "y", "B", 0)], CHUNKS)
+    lib.rebuild(rows)
+    with pytest.raises(Exception):  # noqa: B017  whatever a task raises
+        lib.upsert(rows.withColumn("text", F.when(F.col("book_title") == "B", F.raise_error(F.lit("lost"))).otherwise(F.col("text"))))
+    assert ids(lib) == ["a0", "b0"]
+    stale = store.Library(spark, lib.path)
+    stale.version = lambda: 0  # another writer that has not seen the first version
+    with pytest.raises(RuntimeError):
+        stale._commit(lib._listed())
+    assert ids(lib) == ["a0", "b0"] and not list((tmp_path / "lib").glob("pending*"))
+    lib.rebuild(lib.read().where("book_title = 'B'"))  # reads what it replaces
+    assert ids(lib) == ["b0"]
 
 
 def test_upserted_puts_new_rows_last(spark):
@@ -84,24 +124,30 @@ def test_page_escapes_what_it_inlines(graph):
     assert "</script><b>" not in page and "&lt;Map&gt;" in page
     body = page.split('type="application/json">')[1].split("</script>")[0]
     assert json.loads(body)[0]["definition"] == "</script><b>" and concepts_page
+    books = render.legend(nodes.withColumn("books", F.array(F.lit("<A>"))))
+    assert "&lt;A&gt;</li>" in books and "<A>" not in books and "shared by several books" in page and '<dialog id="term">' in page
 
 
-def test_extraction_resumes_after_the_first_failure(spark):
-    chunks = spark.createDataFrame([(f"c{i}", f"text {i}", "A", i) for i in range(7)], CHUNKS)
-    prompts = concepts.batch_texts(concepts.batches(chunks, size=2))
-    assert prompts.count() == 4
+def test_page_of_a_large_graph_is_an_error(graph, monkeypatch):
+    monkeypatch.setattr(render, "MOST_NODES", 6)
+    with pytest.raises(ValueError):
+        render.concept_map(*graph)
 
-    def model(p):
-        if "text 4" in p:
-            raise TimeoutError
-        return '```json\n{"terms": [{"term": "t", "definition": "d"}], "relations": []}\n```'
 
-    done = concepts.extract(prompts, spark.createDataFrame([], "text_key string"), model)
-    rows = done.collect()
-    assert sorted(r["batch_id"] for r in rows) == [0, 1] and rows[0]["extraction"]["terms"][0]["term"] == "t"
-    cache = spark.createDataFrame([(r["text_key"],) for r in rows], "text_key string")
-    again = concepts.extract(prompts, cache, lambda p: '{"terms": [], "relations": []}')
-    assert sorted(r["batch_id"] for r in again.collect()) == [2, 3]
+def test_extractions_become_rows(spark):
+    kind = "book_title string, batch_id int, answer string"
+    answers = [
+        ("B", 0, '{"terms": [{"term": "x", "definition": "1"}, {"term": null}, {"term": "x"}], "relations": [{"source": "x", "relation": "r", "target": "y"}, {"source": "x"}]}'),
+        ("A", 1, '```json\n{"terms": [{"term": " X ", "definition": "2"}]}\n```'), ("A", 0, "bad"), (None, 0, '{"terms": [{"term": "y", "definition": "3"}], "relations": null}'),
+    ]
+    found = concepts.parse(spark.createDataFrame(answers, kind))
+    assert sorted(tuple(r) for r in concepts.terms(found).select("book_pos", "term_pos", "term").collect()) == [(0, 0, "y"), (1, 1 << 32, " X "), (2, 0, "x"), (2, 2, "x")]
+    assert [(r["book_title"], r["source"], r["target"], r["rel_pos"]) for r in concepts.relations(found).collect()] == [("B", "x", "y", 0)]
+    nodes, edges = concepts.graph(found)
+    assert {r["term_id"]: (r["label"], r["definition"]) for r in nodes.collect()} == {"x": (" X ", "2"), "y": ("y", "3")} and edges.count() == 1
+    turned = concepts.graph(found.withColumn("book_pos", F.when(F.col("book_title") == "B", 0).otherwise(1)))[0]
+    assert turned.where("term_id = 'x'").first()["label"] == "x"
+    assert concepts.terms(found.limit(0)).count() == 0
 
 
 def test_sources(spark, tmp_path):
