@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from ..model import NON_CHAPTER_KEYWORDS, POLLUTION_KEYWORDS, STOPWORDS
+from ..model import GREEK, NON_CHAPTER_KEYWORDS, POLLUTION_KEYWORDS, STOPWORDS
+from ..operators.concepts import PROMPT
+from ..operators.evaluate import JUDGES
+from ..operators.query import INSTRUCTIONS
+from ..sources.readers import _EXAMPLE
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
@@ -87,7 +91,7 @@ heads AS (SELECT book_title, row_number() OVER w - 1 AS pos, text AS title, page
 
 TOC = """
 toc AS (SELECT 'conv' || conv_id AS book_title, turn AS pos, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level,
-  (turn // 2) || '.1 ' || substring(coalesce(text, ''), 1, 30) AS title, turn AS start_page FROM conversations),
+  (turn // 2) || '.1 ' || coalesce(text, '') AS title, turn AS start_page FROM conversations),
 toc_pages AS (SELECT book_title, max(start_page) + 3 AS n_pages FROM toc GROUP BY 1),
 nexts AS (SELECT a.book_title, a.pos, arg_min(b.start_page, b.pos) AS nxt FROM toc a JOIN toc b ON b.book_title = a.book_title AND b.pos > a.pos AND b.level <= a.level GROUP BY ALL),
 ranges AS (SELECT t.book_title, t.pos, title, start_page, greatest(coalesce(nxt - 1, n_pages), start_page) AS end_page, level
@@ -145,6 +149,25 @@ made AS (SELECT corpus_pos, chunk_id, 'According to the text on ' || substring(l
   trim(replace(substring(text, 1, 250), chr(10), ' ')) || '...' AS ground_truth_answer FROM rowsq WHERE len(ls) > 0)"""
 
 
+_SPACE = r"[\s\x{0B}\x{85}\p{Z}]"
+_WORD = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
+_FORMULAS = r"""coalesce(text, '') || ' Let $\frac{' || doc_id || '}{n}\sum_{i=1}^{n} x_i \leq \alpha^2$ and E = mc^3 \times y^{k+1}, $\nabla_\theta L$; '
+  || 'a^2^3 b^{2}^n, x_{i}_j c_d_e $$\beta \neq \pi \cdot z^10$$ (see p.4) \geq é^2.'"""
+
+
+def _spoken(text: str) -> str:
+    """Speech as nested replacements; a power's exponent stands between two marks until it is named."""
+    for pattern, by in (
+        (rf"{_SPACE}*\([^()]*p\.\p{{Nd}}+\)", ""), (r"\\frac\{([^{}]*)\}\{([^{}]*)\}", r"\1 over \2 "), (r"\\sum_\{([^{}]*)\}\^\{([^{}]*)\}", r"the sum from \1 to \2 of"),
+        (r"\\(" + "|".join(GREEK) + r")\b", r"\1"), (rf"({_WORD}+)\^(?:\{{([^{{}}]*)\}}|({_WORD}+))", "\\1\x02\\2\\3\x03"), ("\x022\x03", " squared"), ("\x023\x03", " cubed"),
+        ("\x02([^\x02\x03]*)\x03", r" to the power of \1"), (rf"({_WORD}+)_(?:\{{([^{{}}]*)\}}|({_WORD}+))", r"\1 sub \2\3"), (r"\\times|\\cdot", "times"),
+        (r"\\leq", "less than or equal to"), (r"\\geq", "greater than or equal to"), (r"\\neq", "not equal to"), ("=", " equals "), (r"\$", ""), (r"\\([a-zA-Z]+)", r"\1"),
+        (rf"{_SPACE}+", " "), ("^ | $", ""),
+    ):
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return text
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts) + "\n"
 
@@ -215,7 +238,11 @@ ORACLES: dict[str, str] = {
       g AS (SELECT book_title, number, min(start_page) AS start_page, max(end_page) AS end_page, min(pos) AS f FROM n WHERE number <> '' GROUP BY ALL)
       SELECT book_title, row_number() OVER (PARTITION BY book_title ORDER BY f) - 1 AS pos, 'Chapter ' || number AS title, start_page, end_page, 1::BIGINT AS level FROM g""",
     "single_chapter": _with(HEADS)
-    + "SELECT l.book_title || ' — ' || title AS book_title, count(*) AS n_lines FROM lines l JOIN heads h ON l.book_title = h.book_title AND page_number BETWEEN start_page AND end_page GROUP BY 1",
+    + "SELECT l.book_title || ' — ' || title AS book_title, line_no, page_number, text FROM lines l JOIN heads h ON l.book_title = h.book_title AND page_number BETWEEN start_page AND end_page",
+    "page_offset": _with(LEVELS) + "SELECT book_title, line_no, page_number + 7 AS page_number, level FROM levelled",
+    "document_lines": "SELECT 'nation' AS book_title, row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS line_no, n_regionkey::BIGINT + 1 AS page_number, n_name AS text, n_nationkey::DOUBLE AS size FROM nation",
+    "list_chapters": _with(HEADS, TOC)
+    + "SELECT book_title, pos, title, start_page, end_page, level::BIGINT AS level FROM ranges UNION ALL SELECT book_title, pos, title, start_page, end_page, level::BIGINT FROM heads",
     "reassign_chapters": _with(CHUNKS, SOURCE_RANGES) + "SELECT chunk_id, book_title, hit AS chapter, page_number FROM assigned WHERE hit IS NOT NULL",
     "reassign_summary": _with(CHUNKS, SOURCE_RANGES)
     + "SELECT book_title, count(*) FILTER (hit IS DISTINCT FROM chapter AND hit IS NOT NULL) AS relabelled, count(*) FILTER (hit IS NULL) AS removed FROM assigned GROUP BY 1",
@@ -224,6 +251,12 @@ ORACLES: dict[str, str] = {
     + """, rest AS (SELECT * FROM chunks WHERE book_title <> 'src1') SELECT chunk_id, book_title, corpus_pos FROM rest
       UNION ALL SELECT chunk_id, book_title, corpus_pos + (SELECT max(corpus_pos) FROM rest) + 1 FROM chunks WHERE book_title = 'src1' AND corpus_pos IN (SELECT doc_id FROM labels)""",
     "delete_by_ids": _with(CHUNKS) + "SELECT chunk_id, book_title FROM chunks WHERE corpus_pos NOT IN (SELECT doc_id FROM labels WHERE quality = 0)",
+    "stored_upsert": _with(CHUNKS)
+    + """SELECT chunk_id, book_title, md5(text) AS text_md5 FROM chunks WHERE book_title NOT IN ('src1', 'src2') OR book_title = 'src1' AND corpus_pos IN (SELECT doc_id FROM labels)
+      UNION ALL SELECT chunk_id, '007 — [b=c], é%', md5(text) FROM chunks WHERE book_title = 'src3'""",
+    "stored_delete_ids": _with(CHUNKS) + "SELECT chunk_id, book_title, corpus_pos FROM chunks WHERE corpus_pos NOT IN (SELECT doc_id FROM labels WHERE quality = 0)",
+    "stored_fix_chapters": _with(CHUNKS, SOURCE_RANGES) + "SELECT chunk_id, book_title, hit AS chapter, page_number FROM assigned WHERE hit IS NOT NULL",
+    "library_wire": _with(CHUNKS) + "SELECT chunk_id, md5(text) AS text_md5, book_title, chapter, section, page_number, 0::BIGINT AS chunk_index_on_page FROM chunks",
     "validate_chunks": """SELECT lang NOT IN ('es', 'fr') AS valid, CASE lang WHEN 'es' THEN 'chunk_id' WHEN 'fr' THEN 'page_number' END AS reason, count(*) AS n,
       coalesce(sum(CASE WHEN lang <> 'fr' THEN doc_id END), 0)::BIGINT AS sum_pages FROM documents GROUP BY ALL""",
     "id_collisions": _with(CHUNKS) + "SELECT chunk_id, 2::BIGINT AS n_books, 2::BIGINT AS n FROM chunks WHERE chapter = 'de'",
@@ -238,6 +271,15 @@ ORACLES: dict[str, str] = {
     "batch_keys": _with(CHUNKS, BATCHES) + "SELECT book_title, batch_id, cache_key FROM keys",
     "pending_batches": _with(CHUNKS, BATCHES) + "SELECT book_title, batch_id, cache_key FROM keys WHERE batch_id % 2 = 1",
     "calls_needed": "SELECT source AS book_title, lang AS chapter, count(*) AS n_chunks, (count(*) + 7) // 8 AS n_calls FROM documents GROUP BY ALL",
+    "extraction_prompts": _with(CHUNKS, BATCHES)
+    + f""", joined AS (SELECT b.book_title, batch_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY corpus_pos, chunk_id) AS texts FROM batched b JOIN chunks USING (chunk_id) GROUP BY ALL)
+      SELECT book_title, batch_id, cache_key, md5(texts) AS text_key, md5('{PROMPT}' || texts) AS prompt_md5 FROM joined JOIN keys USING (book_title, batch_id)""",
+    "extracted_terms": _with(GRAPH) + "SELECT book_title, book_pos, (term_pos // 1000) * 4294967296 + term_pos % 1000 AS term_pos, term, definition FROM terms",
+    "extracted_relations": _with(GRAPH) + "SELECT book_title, book_pos, (rel_pos // 1000) * 4294967296 + rel_pos % 1000 AS rel_pos, src AS source, relation, dst AS target FROM rels",
+    "extracted_nodes": _with(GRAPH) + "SELECT term_id, label, definition, books, CASE WHEN n_books > 1 THEN books END AS cross_referenced_in FROM nodes",
+    "extracted_edges": _with(GRAPH) + "SELECT src, dst, relation, edge_type, book FROM edges",
+    "concept_node_filter": _with(GRAPH) + "SELECT term_id, definition FROM nodes WHERE definition IN ('item 0', 'item 7')",
+    "concept_edge_payload": _with(GRAPH) + """SELECT src AS "from", dst AS "to", relation AS label, 'to' AS arrows, true AS dashes FROM edges""",
     "concept_nodes": _with(GRAPH) + "SELECT term_id, label, definition, books, CASE WHEN n_books > 1 THEN books END AS cross_referenced_in FROM nodes",
     "concept_edges": _with(GRAPH) + "SELECT src, dst, relation, edge_type, book FROM edges",
     "concept_degree": _with(GRAPH) + "SELECT * FROM degrees",
@@ -260,6 +302,17 @@ ORACLES: dict[str, str] = {
       t AS (SELECT source AS query_id, doc_id::VARCHAR AS chunk_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
       b AS (SELECT t.query_id, min(pos) AS pos, min(fp) AS fp FROM t LEFT JOIN h USING (query_id, chunk_id) GROUP BY 1)
       SELECT round(avg(coalesce(pos <= 1, false)::INT), 6) AS hit_rate_1, round(avg(coalesce(pos <= 3, false)::INT), 6) AS hit_rate_3, round(avg(coalesce(pos <= 5, false)::INT), 6) AS hit_rate_5, round(avg(CASE WHEN fp <= 10 THEN 1.0::DOUBLE / fp ELSE 0 END), 6) AS mrr FROM b""",
+    "mean_judge_scores": r"""SELECT lang, round(coalesce(avg(try_cast(nullif(regexp_extract(text, '([01](?:\.\d+)?)', 1), '') AS DOUBLE)), 0), 6) AS mean_score FROM documents GROUP BY 1""",
+    "judged_items": f"""SELECT item_id, CASE WHEN n % 11 <> 0 THEN (n % 2)::DOUBLE END AS score, CASE WHEN n % 11 = 0 THEN 'TimeoutError: ' || n END AS judged_error
+      FROM (SELECT item_id, {len(JUDGES['faithfulness']) - len('{context}{answer}')} + length(text) + length(item_id::VARCHAR) AS n FROM benchmark)""",
+    "eval_slice": _with(CHUNKS, QUESTIONS_OF) + "SELECT 'q' || corpus_pos AS id, question FROM made ORDER BY corpus_pos LIMIT 8 OFFSET 3",
+    "builtin_eval_set": "SELECT * FROM (VALUES "
+    + ", ".join(f"('q{i}', '{q}', '{a}', '{c}')" for i, (q, a, c) in enumerate(_EXAMPLE, 1))
+    + ") AS v(id, question, ground_truth_answer, ground_truth_chunk_id)",
+    "answer_prompts": _with(RANKINGS, fused("bylen", "byid", 3))
+    + f""", c AS (SELECT query_id, string_agg('[' || lang || ' | Unknown | p.' || doc_id || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS c
+      FROM fused JOIN documents ON chunk_id = doc_id::VARCHAR GROUP BY 1)
+      SELECT query_id, md5('{INSTRUCTIONS}' || chr(10) || chr(10) || 'EXCERPTS:' || chr(10) || c || chr(10) || chr(10) || 'QUESTION: What of ' || query_id || '?' || chr(10) || chr(10) || 'ANSWER:') AS prompt_md5 FROM c""",
     "benchmark_truths": _with(TRUTHS) + "SELECT * FROM truths",
     "retrieval_eval": _with(CHUNKS, QUESTIONS, BM25, TRUTHS)
     + """, b AS (SELECT t.query_id, min(rank0 + 1) AS pos FROM truths t LEFT JOIN lex USING (query_id, chunk_id) GROUP BY 1)
@@ -273,10 +326,10 @@ ORACLES: dict[str, str] = {
     "parse_judge_score": r"SELECT doc_id, try_cast(nullif(regexp_extract(text, '([01](?:\.\d+)?)', 1), '') AS DOUBLE) AS score FROM documents",
     "word_counts": rf"""SELECT doc_id, len(regexp_extract_all(lower(text), '\S+')) AS n_tokens,
       len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 2 AND x NOT IN ({_STOP}))) AS n_words FROM documents""",
-    "strip_citations": r"SELECT doc_id, regexp_replace(substring(text, 1, 40), '\s+$', '') || ' and (p. 3) on.' AS text FROM documents",
-    "strip_citations_whole": r"""SELECT doc_id, md5(regexp_replace(mark || substring(text, 1, (length(text) // 2)::BIGINT) || mark || substring(text, length(text) // 2 + 1) || mark,
-      '[\s\x{0B}\x{85}\p{Z}]*\([^()]*p\.\p{Nd}+\)', '', 'g')) AS text_md5 FROM documents, (SELECT ' (Chapter 1, Section 2, p.12)' AS mark)""",
-    "latex_to_spoken": """SELECT item_id, 'Let ' || item_id || ' over n the sum from i equals 1 to n of x sub i less than or equal to alpha squared and E equals mc cubed times y to the power of k+1, nabla sub theta L.' AS spoken FROM benchmark""",
+    "strip_citations": rf"""SELECT doc_id, md5(regexp_replace(mark || substring(text, 1, (length(text) // 2)::BIGINT) || mark || substring(text, length(text) // 2 + 1) || mark,
+      '{_SPACE}*\([^()]*p\.\p{{Nd}}+\)', '', 'g')) AS text_md5 FROM documents, (SELECT ' (Chapter 1, Section 2, p.12)' AS mark)""",
+    "fence_stripped": r"""SELECT doc_id, md5(regexp_replace(regexp_replace('```json ' || coalesce(text, '') || ' ```', '^```json\s*', ''), '\s*```$', '')) AS text_md5 FROM documents""",
+    "latex_to_spoken": f"SELECT doc_id, md5({_spoken(_FORMULAS)}) AS spoken_md5 FROM documents",
     "sentence_end_test": _with(LINES)
     + r"""SELECT book_title, line_no, NOT regexp_matches(text, '(?i:\bp\.\s*\d*$|\be\.g\.$|\bi\.e\.$)|\b\d+\.$') AS ends, false AS cited_ends FROM lines""",
     "html_escape": """SELECT page_id, md5(replace(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS escaped_md5 FROM pages""",

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import bm25, chunking, concepts, dense, evaluate, fusion, query, routing, store, structure
+from ..operators.sizes import broadcast_if_small, spread
 from ..sources import readers
 from ..streaming import sentences as S
 
@@ -94,7 +95,7 @@ class Tables:
         level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3)
         return self.conversations.select(
             F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("book_title"), F.col("turn").cast("int").alias("pos"), level.alias("level"),
-            F.concat(F.floor(F.col("turn") / 2).cast("string"), F.lit(".1 "), F.substring(F.coalesce("text", F.lit("")), 1, 30)).alias("title"),
+            F.concat(F.floor(F.col("turn") / 2).cast("string"), F.lit(".1 "), F.coalesce("text", F.lit(""))).alias("title"),
             F.col("turn").cast("int").alias("start_page"),
         )
 
@@ -128,15 +129,42 @@ class Tables:
         return nodes, concepts.edges(self.relations(), nodes)
 
     def truths(self) -> DataFrame:
-        """Documents that hold an item's whole text; items without one are not in it."""
-        size = self.benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        if size > 16 << 20:
-            raise ValueError("the question set is too large to compare with every document at once")
-        items = self.benchmark.agg(F.collect_list(F.struct("item_id", "text")).alias("items"))  # one row of checked size
-        held = self.documents.crossJoin(F.broadcast(items)).select(
-            "doc_id", "source", F.explode(F.filter("items", lambda i: F.contains(F.col("text"), i["text"]))).alias("i")
+        """Documents that hold an item's whole text; items without one are not in it.
+
+        All words of an item but the first and the last stand whole in such a document, so
+        the longest of them leads to the few that are searched. Items of one or two words,
+        which have none, are looked for in every document.
+        """
+        words = F.split("text", r"(?U)\s+")
+        items = self.benchmark.where("text is not null").select("item_id", F.col("text").alias("item"), words.alias("w"))
+        inner = F.array_sort(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))), lambda a, b: F.length(b) - F.length(a))
+        long = items.where(F.size("w") > 2).select("item_id", "item", inner[0].alias("word"))
+        docs = spread(self.documents.select("doc_id", "source", "text"))
+        held = docs.select("doc_id", "source", "text", F.explode(F.array_distinct(words)).alias("word")).join(broadcast_if_small(long, 50_000), "word")
+        held = held.where(F.contains("text", F.col("item"))).select("doc_id", "source", "item_id")
+        short = items.where(F.size("w") <= 2).agg(F.collect_list(F.struct("item_id", "item")).alias("items"))  # one row of short texts
+        rest = docs.crossJoin(F.broadcast(short)).select("doc_id", "source", F.explode(F.filter("items", lambda i: F.contains(F.col("text"), i["item"]))).alias("i"))
+        held = held.unionByName(rest.select("doc_id", "source", "i.item_id"))
+        return held.select(F.col("item_id").alias("query_id"), F.concat(X.slug("source"), F.lit("_p"), F.col("doc_id").cast("string"), F.lit("_g0_c0")).alias("chunk_id"))
+
+    def extractions(self) -> DataFrame:
+        """What a text model might say of each item: its words as terms, neighbours related."""
+        words = X.whitespace_tokens("text")
+        named = F.transform(words, lambda w: F.struct(w.alias("term"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("definition")))
+        pairs = F.transform(
+            F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
+            lambda w, i: F.struct(words[i].alias("source"), F.concat(F.lit("r"), i.cast("string")).alias("relation"), w.alias("target")),
+        )
+        said = F.concat(F.lit("```json\n"), F.to_json(F.struct(named.alias("terms"), pairs.alias("relations"))), F.lit("\n```"))
+        return concepts.parse(
+            self.benchmark.select(F.concat(F.lit("b"), (F.col("item_id") % 5).cast("string")).alias("book_title"), F.col("item_id").cast("int").alias("batch_id"), said.alias("answer"))
         )
-        return held.select(F.col("i.item_id").alias("query_id"), F.concat(X.slug("source"), F.lit("_p"), F.col("doc_id").cast("string"), F.lit("_g0_c0")).alias("chunk_id"))
+
+    def library(self) -> store.Library:
+        """The chunks as a stored library of their own."""
+        out = store.Library(self.spark, store.scratch(self.spark, "library"))
+        out.rebuild(self.chunks().repartition("book_title"))
+        return out
 
     def by_length(self) -> DataFrame:
         return self._ranking(F.desc("n_chars"))
@@ -293,6 +321,33 @@ def heading_levels(t: Tables) -> DataFrame:
     return t.levelled().select("book_title", "line_no", "page_number", "level")
 
 
+@registered
+def page_offset(t: Tables) -> DataFrame:
+    return structure.heading_levels(t.lines(), page_offset=7).select("book_title", "line_no", "page_number", "level")
+
+
+@registered
+def document_lines(t: Tables) -> DataFrame:
+    """Binary files by a parser: the file of nations, a page a region, a name a line."""
+
+    def parser(content: bytes) -> list:
+        import io
+
+        import pyarrow.parquet as pq
+
+        rows = pq.read_table(io.BytesIO(content)).sort_by("n_nationkey").to_pylist()
+        return [(page + 1, [(f" {r['n_name']} ", r["n_nationkey"] + 0.04) for r in rows if r["n_regionkey"] == page]) for page in range(5)]
+
+    return readers.document_lines(t.spark, f"{t.sf_dir}/nation.parquet", parser)
+
+
+@registered
+def list_chapters(t: Tables) -> DataFrame:
+    """Contents of conversations, headings of documents."""
+    pages = t.toc_pages().unionByName(t.book_pages())
+    return structure.list_chapters(t.toc(), t.levelled(), pages)
+
+
 @registered
 def heading_groups(t: Tables) -> DataFrame:
     return structure.heading_groups(t.levelled())
@@ -336,7 +391,7 @@ def leading_number_groups(t: Tables) -> DataFrame:
 @registered
 def single_chapter(t: Tables) -> DataFrame:
     heads = structure.heading_ranges(t.levelled(), t.book_pages())
-    return structure.single_chapter(t.lines(), heads).groupBy("book_title").agg(F.count("*").alias("n_lines"))
+    return structure.single_chapter(t.lines(), heads).select("book_title", "line_no", "page_number", "text")
 
 
 @registered
@@ -369,6 +424,44 @@ def delete_by_ids(t: Tables) -> DataFrame:
     return store.without_ids(t.chunks(), bad).select("chunk_id", "book_title")
 
 
+@registered
+def stored_upsert(t: Tables) -> DataFrame:
+    """A stored library after one source's chunks were replaced twice by the labelled ones, one was deleted, and one is new."""
+    library = t.library()
+    labelled = readers.documents_as_chunks(t.documents.where("source = 'src1'").join(t.labels.select("doc_id"), "doc_id", "left_semi"))
+    library.upsert(labelled)
+    library.upsert(labelled)
+    library.delete_book("src2")
+    library.upsert(t.chunks().where("book_title = 'src3'").withColumn("book_title", F.lit("007 — [b=c], é%")))
+    return library.read().select("chunk_id", "book_title", F.md5("text").alias("text_md5"))
+
+
+@registered
+def stored_delete_ids(t: Tables) -> DataFrame:
+    library = t.library()
+    bad = t.documents.join(t.labels.where("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    library.delete_ids(readers.documents_as_chunks(bad).select("chunk_id"))
+    return library.read().select("chunk_id", "book_title", "corpus_pos")
+
+
+@registered
+def stored_fix_chapters(t: Tables) -> DataFrame:
+    library = t.library()
+    chapters = t.source_ranges()
+    rows = library.read()
+    library.replace(chapters.select("book_title").distinct(), structure.reassign_chapters(rows, chapters))
+    return library.read().select("chunk_id", "book_title", "chapter", "page_number")
+
+
+@registered
+def library_wire(t: Tables) -> DataFrame:
+    """Chunks written as a library's JSON and read again."""
+    path = store.scratch(t.spark, "wire")
+    chunking.to_wire(t.chunks()).write.json(path)
+    wire = readers.library_json(t.spark, path, lines=True)
+    return wire.select("chunk_id", F.md5("text").alias("text_md5"), "book_title", "chapter", "section", "page_number", "chunk_index_on_page")
+
+
 def _raw_chunks(t: Tables) -> DataFrame:
     page = F.when(F.col("lang") == "fr", F.lit("iv")).otherwise(F.col("doc_id").cast("string"))
     return t.documents.select(
@@ -434,6 +527,12 @@ def calls_needed(t: Tables) -> DataFrame:
     return concepts.calls_needed(t.chunks())
 
 
+@registered
+def extraction_prompts(t: Tables) -> DataFrame:
+    prompts = concepts.batch_texts(concepts.batches(t.chunks()))
+    return prompts.select("book_title", "batch_id", "cache_key", "text_key", F.md5("prompt").alias("prompt_md5"))
+
+
 # --- concepts ----------------------------------------------------------------------------
 
 
@@ -447,6 +546,37 @@ def concept_edges(t: Tables) -> DataFrame:
     return t.graph()[1].drop("book_pos", "rel_pos")
 
 
+@registered
+def extracted_terms(t: Tables) -> DataFrame:
+    return concepts.terms(t.extractions())
+
+
+@registered
+def extracted_relations(t: Tables) -> DataFrame:
+    return concepts.relations(t.extractions())
+
+
+@registered
+def extracted_nodes(t: Tables) -> DataFrame:
+    return concepts.graph(t.extractions())[0].drop("book_pos", "term_pos")
+
+
+@registered
+def extracted_edges(t: Tables) -> DataFrame:
+    return concepts.graph(t.extractions())[1].drop("book_pos", "rel_pos")
+
+
+@registered
+def concept_node_filter(t: Tables) -> DataFrame:
+    nodes = t.graph()[0]
+    return concepts.filter_nodes(nodes, "definition", ["item 0", "item 7", "no item"]).select("term_id", "definition")
+
+
+@registered
+def concept_edge_payload(t: Tables) -> DataFrame:
+    return concepts.edge_payload(t.graph()[1]).drop("book_pos", "rel_pos")
+
+
 @registered
 def concept_degree(t: Tables) -> DataFrame:
     return concepts.degrees(*t.graph())
@@ -513,6 +643,45 @@ def retrieval_eval(t: Tables) -> DataFrame:
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
 
+@registered
+def mean_judge_scores(t: Tables) -> DataFrame:
+    judged = t.documents.select("lang", X.judge_score("text").alias("score"))
+    return evaluate.mean_scores(judged, ["lang"]).withColumn("mean_score", F.round("mean_score", 6))
+
+
+@registered
+def judged_items(t: Tables) -> DataFrame:
+    """A judge that says 1 to prompts of an odd number of characters and raises at every eleventh length."""
+
+    def model(prompt: str) -> str:
+        if len(prompt) % 11 == 0:
+            raise TimeoutError(str(len(prompt)))
+        return f"I say {len(prompt) % 2}."
+
+    items = t.benchmark.select("item_id", F.col("text").alias("context"), F.col("item_id").cast("string").alias("answer"))
+    return evaluate.judge(items, model, kind="faithfulness").select("item_id", "score", "judged_error")
+
+
+@registered
+def eval_slice(t: Tables) -> DataFrame:
+    """The fourth to the eleventh question, as the generation metrics are tried on."""
+    rows = evaluate.generated_questions(t.chunks(), limit=None).withColumn("nth", F.substring("id", 2, 20).cast("long"))
+    return query.nth_rows(rows, ["nth"], 3, 8).select("id", "question")
+
+
+@registered
+def builtin_eval_set(t: Tables) -> DataFrame:
+    return readers.eval_set(t.spark, None)
+
+
+@registered
+def answer_prompts(t: Tables) -> DataFrame:
+    found = fusion.fuse(t.by_length(), t.by_id(), top_k=3)
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("lang").alias("chapter"), F.lit("Unknown").alias("section"), F.col("doc_id").alias("page_number"))
+    asked = t.documents.select(F.col("source").alias("query_id")).distinct().withColumn("question", F.concat(F.lit("What of "), "query_id", F.lit("?")))
+    return query.prompts(asked, found.join(docs, "chunk_id")).select("query_id", F.md5("prompt").alias("prompt_md5"))
+
+
 @registered
 def eval_candidates(t: Tables) -> DataFrame:
     return evaluate.candidates_with_todo(t.chunks())
@@ -543,12 +712,6 @@ def word_counts(t: Tables) -> DataFrame:
 
 @registered
 def strip_citations(t: Tables) -> DataFrame:
-    cited = F.concat(F.substring("text", 1, 40), F.lit(" (Chapter 1, Section 2, p."), F.col("doc_id").cast("string"), F.lit(") and (p. 3) on."))
-    return t.documents.select("doc_id", X.strip_citations(cited).alias("text"))
-
-
-@registered
-def strip_citations_whole(t: Tables) -> DataFrame:
     """Whole texts, with a citation before, within and after them."""
     mark = F.lit(" (Chapter 1, Section 2, p.12)")
     half = F.floor(F.length("text") / 2).cast("int")
@@ -556,11 +719,20 @@ def strip_citations_whole(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(X.strip_citations(cited)).alias("text_md5"))
 
 
+@registered
+def fence_stripped(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.md5(X.fence_stripped(F.concat(F.lit("```json "), F.coalesce("text", F.lit("")), F.lit(" ```")))).alias("text_md5"))
+
+
 @registered
 def latex_to_spoken(t: Tables) -> DataFrame:
-    n = F.col("item_id").cast("string")
-    text = F.concat(F.lit(r"Let $\frac{"), n, F.lit(r"}{n}\sum_{i=1}^{n} x_i \leq \alpha^2$ and E = mc^3 \times y^{k+1}, $\nabla_\theta L$."))
-    return t.benchmark.select("item_id", X.speech_text(text).alias("spoken"))
+    """Whole texts, with a formula of each kind after them."""
+    n = F.col("doc_id").cast("string")
+    formulas = F.concat(
+        F.lit(r" Let $\frac{"), n, F.lit(r"}{n}\sum_{i=1}^{n} x_i \leq \alpha^2$ and E = mc^3 \times y^{k+1}, $\nabla_\theta L$; "),
+        F.lit(r"a^2^3 b^{2}^n, x_{i}_j c_d_e $$\beta \neq \pi \cdot z^10$$ (see p.4) \geq é^2."),
+    )
+    return t.documents.select("doc_id", F.md5(X.speech_text(F.concat(F.coalesce("text", F.lit("")), formulas))).alias("spoken_md5"))
 
 
 @registered
@@ -586,4 +758,4 @@ def build_chunks(t: Tables) -> DataFrame:
 
 @registered
 def sentences(t: Tables) -> DataFrame:
-    return S.sentences(t.conversations.where("role = 'assistant'").select("conv_id", "turn", "text")).select("conv_id", "turn", "sentence_no", "sentence")
+    return S.sentences(t.conversations.select("conv_id", "turn", "text")).select("conv_id", "turn", "sentence_no", "sentence")

@@ -80,9 +80,12 @@ def document_lines(spark: SparkSession, path: str, parser: Callable[[bytes], lis
     return files.mapInArrow(parse, _LINES)
 
 
-def library_json(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of a library kept as a JSON array, flat; a file's order is not kept by Spark, so none is made up."""
-    return spark.read.schema(CHUNK_WIRE).json(path, multiLine=True).select("chunk_id", "text", "metadata.*")
+def library_json(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Chunks of a library kept as a JSON array, flat; a file's order is not kept by Spark, so none is made up.
+
+    An array is read by one task; ``lines`` reads files of an object a line, in many.
+    """
+    return spark.read.schema(CHUNK_WIRE).json(path, multiLine=not lines).select("chunk_id", "text", "metadata.*")
 
 
 def eval_set(spark: SparkSession, path: str | None) -> DataFrame:

@@ -50,8 +50,3 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     assert {n: TYPES[t] for n, t in df.dtypes} == {d[0]: str(d[1]) for d in want.description}
     at = [names.index(c) for c in columns]
     assert got == sorted(repr(tuple(row[i] for i in at)) for row in want.fetchall())
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
