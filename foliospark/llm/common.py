@@ -217,6 +217,18 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def partial_components(edges: DataFrame, *, rounds: int = 2) -> DataFrame:
+    """``(node, root)`` as :func:`connected_components` after a few rounds: nodes of one root are connected.
+
+    Connected nodes may still have several roots. Nodes that are not larger than another
+    in a remaining edge have no row: they are their own root.
+    """
+    e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    for _ in range(rounds):
+        e = _small_star(_large_star(materialize(e, "edges")))
+    return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+
+
 def _fingerprint(e: DataFrame) -> tuple:
     """Count and order-free hash of an edge set; equal before and after means settled."""
     r = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()

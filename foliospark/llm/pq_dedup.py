@@ -34,7 +34,7 @@ from .common import connected_components, materialize, release, ship
 #: Vectors, in expectation, from which the quantisers are learned; more where there are more lists: some of each.
 SAMPLE, SAMPLE_PER_LIST = 20_000, 8
 #: Inverted lists are this many times the root of the number of vectors.
-LISTS = 1.0
+LISTS = 2.0
 SUBSPACES = 16
 CODES = 32
 #: Distance to a list's border up to which the list is visited.

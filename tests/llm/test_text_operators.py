@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from foliospark.llm import bpe, decontaminate, langid, queries, secret_scan, simhash, token_store
-from foliospark.llm.common import connected_components
+from foliospark.llm.common import connected_components, partial_components
 
 from . import brute
 
@@ -29,6 +29,15 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
+def test_partial_components_join_only_what_is_connected(spark):
+    rng = np.random.default_rng(4)
+    pairs = [tuple(map(int, rng.integers(0, 60, 2))) for _ in range(50)] + [(100 + i, 101 + i) for i in range(30)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    whole = {r["node"]: r["root"] for r in connected_components(edges).collect()}
+    some = {r["node"]: r["root"] for r in partial_components(edges, rounds=1).collect()}
+    assert all(whole[n] == whole[r] and r < n for n, r in some.items()) and len(some) > len(whole) / 2
+
+
 # --- op1 ---------------------------------------------------------------------------------
 
 
