@@ -182,7 +182,7 @@ class _Piece:
         self.visitor = np.repeat(np.arange(len(self.cid)), visits.value_lengths().fill_null(0).to_numpy())
         self.visited = visits.flatten().to_numpy()
         members = table.take(pa.array(self.member))
-        self.codes = np.frombuffer(b"".join(members.column("codes").to_pylist()), np.uint8).reshape(len(self.member), -1).astype(np.int64)
+        self.codes = np.frombuffer(b"".join(members.column("codes").to_pylist()), np.uint8).reshape(len(self.member), len(quantiser.books)).astype(np.int64)
         self.left = members.column("left").to_numpy()
         # which member visits which list, to look up
         self.lists = int(max(self.home.max(initial=0), self.visited.max(initial=0))) + 1
