@@ -145,6 +145,19 @@ def test_judge_and_retry(spark):
         query.with_retry(lambda p: (_ for _ in ()).throw(ConnectionError()), retriable=lambda e: False)("p")
 
 
+def test_image_model(spark):
+    rows = spark.createDataFrame([("what", bytearray(b"ab"), None), ("what", None, "image/gif"), ("fail", bytearray(b""), "image/gif")], "prompt string, image binary, mime_type string")
+
+    def model(prompt, image, mime):
+        if prompt == "fail":
+            raise OSError("no")
+        return f"{prompt} {len(image)} {mime}"
+
+    got = {(r["prompt"], r["answer"], r["answer_error"]) for r in query.call_image_model(rows, model).collect()}
+    assert got == {("what", "what 2 image/png", None), ("what", None, None), ("fail", None, "OSError: no")}
+    assert query.call_image_model(rows.drop("mime_type").limit(1), model).first()["answer"] == "what 2 image/png"
+
+
 def test_sample_and_prompts(spark):
     rows = spark.createDataFrame([("b", f"c{i}", i, i) for i in range(25)] + [("s", "only", 1, 0)], "book_title string, chunk_id string, page_number int, corpus_pos long")
     got = evaluate.sample_spread(rows, n=10)
