@@ -356,6 +356,12 @@ def test_op10_matches_a_plain_version(spark, sf_dir, docs):
         assert got[r["doc_id"]][0] == best and got[r["doc_id"]][1] == pytest.approx(1 - away[best] / size)
 
 
+def test_more_languages_than_a_model_holds_are_an_error(docs, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        langid.fit(docs)
+
+
 def test_marks_alone_are_no_letters(spark):
     model = langid.Profiles({"en": [ord("a")]})
     assert model.predict("\u0301\u0302 \u0903") == ("und", 0.0) and model.predict("a\u0301")[0] == "en"
