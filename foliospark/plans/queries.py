@@ -140,8 +140,8 @@ class Tables:
         inner = F.array_sort(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))), lambda a, b: F.length(b) - F.length(a))
         long = items.where(F.size("w") > 2).select("item_id", "item", inner[0].alias("word"))
         docs = spread(self.documents.select("doc_id", "source", "text"))
-        held = docs.select("doc_id", "source", "text", F.explode(F.array_distinct(words)).alias("word")).join(broadcast_if_small(long, 50_000), "word")
-        held = held.where(F.contains("text", F.col("item"))).select("doc_id", "source", "item_id")
+        led = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("word")).join(broadcast_if_small(long, 50_000), "word").select("doc_id", "item_id", "item").distinct()
+        held = docs.join(led, "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "source", "item_id")
         short = items.where(F.size("w") <= 2).agg(F.collect_list(F.struct("item_id", "item")).alias("items"))  # one row of short texts
         rest = docs.crossJoin(F.broadcast(short)).select("doc_id", "source", F.explode(F.filter("items", lambda i: F.contains(F.col("text"), i["item"]))).alias("i"))
         held = held.unionByName(rest.select("doc_id", "source", "i.item_id"))
