@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import lean, new_column, ship
 
 #: Bytes that a worker's cache of pieces takes before it is emptied, and characters of the longest piece in it.
-CACHE_BYTES, CACHED_PIECE = 64 << 20, 64
+CACHE_BYTES, CACHED_PIECE = 40 << 20, 64
 #: Bytes of an entry beside those of its two objects.
 ENTRY_BYTES = 70
 _LITTLE = sys.byteorder == "little"

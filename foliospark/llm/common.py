@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of rows that a Python worker is given at once.
-BATCH_BYTES = 4 << 20
+#: Bytes of rows that a Python worker is given at once, and rows that a Parquet reader decodes at once: texts may be long.
+BATCH_BYTES, READER_ROWS = 2 << 20, 256
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _LOCAL_DIRS: dict[str, str] = {}
@@ -114,12 +114,13 @@ def new_column(docs: DataFrame, name: str) -> str:
 def ship(spark: SparkSession) -> None:
     """Make this package importable on executors that do not have it installed.
 
-    Also bounds what goes to a Python worker at once, in bytes, as rows may be long:
-    unless the session has a bound of its own, it keeps this one.
+    Also bounds what is decoded, and what goes to a Python worker, at once, as rows may be
+    long: unless the session has bounds of its own, it keeps these.
     """
-    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if bound not in spark.conf.getAll:
-        spark.conf.set(bound, BATCH_BYTES)
+    own = spark.conf.getAll
+    for bound, value in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)):
+        if bound not in own:
+            spark.conf.set(bound, value)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
