@@ -6,10 +6,10 @@ subspaces. A vector also visits every list whose border (the plane half-way betw
 centroids) is nearer than ``margin``. In a list asymmetric table look-ups give the
 distance to each coded member; a member is passed to the exact cosine only if that
 distance is no more than the radius plus the member's own coding error, which no true
-partner fails. Of two vectors within a radius r the borders between their lists are at
-most r from one to the other, so with a margin of r / 2 each pair would meet for certain;
-noise in many dimensions lies mostly along the border, and the default margin of some
-r / 3 finds nearly all (measured in the tests).
+partner fails. Of two vectors within a radius r the border between their lists is at most
+r / 2 from one of them; noise in many dimensions lies mostly along the border, so the
+default margin of some r / 3 finds nearly all pairs (recall is measured in the tests).
+Lists under a top centroid that is farther off than twice the margin are not looked at.
 
 Neighbouring lists make a unit of about ``block`` members, and a vector goes once to each
 unit that it belongs to or visits, not once to every list. Copies are one vector with a
