@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, pq_dedup, secret_scan, sharding, simhash, token_rollup, token_store, zip_warc
+from . import bpe, decontaminate, langid, lexical, packing, pq_dedup, secret_scan, sharding, simhash, token_rollup, token_store, variants, zip_warc
 from .common import materialize, new_path
 
 
@@ -104,6 +104,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens by best fit and swaps."""
+    return packing.pack_documents(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2, capacity=1024
+    )
+
+
+def op12_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item by the threshold algorithm."""
+    return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, of which some are misspelled by rule, led to their frequent forms."""
+    words = variants.word_counts(_table(spark, sf_dir, "documents"), least_length=6, least_count=5, misspell_every=199)
+    return variants.group_variants(words, factor=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_sharding": op2_sharding,
@@ -115,8 +133,61 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pq_dedup": op8_pq_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op11_swap_packing": op11_swap_packing,
+    "op12_threshold_search": op12_threshold_search,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-#: SQL has no CRC-32, XXH64, tokenizers or archives: these operators are tested against
+#: SQL has no XXH64, tokenizers or archives: the other operators are tested against
 #: brute force, exact round trips and held-out accuracy in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op12_threshold_search": r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+size AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL),
+corpus AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM size),
+weight AS (SELECT term, floor(1000 * ln((2 * max(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, corpus GROUP BY term),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN size USING (doc_id), corpus
+  GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(range(4), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS tab
+  FROM range(16) AS halves(b)),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{6,}')) AS run FROM documents) GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(list_reduce(
+    list_transform(string_split(regexp_replace(hex(encode(concat(doc_id, ':', run))), '(.)(.)', '\2\1', 'g'), ''), lambda x: strpos('0123456789ABCDEF', x) - 1),
+    lambda h, half: xor(h >> 4, tab[1 + (xor(h, half) & 15)]), 4294967295), 4294967295) AS h FROM runs, crc),
+counted AS (
+  SELECT CASE WHEN h % 199 = 0 THEN concat(substring(run, 1, h % length(run)), substring(run, h % length(run) + 2)) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1),
+words AS (SELECT word, n FROM counted WHERE n >= 5 AND length(word) >= 6),
+cut AS (SELECT word, n, i, concat(substring(word, 1, i - 1), substring(word, i + 1)) AS key FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.key = b.key AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.key = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.key = b.word),
+best AS (SELECT word, n, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word, n),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+led AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL SELECT l.word, f.form FROM led l JOIN formed f ON f.word = l.at WHERE f.form IS NOT NULL),
+root AS (SELECT l.word, l.at AS root FROM led l JOIN formed f ON f.word = l.at WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN root USING (word)
+""",
+}
