@@ -1,106 +1,25 @@
 """BM25 over chunks for many queries at once.
 
 Statistics (documents, lengths, document frequencies) are those of the whole corpus;
-filters act after scoring and before the cut. One pass over the words gives frequencies,
-number and lengths of chunks, another counts the queries' terms in each chunk; the scan
-is not repeated for each query.
+filters act after scoring and before the cut. Texts are read once, into stored segments of
+postings with block maxima (:mod:`.postings`); all else reads these.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..model import CANDIDATE_DEPTH
-from .sizes import is_small, spread
+from . import postings
+from .store import dropped, stored
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
 
-
-def tokens(chunks: DataFrame) -> DataFrame:
-    """``chunk_id, corpus_pos, book_title, chapter, tokens, dl``; a null text has no tokens."""
-    return chunks.select(
-        "chunk_id", "corpus_pos", "book_title", "chapter",
-        F.coalesce(X.whitespace_tokens("text"), F.array().cast("array<string>")).alias("tokens"),
-    ).withColumn("dl", F.size("tokens"))
-
-
-def _counted(tokenised: DataFrame) -> DataFrame:
-    """``term, df, n``: chunks that hold each term; the null term's are all chunks, its ``n`` their length."""
-    one = lambda term, n: F.struct(term.alias("term"), n.cast("long").alias("n"))
-    words = F.transform(F.array_distinct("tokens"), lambda w: one(w, F.lit(0)))
-    rows = F.concat(F.array(one(F.lit(None).cast("string"), F.col("dl"))), words)
-    return tokenised.select(F.explode(rows).alias("w")).groupBy("w.term").agg(F.count("*").alias("df"), F.sum("w.n").alias("n"))
-
-
-def _stats(counted: DataFrame) -> DataFrame:
-    return counted.where("term is null").select(F.col("df").alias("n_docs"), (F.col("n") / F.col("df")).alias("avgdl"))
-
-
-def _idf(counted: DataFrame) -> DataFrame:
-    raw = counted.where("term is not null").crossJoin(F.broadcast(_stats(counted).select("n_docs"))).select(  # one row
-        "term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")
-    )
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select(  # one row
-        "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")
-    )
-
-
-def idf(tokenised: DataFrame) -> DataFrame:
-    """``term, df, idf``: negative values become a quarter of the mean over the vocabulary."""
-    return _idf(_counted(tokenised))
-
-
-def scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, chunk_id, corpus_pos, book_title, chapter, score`` of chunks with a query term.
-
-    ``queries`` has ``query_id, question``; a word that a query repeats counts as often.
-    """
-    t = tokens(spread(chunks.select("chunk_id", "corpus_pos", "book_title", "chapter", "text")))
-    asked = queries.select("query_id", F.explode(X.whitespace_tokens("question")).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    # what is joined to the queries' terms has no more rows than they: one check is enough
-    small = F.broadcast if is_small(asked) else lambda df: df
-    # the queries' terms are known before postings are counted, so only theirs are shuffled
-    tf = (
-        t.select("chunk_id", "corpus_pos", "book_title", "chapter", "dl", F.explode("tokens").alias("term"))
-        .join(small(asked.select("term").distinct()), "term", "left_semi")
-        .groupBy("chunk_id", "corpus_pos", "book_title", "chapter", "dl", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    counted = _counted(t)
-    weights = small(asked.join(_idf(counted), "term"))
-    stats = F.broadcast(_stats(counted))  # one row
-    part = (
-        F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1)
-        / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    )
-    return (
-        tf.join(weights, "term")
-        .crossJoin(stats)
-        .groupBy("query_id", "chunk_id", "corpus_pos", "book_title", "chapter")
-        .agg(F.sum(part).alias("score"))
-    )
-
-
-def _pools(chunks: DataFrame, depth: int) -> DataFrame:
-    """The first ``2 * depth`` chunks by position under each filter that a query can have."""
-    base = chunks.select("chunk_id", "corpus_pos", "book_title", "chapter")
-    out = None
-    for keys in ([], ["book_title"], ["chapter"], ["book_title", "chapter"]):
-        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("corpus_pos", "chunk_id")
-        if keys:
-            first = base.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2 * depth).drop("n")
-        else:
-            first = base.orderBy("corpus_pos", "chunk_id").limit(2 * depth)
-        first = first.select(
-            "chunk_id", "corpus_pos", "book_title", "chapter",
-            (F.col("book_title") if "book_title" in keys else F.lit(None).cast("string")).alias("f_book"),
-            (F.col("chapter") if "chapter" in keys else F.lit(None).cast("string")).alias("f_chapter"),
-        )
-        out = first if out is None else out.unionByName(first)
+def idf(chunks: DataFrame) -> DataFrame:
+    """``term, df, idf`` of the chunks' vocabulary, stored: negative values become a quarter of the mean over it."""
+    index = postings.index_chunks(chunks)
+    out = stored(postings.weighted(postings.frequencies(index), postings.totals(index).first()["n_docs"]), "idf")
+    dropped(index)
     return out
 
 
@@ -118,41 +37,14 @@ def passes(book: str = "book_title", chapter: str = "chapter") -> F.Column:
 
 
 def top_k(chunks: DataFrame, queries: DataFrame, *, depth: int = CANDIDATE_DEPTH, drop_zero: bool = False, digits: int = 6) -> DataFrame:
-    """``query_id, chunk_id, rank0, score``: the best chunks of each query.
+    """``query_id, chunk_id, rank0, score``: the best chunks of each query; see :func:`postings.top_k`.
 
-    Ordered by score rounded to ``digits``, then corpus position. Queries that fewer than
-    ``depth`` chunks match are filled with the first chunks of score zero, unless
-    ``drop_zero``; queries without a chunk that passes their filters give no rows.
+    Queries that fewer than ``depth`` chunks match are filled with the first chunks of
+    score zero, unless ``drop_zero``; queries without a chunk that passes their filters
+    give no rows. The index lasts for the call; a library keeps its own.
     """
     q = with_filters(queries).select("query_id", "question", "book_filter", "chapter_filter")
-    small = F.broadcast if is_small(q) else lambda df: df
-    filters = small(q.drop("question"))
-    matched = (
-        scores(chunks, q).join(filters, "query_id").where(passes())
-        .select("query_id", "chunk_id", "corpus_pos", F.round("score", digits).alias("score"))
-    )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_pos", "chunk_id")
-    top = matched.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= depth).drop("rank")
-    if not drop_zero:
-        zero = F.lit(0.0).alias("score")
-        # words below zero stand in over half of all chunks, so a query that has one matches
-        # about as many chunks as it is compared with here; elsewhere no query is
-        low = matched.where("score < 0").select("query_id").distinct()
-        unmatched = (
-            chunks.select("chunk_id", "corpus_pos", "book_title", "chapter").join(small(low.join(filters, "query_id")), passes())
-            .join(matched.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-            .select("query_id", "chunk_id", "corpus_pos", zero)
-        )
-        unmatched = unmatched.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= depth).drop("rank")
-        # of 2 * depth chunks at least depth are unmatched where fewer than depth matched
-        pools = _pools(chunks, depth).select("chunk_id", "corpus_pos", "f_book", "f_chapter")
-        full = top.groupBy("query_id").count().where(F.col("count") >= depth).select("query_id")
-        fill = (
-            pools.join(filters, pools["f_book"].eqNullSafe(filters["book_filter"]) & pools["f_chapter"].eqNullSafe(filters["chapter_filter"]))
-            .select("query_id", "chunk_id", "corpus_pos", zero)
-            .join(full.unionByName(low), "query_id", "left_anti")
-            .join(top.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-        )
-        top = top.unionByName(fill).unionByName(unmatched)
-    ranked = top.withColumn("rank0", F.row_number().over(best) - 1).where(F.col("rank0") < depth)
-    return ranked.select("query_id", "chunk_id", "rank0", "score")
+    index = postings.index_chunks(chunks)
+    out = postings.top_k(index, q, depth=depth, drop_zero=drop_zero, digits=digits)
+    dropped(index)
+    return out

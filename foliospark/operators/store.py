@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
 _NO_BOOK = "none"
+#: A row of a version's list: a file of a book with what it holds. One row more, without a file, has the columns of all.
+MANIFEST = "book_key string, written string, file string, n_rows long, first_page long, last_page long, chapters array<string>, schema string"
 
 
 def book_key(title: Column | str) -> Column:
@@ -22,12 +26,20 @@ class Library:
     """A table of chunks under a path whose versions are committed whole.
 
     Every change writes the books concerned into a folder of its own, by book, and then a
-    new list of which folder holds which book. The list becomes the newest version by one
-    rename, so a run that breaks off leaves the version before, and other books' files are
-    not touched. One writer at a time may commit; readers keep the version they began
-    with until :meth:`vacuum`. Titles are a column, folders are named by their hash.
+    new list of the files that hold the books, with their counts, pages and chapters. The
+    list becomes the newest version by one rename, so a run that breaks off leaves the
+    version before, and other books' files are not touched. A read opens the files that its
+    version lists, however many versions there were. Titles are a column, folders are named
+    by their hash. Readers keep the version they began with until :meth:`vacuum`.
+
+    One writer at a time may commit. A second one is refused where a rename to a taken name
+    fails in one step (HDFS); object stores and local files only check before they move, so
+    there writers must take turns by other means.
     """
 
+    #: Folders that hold what is written with the chunks, by ``written`` and ``book_key``.
+    PARTS = ("data",)
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
@@ -36,39 +48,90 @@ class Library:
         names = [f.getPath().getName() for f in _list(self.spark, f"{self.path}/versions")]
         return max((int(n[1:]) for n in names if n.startswith("v")), default=0)
 
-    def _listed(self, version: int | None = None) -> DataFrame:
-        """``book_key, written``: a row per book."""
+    def manifest(self, version: int | None = None) -> DataFrame:
+        """``MANIFEST`` of a version or the newest: a row per file, and one of the columns."""
         version = self.version() if version is None else version
-        schema = "book_key string, written string"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/versions/v{version}") if version else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/versions/v{version}") if version else self.spark.createDataFrame([], MANIFEST)
+
+    def _listed(self, version: int | None = None) -> DataFrame:
+        return self.manifest(version).where("file is not null")
 
-    def _stored(self) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.path}/data").parquet(f"{self.path}/data")
+    def _columns(self, version: int | None = None) -> T.StructType | None:
+        row = self.manifest(version).where("file is null").first()
+        return T.StructType.fromJson(json.loads(row["schema"])) if row else None
 
-    def read(self, book: str | None = None, *, version: int | None = None) -> DataFrame:
-        """All chunks, or one book's (its files alone are read), of a version or the newest.
+    def _open(self, files: DataFrame, columns: T.StructType) -> DataFrame:
+        paths = [f"{self.path}/data/written={r['written']}/book_key={r['book_key']}/{r['file']}" for r in files.select("book_key", "written", "file").collect()]  # a row per file
+        return self.spark.read.schema(columns).parquet(*paths) if paths else self.spark.createDataFrame([], columns)
 
-        A library that was never written to is an error, as its columns are not known.
+    def read(self, book: str | None = None, *, version: int | None = None, pages: tuple[int, int] | None = None, chapter: str | None = None) -> DataFrame:
+        """All chunks, or those of a book, a range of pages (both ends included) or a chapter, of a version or the newest.
+
+        Only files are opened that may hold such chunks by their statistics. A library that
+        was never written to is an error, as its columns are not known.
         """
-        listed = self._listed(version)
-        rows = self._stored()
+        version = self.version() if version is None else version
+        columns = self._columns(version)
+        if columns is None:
+            raise ValueError(f"there is no library at {self.path}")
+        files = self._listed(version)
         if book:
-            key = self.spark.range(1).select(book_key(F.lit(book)).alias("book_key")).first()[0]
-            listed, rows = listed.where(F.col("book_key") == key), rows.where(F.col("book_key") == key)
-        kept = rows.join(listed, ["book_key", "written"], "left_semi")
-        return kept.drop("book_key", "written")
+            files = files.where(F.col("book_key") == book_key(F.lit(book)))
+        if pages:
+            files = files.where((F.col("first_page") <= pages[1]) & (F.col("last_page") >= pages[0]))
+        if chapter:
+            files = files.where(F.array_contains("chapters", chapter))
+        rows = self._open(files, columns)
+        if pages:
+            rows = rows.where(F.col("page_number").between(*pages))
+        return rows.where(F.col("chapter") == chapter) if chapter else rows
+
+    def changes(self, old: int, new: int | None = None) -> DataFrame:
+        """The rows between two versions: their columns and ``change``, ``insert`` or ``delete``.
+
+        Books whose files are the same in both are not opened. Rows that a rewritten book
+        has kept are in neither; a row that changed is deleted and inserted.
+        """
+        new = self.version() if new is None else new
+        columns = self._columns(max(old, new))
+        if columns is None:
+            raise ValueError(f"there is no library at {self.path}")
+        gone, come = self.changed(old, new)
+        before, after = (self._open(f, columns) for f in (gone, come))
+        return before.exceptAll(after).withColumn("change", F.lit("delete")).unionByName(after.exceptAll(before).withColumn("change", F.lit("insert")))
+
+    def changed(self, old: int, new: int) -> tuple[DataFrame, DataFrame]:
+        """The manifest's files that only the old version has, and those that only the new one has."""
+        a, b = self._listed(old), self._listed(new)
+        own = ["book_key", "written"]
+        return a.join(b.select(*own).distinct(), own, "left_anti").select(*a.columns), b.join(a.select(*own).distinct(), own, "left_anti").select(*b.columns)
 
     def _write(self, chunks: DataFrame) -> DataFrame:
-        """Write chunks by book; returns their rows of a list."""
+        """Write chunks by book; returns their rows of a manifest."""
         written = f"w{uuid.uuid4().hex}"
         keyed = chunks.withColumn("book_key", book_key("book_title"))
         keyed.write.partitionBy("book_key").parquet(f"{self.path}/data/written={written}")
-        return self._stored().where(F.col("written") == written).select("book_key", "written").distinct()
-
-    def _commit(self, listed: DataFrame) -> None:
-        version = self.version() + 1
+        # as rows are partitioned the key is no column of the files, and nothing is read where no row was written
+        rows = self.spark.read.schema(keyed.schema).parquet(f"{self.path}/data/written={written}")
+        page = F.col("page_number").cast("long") if "page_number" in chunks.columns else F.lit(None).cast("long")
+        chapter = F.col("chapter") if "chapter" in chunks.columns else F.lit(None).cast("string")
+        return rows.select("book_key", F.col("_metadata.file_name").alias("file"), page.alias("page"), chapter.alias("chapter")).groupBy("book_key", "file").agg(
+            F.lit(written).alias("written"), F.count("*").alias("n_rows"), F.min("page").alias("first_page"), F.max("page").alias("last_page"),
+            F.array_sort(F.collect_set("chapter")).alias("chapters"), F.lit(None).cast("string").alias("schema"),
+        ).select(*self._names())
+
+    @staticmethod
+    def _names() -> list[str]:
+        return ["book_key", "written", "file", "n_rows", "first_page", "last_page", "chapters", "schema"]
+
+    def _commit(self, listed: DataFrame, columns: T.StructType | None = None) -> None:
+        before = self.version()
+        version = before + 1
+        columns = columns or self._columns(before)
         aside = f"{self.path}/pending-{uuid.uuid4().hex}"
-        listed.coalesce(1).write.parquet(aside)  # a row per book
+        head = self.spark.createDataFrame([(None, None, None, 0, None, None, None, columns.json())] if columns else [], MANIFEST)
+        listed.select(*self._names()).unionByName(head).coalesce(1).write.parquet(aside)  # a row per file
+        self._before_commit(before, self.spark.read.schema(MANIFEST).parquet(aside).where("file is not null"))
         to = f"{self.path}/versions/v{version}"
         source, system = _path(self.spark, aside)
         target, _ = _path(self.spark, to)
@@ -77,29 +140,41 @@ class Library:
             _remove(self.spark, aside)
             raise RuntimeError(f"another writer has committed version {version}")
 
+    def _before_commit(self, before: int, listed: DataFrame) -> None:
+        """What a library with indexes stores for the version after ``before``, whose files ``listed`` has."""
+
     def upsert(self, chunks: DataFrame) -> None:
         """Replace the books that ``chunks`` holds; no chunks change nothing."""
         new = self._write(chunks)
-        self._commit(self._listed().join(new, "book_key", "left_anti").unionByName(new))
+        self._commit(self._listed().join(new.select("book_key").distinct(), "book_key", "left_anti").select(*self._names()).unionByName(new), self._same(chunks))
+
+    def _same(self, chunks: DataFrame) -> T.StructType:
+        """The columns of all chunks: files of a library are read as one table."""
+        old, new = self._columns(), chunks.schema
+        if old is not None and self._listed().limit(1).count() and [(f.name, f.dataType) for f in old] != [(f.name, f.dataType) for f in new]:
+            raise ValueError(f"the library's columns are {old.simpleString()}, not {new.simpleString()}")
+        return new
 
     def replace(self, books: DataFrame, chunks: DataFrame) -> None:
         """Replace the books of ``book_title`` by ``chunks``, which may be read from this library; books without any go."""
         new = self._write(chunks)
-        gone = books.select(book_key("book_title").alias("book_key")).unionByName(new.select("book_key"))
-        self._commit(self._listed().join(gone, "book_key", "left_anti").unionByName(new))
+        gone = books.select(book_key("book_title").alias("book_key")).unionByName(new.select("book_key")).distinct()
+        self._commit(self._listed().join(gone, "book_key", "left_anti").select(*self._names()).unionByName(new), self._same(chunks))
 
     def rebuild(self, chunks: DataFrame) -> None:
         """Replace everything; ``chunks`` may be read from this library."""
-        self._commit(self._write(chunks))
+        self._commit(self._write(chunks), chunks.schema)
 
     def delete_ids(self, ids: DataFrame) -> None:
         """Delete chunks by ``chunk_id``; only books that lose chunks are rewritten."""
         version = self.version()
-        rows = self.read(version=version).withColumn("book_key", book_key("book_title"))
-        hit = rows.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi").select("book_key").distinct()
-        kept = rows.join(hit, "book_key", "left_semi").join(ids.select("chunk_id"), "chunk_id", "left_anti")
-        new = self._write(kept.drop("book_key"))
-        self._commit(self._listed(version).join(hit, "book_key", "left_anti").unionByName(new))
+        columns, files = self._columns(version), self._listed(version)
+        rows = self._open(files, columns)
+        hit = rows.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi").select(book_key("book_title").alias("book_key")).distinct()
+        hit = self.spark.createDataFrame(hit.collect(), "book_key string")  # a row per book that loses chunks
+        kept = self._open(files.join(hit, "book_key", "left_semi"), columns).join(ids.select("chunk_id"), "chunk_id", "left_anti").select(*columns.names)
+        new = self._write(kept)
+        self._commit(files.join(hit, "book_key", "left_anti").select(*self._names()).unionByName(new), columns)
 
     def delete_book(self, book: str) -> None:
         """Drop a book."""
@@ -108,14 +183,17 @@ class Library:
     def vacuum(self) -> None:
         """Delete files and lists that the newest version does not need; older versions cannot be read any more."""
         version = self.version()
-        needed = {(f"written={r['written']}", f"book_key={r['book_key']}") for r in self._listed(version).collect()}  # a row per book
+        needed = {(f"written={r['written']}", f"book_key={r['book_key']}") for r in self._listed(version).select("written", "book_key").distinct().collect()}  # a row per book
         name = lambda f: f.getPath().getName()
-        for write in _list(self.spark, f"{self.path}/data"):
-            for book in _list(self.spark, write.getPath().toString()):
-                if name(book).startswith("book_key=") and (name(write), name(book)) not in needed:
-                    _remove(self.spark, book.getPath().toString())
-            if name(write) not in {w for w, _ in needed}:
-                _remove(self.spark, write.getPath().toString())
+        for part in self.PARTS:
+            for write in _list(self.spark, f"{self.path}/{part}"):
+                if not name(write).startswith("written="):
+                    continue
+                for book in _list(self.spark, write.getPath().toString()):
+                    if name(book).startswith("book_key=") and (name(write), name(book)) not in needed:
+                        _remove(self.spark, book.getPath().toString())
+                if name(write) not in {w for w, _ in needed}:
+                    _remove(self.spark, write.getPath().toString())
         for f in _list(self.spark, f"{self.path}/versions"):
             if name(f) != f"v{version}":
                 _remove(self.spark, f.getPath().toString())
@@ -140,6 +218,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/foliospark/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a scratch folder and read back, so that jobs that read it do not compute it again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._stored_at)
+
+
 def _list(spark: SparkSession, path: str) -> list:
     p, system = _path(spark, path)
     return list(system.listStatus(p)) if system.exists(p) else []

@@ -23,9 +23,10 @@ BM25_STATS = r"""
 w AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '\S+')) AS term FROM chunks),
 dl AS (SELECT c.chunk_id, count(w.term) AS dl FROM chunks c LEFT JOIN w USING (chunk_id) GROUP BY 1),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-df AS (SELECT term, count(DISTINCT chunk_id) AS df FROM w GROUP BY 1),
-rawidf AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS v FROM df, st),
-idf AS (SELECT term, df, CASE WHEN v < 0 THEN 0.25 * (SELECT avg(v) FROM rawidf) ELSE v END AS idf FROM rawidf)"""
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT chunk_id, term FROM w) GROUP BY 1),
+rawidf AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS v FROM df, st),
+meanidf AS MATERIALIZED (SELECT avg(v) AS mean FROM rawidf),
+idf AS (SELECT term, df, CASE WHEN v < 0 THEN 0.25 * mean ELSE v END AS idf FROM rawidf, meanidf)"""
 
 BM25 = BM25_STATS + r""",
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), '\S+')) AS term FROM q) GROUP BY ALL),

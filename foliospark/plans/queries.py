@@ -195,7 +195,7 @@ def bm25_filtered(t: Tables) -> DataFrame:
 
 @registered
 def bm25_idf(t: Tables) -> DataFrame:
-    return bm25.idf(bm25.tokens(t.chunks())).withColumn("idf", F.round("idf", 6))
+    return bm25.idf(t.chunks()).withColumn("idf", F.round("idf", 6))
 
 
 @registered
