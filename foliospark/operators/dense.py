@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import CANDIDATE_DEPTH
+from ..shipping import ship
 from .bm25 import passes, with_filters
 
 #: Numbers that a block of query vectors holds at most: what is broadcast at once (16 MB).
@@ -19,6 +20,10 @@ BLOCK_NUMBERS = 2_000_000
 ROWS = 4096
 
 
+#: Place of a chunk without a position: before all others.
+_NOWHERE = -(1 << 63)
+
+
 def query_blocks(queries: DataFrame, block_numbers: int = BLOCK_NUMBERS) -> Iterator[list]:
     """The queries' ids, vectors and filters, streamed to the driver in bounded blocks."""
     block, n = [], 0
@@ -33,7 +38,8 @@ def query_blocks(queries: DataFrame, block_numbers: int = BLOCK_NUMBERS) -> Iter
 
 
 def top_k(
-    chunks: DataFrame, queries: DataFrame, *, depth: int = CANDIDATE_DEPTH, digits: int = 6, block_numbers: int = BLOCK_NUMBERS
+    chunks: DataFrame, queries: DataFrame, *, depth: int = CANDIDATE_DEPTH, digits: int = 6, block_numbers: int = BLOCK_NUMBERS,
+    probes: Callable[[list], list[np.ndarray]] | None = None,
 ) -> DataFrame:
     """``query_id, chunk_id, rank0, score``: the chunks nearest by dot product.
 
@@ -42,37 +48,33 @@ def top_k(
     taken as they come (normalise them for cosine); null vectors and vectors of another
     length than a query's are not compared with it. Every task keeps the best ``depth`` of
     its rows for each query, so the shuffle holds tasks * queries * depth rows, however
-    many chunks there are. Ordered by score rounded to ``digits``, then corpus position.
+    many chunks there are. Ordered by score rounded to ``digits``, then corpus position
+    (none comes first), then chunk id. Ids of queries may be of any type.
     Queries beyond ``block_numbers`` are searched block by block, each block's result being
     checkpointed (in ``spark.checkpoint.dir``) before the next is sent out.
+
+    With ``probes``, ``chunks`` has a column ``list`` and a query is compared with the rows
+    of its lists alone, which the function gives for a block's vectors; other lists are
+    filtered out, so they are not read where they are partitions of a stored table.
     """
     spark = chunks.sparkSession
+    ship(spark)
     q = with_filters(queries).where("embedding is not null").select("query_id", "embedding", "book_filter", "chapter_filter")
     kind = q.schema["query_id"].dataType.simpleString()
-    rows = chunks.where("embedding is not null").select("chunk_id", "corpus_pos", "book_title", "chapter", "embedding")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_pos", "chunk_id")
+    place = F.coalesce(F.col("corpus_pos").cast("long"), F.lit(_NOWHERE)).alias("corpus_pos")
+    rows = chunks.where("embedding is not null").select("chunk_id", place, "book_title", "chapter", "embedding", *["list"] * (probes is not None))
+    w = Window.partitionBy("number").orderBy(F.desc("score"), "corpus_pos", "chunk_id")
     blocks, out = query_blocks(q, block_numbers), None
     block, following = next(blocks, None), next(blocks, None)
     several = following is not None
     while block is not None:
-        shared = spark.sparkContext.broadcast(block)
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            asked = _by_length(shared.value)
-            kept: dict[int, list] = {}
-            for b in batches:
-                for i in range(0, b.num_rows, ROWS):
-                    _keep_best(kept, asked, b.slice(i, ROWS), depth, digits)
-            flat = [(shared.value[i][0], *row) for i, own in kept.items() for row in own]
-            columns = list(zip(*flat)) or [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0]) if flat else pa.array([], pa.int64()), pa.array([-s for s in columns[1]], pa.float64()),
-                 pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string())],
-                names=["query_id", "score", "corpus_pos", "chunk_id"],
-            )
-
-        part = rows.mapInArrow(best, f"query_id {kind}, score double, corpus_pos long, chunk_id string")
-        part = part.withColumn("rank0", F.row_number().over(w) - 1).where(F.col("rank0") < depth).select("query_id", "chunk_id", "rank0", "score")
+        lists = probes([r[1] for r in block]) if probes else None
+        shared = spark.sparkContext.broadcast((block, lists))
+        near = rows.where(F.col("list").isin(sorted({int(i) for own in lists for i in own}))) if probes else rows
+        part = near.mapInArrow(_best(shared, depth, digits), "number long, score double, corpus_pos long, chunk_id string")
+        part = part.withColumn("rank0", F.row_number().over(w) - 1).where(F.col("rank0") < depth)
+        ids = F.broadcast(spark.createDataFrame([(i, r[0]) for i, r in enumerate(block)], f"number long, query_id {kind}"))  # of one block
+        part = part.join(ids, "number").select("query_id", "chunk_id", "rank0", "score")
         if several:
             part = part.checkpoint()
             shared.unpersist()
@@ -83,10 +85,38 @@ def top_k(
     return out
 
 
-def _by_length(block: list) -> dict[int, tuple[list[int], np.ndarray]]:
+def _best(shared, depth: int, digits: int):
+    names = ["number", "score", "corpus_pos", "chunk_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, lists = shared.value
+        everyone, by_list = _by_length(block, range(len(block))), {}
+        if lists is not None:
+            for i, own in enumerate(lists):
+                for n in own:
+                    by_list.setdefault(int(n), []).append(i)
+            by_list = {n: _by_length(block, own) for n, own in by_list.items()}
+        kept: dict[int, list] = {}
+        for b in batches:
+            parts = [(everyone, b)]
+            if lists is not None:
+                number = b.column("list").to_numpy(zero_copy_only=False)
+                parts = [(by_list[n], b.take(pa.array(np.flatnonzero(number == n)))) for n in np.unique(number).tolist() if n in by_list]
+            for asked, some in parts:
+                for i in range(0, some.num_rows, ROWS):
+                    _keep_best(kept, asked, some.slice(i, ROWS), depth, digits)
+        rows = [(i, -s, p, c) for i, own in kept.items() for s, p, c in own]
+        columns = zip(*rows) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.float64(), pa.int64(), pa.string()))], names=names)
+
+    return run
+
+
+def _by_length(block: list, own: Iterable[int]) -> dict[int, tuple[list[int], np.ndarray]]:
+    """Some of a block's queries by the length of their vectors; the block itself under -1."""
     by: dict[int, list[int]] = {}
-    for i, row in enumerate(block):
-        by.setdefault(len(row[1]), []).append(i)
+    for i in own:
+        by.setdefault(len(block[i][1]), []).append(i)
     return {n: (ids, np.array([block[i][1] for i in ids], np.float64)) for n, ids in by.items()} | {-1: (block, None)}
 
 

@@ -35,7 +35,7 @@ SEGMENT_WORDS, RANGE = 1_000_000, 64
 BLOCK_BYTES = 4 << 20
 
 SEGMENTS = (
-    "chunk_id array<string>, corpus_pos array<long>, book_title array<string>, chapter array<string>, lengths binary, "
+    "n_chunks long, n_words long, chunk_id array<string>, corpus_pos array<long>, book_title array<string>, chapter array<string>, lengths binary, "
     "terms array<string>, dfs array<long>, block_starts binary, block_range binary, block_first binary, "
     "block_tf binary, block_length binary, docs binary, tfs binary"
 )
@@ -99,7 +99,7 @@ def _segment(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     listed = lambda c: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), t.column(c).combine_chunks())
     return pa.RecordBatch.from_arrays(
         [
-            *(listed(c) for c in ("chunk_id", "corpus_pos", "book_title", "chapter")), one(lengths),
+            pa.array([n], pa.int64()), pa.array([len(code)], pa.int64()), *(listed(c) for c in ("chunk_id", "corpus_pos", "book_title", "chapter")), one(lengths),
             pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms), pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), pa.array(df)),
             *map(one, raw), one(doc), one(tf),
         ],
@@ -115,18 +115,8 @@ def frequencies(index: DataFrame) -> DataFrame:
 
 def totals(index: DataFrame) -> DataFrame:
     """One row: ``n_docs, n_words`` of all chunks."""
-    ship(index.sparkSession)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs = words = 0
-        for b in batches:
-            for raw in b.column(0):
-                lengths = np.frombuffer(raw.as_py(), "<i4")
-                docs, words = docs + len(lengths), words + int(lengths.sum(dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([docs]), pa.array([words])], names=["n_docs", "n_words"])
-
-    counted = index.select("lengths").mapInArrow(count, "n_docs long, n_words long")
-    return counted.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("n_words"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return index.agg(total("n_chunks").alias("n_docs"), total("n_words").alias("n_words"))
 
 
 def weighted(df: DataFrame, n_docs: int) -> DataFrame:

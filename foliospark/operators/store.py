@@ -113,6 +113,7 @@ class Library:
         keyed.write.partitionBy("book_key").parquet(f"{self.path}/data/written={written}")
         # as rows are partitioned the key is no column of the files, and nothing is read where no row was written
         rows = self.spark.read.schema(keyed.schema).parquet(f"{self.path}/data/written={written}")
+        self._index(written, rows)
         page = F.col("page_number").cast("long") if "page_number" in chunks.columns else F.lit(None).cast("long")
         chapter = F.col("chapter") if "chapter" in chunks.columns else F.lit(None).cast("string")
         return rows.select("book_key", F.col("_metadata.file_name").alias("file"), page.alias("page"), chapter.alias("chapter")).groupBy("book_key", "file").agg(
@@ -120,6 +121,9 @@ class Library:
             F.array_sort(F.collect_set("chapter")).alias("chapters"), F.lit(None).cast("string").alias("schema"),
         ).select(*self._names())
 
+    def _index(self, written: str, rows: DataFrame) -> None:
+        """What a library with indexes stores with the chunks of a write, which ``rows`` reads with their ``book_key``."""
+
     @staticmethod
     def _names() -> list[str]:
         return ["book_key", "written", "file", "n_rows", "first_page", "last_page", "chapters", "schema"]

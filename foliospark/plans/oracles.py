@@ -39,6 +39,17 @@ lexall AS (SELECT q.query_id, c.chunk_id, round(coalesce(score, 0), 6) AS score,
   WHERE (book_filter IS NULL OR book_filter = book_title) AND (chapter_filter IS NULL OR chapter_filter = chapter)),
 lex AS (SELECT * FROM lexall WHERE rank0 < 20)"""
 
+#: The chunks of a changed library's versions 1 to 5, under the names of the queries that follow.
+CHANGED = """first AS (SELECT chunk_id, text, book_title, chapter, section, page_number, corpus_pos FROM base),
+again AS (SELECT * REPLACE (coalesce(text, '') || ' Revised TOKEN words revised' AS text) FROM first WHERE book_title = 'src1' AND corpus_pos % 3 > 0),
+second AS (SELECT * FROM first WHERE book_title <> 'src1' OR book_title IS NULL UNION ALL SELECT * FROM again
+  UNION ALL SELECT * REPLACE ('new — book' AS book_title) FROM first WHERE book_title = 'src3' AND corpus_pos % 4 = 3),
+gone AS (SELECT chunk_id FROM first WHERE corpus_pos % 11 = 0 AND book_title NOT IN ('src1', 'src3')),
+third AS (SELECT * FROM second WHERE chunk_id NOT IN (SELECT chunk_id FROM gone)),
+fourth AS (SELECT * FROM third WHERE book_title <> 'src2' OR book_title IS NULL),
+chunks AS (SELECT * FROM fourth WHERE book_title <> 'src1' OR book_title IS NULL UNION ALL SELECT * FROM again WHERE corpus_pos % 7 > 1)"""
+BASE = CHUNKS.replace("chunks AS", "base AS", 1)
+
 DENSE_DOCS = """
 vec AS (SELECT c.*, embedding FROM chunks c JOIN embeddings ON vec_id = corpus_pos),
 denall AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(qv::DOUBLE[], embedding::DOUBLE[]), 6) DESC, corpus_pos) - 1 AS rank0
@@ -46,6 +57,11 @@ denall AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id O
 den AS (SELECT * FROM denall WHERE rank0 < 20)"""
 
 
+#: In a changed library two books may have chunks of one id: they are told apart by their book.
+LIBRARY_BM25 = (BM25.replace("chunk_id, unnest", "chunk_id || coalesce(book_title, '') AS chunk_id, unnest").replace("SELECT c.chunk_id, count(w.term)", "SELECT c.chunk_id || coalesce(book_title, '') AS chunk_id, count(w.term)")
+    .replace("FROM chunks c LEFT JOIN w USING (chunk_id)", "FROM chunks c LEFT JOIN w ON w.chunk_id = c.chunk_id || coalesce(book_title, '')").replace("sc.chunk_id = c.chunk_id", "sc.chunk_id = c.chunk_id || coalesce(book_title, '')"))
+
+
 def fused(dense: str, lexical: str, k: int) -> str:
     return f"""
 both_lists AS (SELECT query_id, chunk_id, rank0, 0 AS src FROM {dense} UNION ALL SELECT query_id, chunk_id, rank0, 1 FROM {lexical}),
@@ -207,6 +223,21 @@ ORACLES: dict[str, str] = {
         "q AS (SELECT q0.*, book_filter, NULL AS chapter_filter FROM q0 JOIN routes USING (query_id))",
         BM25, DENSE_DOCS, fused("den", "lex", 10),
     ) + f"SELECT query_id, pos, chunk_id, rrf_score, {_POLLUTED.format(*['chapter'] * len(POLLUTION_KEYWORDS))} AS polluted FROM fused JOIN chunks USING (chunk_id)",
+    "library_changes": _with(BASE, CHANGED)
+    + """SELECT 'delete' AS change, chunk_id, book_title, md5(text) AS text_md5 FROM (SELECT chunk_id, book_title, text FROM first EXCEPT ALL SELECT chunk_id, book_title, text FROM chunks)
+      UNION ALL SELECT 'insert', chunk_id, book_title, md5(text) FROM (SELECT chunk_id, book_title, text FROM chunks EXCEPT ALL SELECT chunk_id, book_title, text FROM first)""",
+    "library_changes_step": _with(BASE, CHANGED) + "SELECT 'delete' AS change, chunk_id, book_title FROM second WHERE chunk_id IN (SELECT chunk_id FROM gone)",
+    "library_search": _with(BASE, CHANGED, QUESTIONS, LIBRARY_BM25) + "SELECT query_id, chunk_id, rank0, score FROM lex",
+    "library_vocabulary": _with(BASE, CHANGED) + r"SELECT term, count(*) AS df FROM (SELECT DISTINCT book_title, chunk_id, unnest(regexp_extract_all(lower(text), '\S+')) AS term FROM chunks) GROUP BY 1",
+    "library_sizes": _with(BASE, CHANGED)
+    + "".join(
+        f"{' UNION ALL ' * (i > 1)}SELECT {i}::BIGINT AS version, 'n_chunks' AS name, count(*) AS value FROM {t} UNION ALL "
+        rf"SELECT {i}, 'n_words', sum(len(regexp_extract_all(coalesce(text, ''), '\S+')))::BIGINT FROM {t}"
+        for i, t in enumerate(("first", "second", "third", "fourth", "chunks"), 1)
+    ),
+    "library_profiles": _with(BASE, CHANGED, PROFILES) + "SELECT book_title, word, round(score, 6) AS score, rank FROM profiles",
+    "library_nearest": _with(BASE, CHANGED, WITH_VECTOR, DENSE_DOCS) + "SELECT query_id, chunk_id, rank0 FROM den",
+    "library_pages": _with(BASE, CHANGED) + "SELECT chunk_id, book_title, page_number FROM chunks WHERE page_number BETWEEN 100 AND 400",
     "keyword_search_snippet": _with(CHUNKS)
     + "SELECT chunk_id, book_title, substring(text, greatest(1, i - 40), i + 60 - greatest(1, i - 40)) AS snippet FROM (SELECT *, strpos(lower(text), 'token') AS i FROM chunks) WHERE i > 0",
     "keyword_first_matches": _with(CHUNKS)

@@ -16,11 +16,13 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import bm25, chunking, concepts, dense, evaluate, fusion, query, routing, store, structure
+from ..operators.indexes import IndexedLibrary
 from ..operators.sizes import broadcast_if_small, spread
 from ..sources import readers
 from ..streaming import sentences as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_CHANGED: dict[tuple, IndexedLibrary] = {}
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -166,6 +168,27 @@ class Tables:
         out.rebuild(self.chunks().repartition("book_title"))
         return out
 
+    def changed_library(self) -> IndexedLibrary:
+        """A library with indexes after five versions: all books; one rewritten and one new; chunks deleted; a book dropped; the rewritten one again.
+
+        Queries of one application share it while it is there.
+        """
+        name = (self.spark.sparkContext.applicationId, self.sf_dir, self.spark.conf.get("spark.checkpoint.dir", None))
+        out = _CHANGED.get(name)
+        if out is not None and out.version() == 5:
+            return out
+        out = IndexedLibrary(self.spark, store.scratch(self.spark, "library"))
+        chunks = self.chunks(vectors=True)  # not every chunk has one
+        out.rebuild(chunks.repartition("book_title"))
+        said = F.concat(F.coalesce("text", F.lit("")), F.lit(" Revised TOKEN words revised"))
+        again = chunks.where("book_title = 'src1' and corpus_pos % 3 > 0").withColumn("text", said)
+        out.upsert(again.unionByName(chunks.where("book_title = 'src3' and corpus_pos % 4 = 3").withColumn("book_title", F.lit("new — book"))))
+        out.delete_ids(chunks.where("corpus_pos % 11 = 0 and book_title not in ('src1', 'src3')").select("chunk_id"))
+        out.delete_book("src2")
+        out.upsert(again.where("corpus_pos % 7 > 1"))
+        _CHANGED[name] = out
+        return out
+
     def by_length(self) -> DataFrame:
         return self._ranking(F.desc("n_chars"))
 
@@ -293,6 +316,66 @@ def format_context(t: Tables) -> DataFrame:
     return query.contexts(found.join(docs, "chunk_id")).select("query_id", F.md5("context").alias("context_md5"), F.length("context").alias("n_chars"))
 
 
+@registered
+def library_changes(t: Tables) -> DataFrame:
+    """The rows between the first and the newest version of a changed library."""
+    rows = t.changed_library().changes(1)
+    return rows.select("change", "chunk_id", "book_title", F.md5("text").alias("text_md5"))
+
+
+@registered
+def library_changes_step(t: Tables) -> DataFrame:
+    """The rows that deleting chunks has changed: what the rewritten books have kept is not among them."""
+    return t.changed_library().changes(2, 3).select("change", "chunk_id", "book_title")
+
+
+@registered
+def library_search(t: Tables) -> DataFrame:
+    """BM25 from the postings and statistics that a changed library has kept."""
+    return t.changed_library().search(t.questions())
+
+
+@registered
+def library_vocabulary(t: Tables) -> DataFrame:
+    """Document frequencies by signed deltas after the changes."""
+    return t.changed_library().vocabulary()
+
+
+@registered
+def library_sizes(t: Tables) -> DataFrame:
+    """Totals by signed deltas at every version."""
+    library = t.changed_library()
+    parts = [library.statistics(v).where("kind = 'size'").select(F.lit(v).alias("version"), F.col("term").alias("name"), "value") for v in range(1, 6)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@registered
+def library_profiles(t: Tables) -> DataFrame:
+    """Book profiles from stored counts after the changes."""
+    return t.changed_library().profiles().withColumn("score", F.round("score", 6))
+
+
+@registered
+def library_nearest(t: Tables) -> DataFrame:
+    """Vectors nearest to the questions', from the lists of a changed library, all of them read."""
+    return t.changed_library().nearest(t.vector_questions(), exact=True).select("query_id", "chunk_id", "rank0")
+
+
+@registered
+def library_nearest_probed(t: Tables) -> DataFrame:
+    """As ``library_nearest`` from the lists nearest to each question."""
+    return t.changed_library().nearest(t.vector_questions()).select("query_id", "chunk_id", "rank0")
+
+
+@registered
+def library_pages(t: Tables) -> DataFrame:
+    """A range of pages of a changed library; files of other pages are not opened."""
+    return t.changed_library().read(pages=(100, 400)).select("chunk_id", "book_title", "page_number")
+
+
 # --- structure ---------------------------------------------------------------------------
 
 
