@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .model import ASK_TOP_K
 from .operators import chunking, concepts, evaluate, fusion, query, render, routing, structure
-from .operators.store import Library, _path, _remove, exists
+from .operators.indexes import IndexedLibrary
+from .operators.store import _path, _remove, exists
 from .sources import readers
 from .sources.readers import hashed_embedding
 
@@ -27,13 +28,16 @@ class Engine:
     """Ingest, inspect, ask and map a library of books.
 
     What asking needs beside the chunks (book profiles, chapter vectors) is stored and
-    kept in memory for the library's newest version; a change makes a new version.
+    kept in memory for the library's newest version; a change makes a new version. Search
+    reads the library's indexes; ``exact`` compares a question with all vectors, otherwise
+    with those of the nearest lists.
     """
 
-    def __init__(self, spark: SparkSession, root: str, *, encode: Callable[[Column], Column] = hashed_embedding, encoder: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, *, encode: Callable[[Column], Column] = hashed_embedding, encoder: str | None = None, exact: bool = True):
+        self.exact = exact
         self.spark, self.root, self.encode = spark, root.rstrip("/"), encode
         self.encoder = encoder or getattr(encode, "__qualname__", type(encode).__name__)
-        self.library = Library(spark, f"{self.root}/library")
+        self.library = IndexedLibrary(spark, f"{self.root}/library")
         self.cache = f"{self.root}/extractions"
         self._held: tuple[int, DataFrame, DataFrame] | None = None
 
@@ -107,7 +111,7 @@ class Engine:
             chunks = self.library.read(version=version)
             path = f"{self.root}/profiles/v{version}"
             if not exists(self.spark, f"{path}/_SUCCESS"):
-                routing.book_profiles(chunks).write.mode("overwrite").parquet(path)
+                self.library.profiles(version).write.mode("overwrite").parquet(path)
             vectors = self._vectors(routing.chapters_in_order(chunks))
             self._held = (version, self.spark.read.parquet(path).persist(), vectors.persist())
         return self._held[1], self._held[2]
@@ -132,9 +136,9 @@ class Engine:
         asked = questions.withColumn("embedding", self.encode(F.col("question")))
         if book:
             chosen = asked.withColumn("book_filter", F.lit(book)).withColumn("chapter_filter", F.lit(None).cast("string"))
-            return fusion.hydrate(fusion.search(chunks, chosen, top_k=top_k), chunks.drop("embedding"))
+            return fusion.hydrate(fusion.search(chunks, chosen, top_k=top_k, index=self.library, exact=self.exact), chunks.drop("embedding"))
         profiles, vectors = self.prepared()
-        return query.ask(chunks, asked, profiles, vectors, top_k=top_k, force_all=force_all_books)
+        return query.ask(chunks, asked, profiles, vectors, top_k=top_k, force_all=force_all_books, index=self.library, exact=self.exact)
 
     def answer(self, questions: DataFrame, model: Callable[[str], str], **options) -> DataFrame:
         """``query_id, answer, answer_error`` of a text model over the results."""
@@ -150,7 +154,7 @@ class Engine:
         items = readers.eval_set(self.spark, None) if items is None else items
         chunks = self.library.read()
         asked = items.select(F.col("id").alias("query_id"), "question").withColumn("embedding", self.encode(F.col("question")))
-        found = fusion.hydrate(fusion.search(chunks, asked, top_k=10), chunks.drop("embedding")).persist()
+        found = fusion.hydrate(fusion.search(chunks, asked, top_k=10, index=self.library, exact=self.exact), chunks.drop("embedding")).persist()
         truth = items.select(F.col("id").alias("query_id"), F.col("ground_truth_chunk_id").alias("chunk_id"))
         retrieval = evaluate.metrics(truth, found).first().asDict()
         generation, skipped = None, "no text model was given"

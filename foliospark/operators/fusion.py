@@ -44,7 +44,13 @@ def orphans(results: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def search(
-    chunks: DataFrame, queries: DataFrame, *, top_k: int = TOP_K, rrf_k: int = RRF_K, depth: int = CANDIDATE_DEPTH
+    chunks: DataFrame, queries: DataFrame, *, top_k: int = TOP_K, rrf_k: int = RRF_K, depth: int = CANDIDATE_DEPTH, index=None, exact: bool = True
 ) -> DataFrame:
-    """Hybrid search of all queries: dense and lexical candidates, fused and cut."""
-    return fuse(dense.top_k(chunks, queries, depth=depth), bm25.top_k(chunks, queries, depth=depth), top_k=top_k, rrf_k=rrf_k)
+    """Hybrid search of all queries: dense and lexical candidates, fused and cut.
+
+    With ``index``, a library that keeps its indexes, candidates come from these, and
+    ``chunks`` is not read; unless ``exact`` the dense ones from the nearest lists.
+    """
+    if index is None:
+        return fuse(dense.top_k(chunks, queries, depth=depth), bm25.top_k(chunks, queries, depth=depth), top_k=top_k, rrf_k=rrf_k)
+    return fuse(index.nearest(queries, depth=depth, exact=exact), index.search(queries, depth=depth), top_k=top_k, rrf_k=rrf_k)

@@ -8,8 +8,11 @@ from the indexes of the files that the two versions do not share. Its cost follo
 change. Deltas are summed when they are read and compacted now and then.
 
 Vectors lie in coarse lists, partitions of the stored table. Their centres are learned once,
-from a sample; a search reads the lists whose centres are nearest to a query, or all of them
-if it is to be exact.
+from a sample, and again when asked for; a search reads the lists whose centres are nearest
+to a query, or all of them if it is to be exact.
+
+Every file has a Bloom filter of the trigrams of its lower-cased texts, so a search for a
+substring opens the files that may hold it.
 """
 
 from __future__ import annotations
@@ -26,9 +29,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..model import CANDIDATE_DEPTH, PROFILE_SIZE
 from ..shipping import ship
-from . import bm25, dense, postings
+from . import bm25, dense, postings, query
 from .sizes import BROADCAST_ROWS
-from .store import Library, _list, _remove, book_key, exists
+from .store import Library, _list, _path, _remove, book_key, exists
 
 #: Versions after which deltas are added up in a table of their own.
 COMPACT = 8
@@ -36,13 +39,16 @@ COMPACT = 8
 SAMPLE, LISTS = 50_000, 4096
 _WORDS = "book_key string, word string, n long, first long"
 _STATISTICS = "kind string, term string, value long"
-_VECTORS = "chunk_id string, corpus_pos long, book_title string, chapter string, embedding array<float>, book_key string"
+_VECTORS = ["chunk_id", "corpus_pos", "book_title", "chapter", "embedding", "book_key"]
+_TRIGRAMS = "book_key string, file string, bits binary"
+#: Bits of a filter for each distinct trigram, and places that a trigram sets.
+BITS, PLACES = 10, 4
 
 
 class IndexedLibrary(Library):
     """See the module. ``chunks`` have ``chunk_id, corpus_pos, book_title, chapter, text`` and may have ``embedding``."""
 
-    PARTS = ("data", "postings", "words")
+    PARTS = ("data", "postings", "words", "trigrams")
 
     # --- writing -----------------------------------------------------------------------
 
@@ -54,6 +60,8 @@ class IndexedLibrary(Library):
         place = F.shiftleft(F.col("corpus_pos").cast("long"), 24) + F.least("at", F.lit((1 << 24) - 1))
         counted = words.groupBy("book_key", "word").agg(F.count("*").alias("n"), F.min(place).alias("first"))
         counted.repartition("book_key").write.partitionBy("book_key").parquet(f"{self.path}/words/written={written}")  # a book's vocabulary, not its words
+        low = rows.where("text is not null").select("book_key", F.col("_metadata.file_name").alias("file"), F.lower("text").alias("text"))
+        low.mapInArrow(_filters, _TRIGRAMS).write.partitionBy("book_key").parquet(f"{self.path}/trigrams/written={written}")
         if "embedding" in rows.columns:
             self._write_vectors(written, rows)
 
@@ -154,75 +162,144 @@ class IndexedLibrary(Library):
         ``exact`` reads all lists. The others are not read: they are filtered out as partitions.
         """
         version = self.version() if version is None else version
-        centres = self._centres()
+        number = self._lists()
+        centres = self._centres(number)
         rows = self.vectors(version)
         if exact or centres is None:
             return dense.top_k(rows, queries, depth=depth)
         n = min(len(centres), probes or max(8, len(centres) // 8))
 
         def chosen(vectors: list) -> list[np.ndarray]:
-            fits = [v if len(v) == centres.shape[1] else [0.0] * centres.shape[1] for v in vectors]
-            return list(np.argsort(-(np.array(fits, np.float64) @ centres.T), axis=1, kind="stable")[:, :n])
+            fits = np.array([v if len(v) == centres.shape[1] else [0.0] * centres.shape[1] for v in vectors], np.float64)
+            near = np.argsort(-(fits @ centres.T), axis=1, kind="stable")[:, :n]
+            # vectors of another length than the centres' are all in the first list
+            return [near[i] if len(v) == centres.shape[1] else np.array([0]) for i, v in enumerate(vectors)]
 
         return dense.top_k(rows, queries, depth=depth, probes=chosen)
 
     def vectors(self, version: int | None = None) -> DataFrame:
         """A version's vectors with their ``list``."""
-        live = self._live(self.version() if version is None else version)
-        return self._part("vectors", _VECTORS + ", list int", live)
-
-    def _centres(self) -> np.ndarray | None:
-        path = f"{self.path}/vectors/centres"
-        if not exists(self.spark, f"{path}/_SUCCESS"):
+        version = self.version() if version is None else version
+        columns = self._columns(version)
+        kind = columns["embedding"].dataType.simpleString() if columns is not None and "embedding" in columns.names else "array<float>"
+        schema = f"chunk_id string, corpus_pos long, book_title string, chapter string, embedding {kind}, book_key string, list int"
+        return self._part(f"vectors/lists-{self._lists()}/rows", schema, self._live(version))
+
+    def _lists(self) -> int:
+        """The number of the newest centres whose lists are complete; 0 where there are none."""
+        names = [f.getPath().getName() for f in _list(self.spark, f"{self.path}/vectors")]
+        return max((int(n.split("-")[1]) for n in names if exists(self.spark, f"{self.path}/vectors/{n}/ready")), default=0)
+
+    def _centres(self, number: int) -> np.ndarray | None:
+        if not number:
             return None
-        return np.array([r["centre"] for r in self.spark.read.parquet(path).orderBy("list").collect()])  # LISTS at most
+        return np.array([r["centre"] for r in self.spark.read.parquet(f"{self.path}/vectors/lists-{number}/centres").orderBy("list").collect()])  # LISTS at most
 
     def _write_vectors(self, written: str, rows: DataFrame) -> None:
+        known = rows.where("embedding is not null").select(*_VECTORS[:1], F.col("corpus_pos").cast("long").alias("corpus_pos"), *_VECTORS[2:])
+        number = self._lists()
+        if not number:
+            number = 1
+            if not self._learn(known, number):
+                return
+            self._ready(number)
+        self._place(known, number).write.partitionBy("list").parquet(f"{self.path}/vectors/lists-{number}/rows/written={written}")
+
+    def relearn(self) -> None:
+        """Learn the centres anew from the newest version and deal its vectors into their lists; for a library that has grown.
+
+        Searches go on in the old lists until the new ones are complete. Versions before
+        the newest have no vectors any more.
+        """
+        rows, number = self.vectors(), self._lists() + 1
+        _remove(self.spark, f"{self.path}/vectors/lists-{number}")  # of a run that broke off
+        if self._learn(rows, number):
+            self._place(rows.drop("list"), number).write.partitionBy("written", "list").parquet(f"{self.path}/vectors/lists-{number}/rows")
+            self._ready(number)
+
+    def _ready(self, number: int) -> None:
+        path, system = _path(self.spark, f"{self.path}/vectors/lists-{number}/ready")
+        system.mkdirs(path)
+
+    def _place(self, rows: DataFrame, number: int) -> DataFrame:
+        """Rows with the ``list`` of the nearest centre, dealt out for a write by list."""
         ship(self.spark)
-        known = rows.where("embedding is not null").select(*[c.split()[0] for c in _VECTORS.split(", ")])
-        if self._centres() is None:
-            self._learn(known)
-        centres = self._centres()
-        shared = self.spark.sparkContext.broadcast(centres)  # LISTS vectors at most
+        shared = self.spark.sparkContext.broadcast(self._centres(number))  # LISTS vectors at most
 
         @F.arrow_udf("int")
         def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             of = shared.value
             for b in batches:
                 out = np.zeros(len(b), np.int32)  # vectors of another length are in the first list
-                fits = np.flatnonzero(b.value_lengths().to_numpy(zero_copy_only=False) == (of.shape[1] if of is not None else -1))
+                fits = np.flatnonzero(b.value_lengths().to_numpy(zero_copy_only=False) == of.shape[1])
                 if len(fits):
                     v = b.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1)
                     out[fits] = np.argmax(v @ of.T, axis=1)
                 yield pa.array(out)
 
-        placed = known.withColumn("list", nearest(F.col("embedding")))
-        # a list is dealt out by chunk, so that one that holds a third of all vectors is written by many tasks
-        placed.repartition("list", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("list", "book_key").write.partitionBy("list").parquet(f"{self.path}/vectors/written={written}")
+        # a list is dealt out by chunk, so that one that holds a third of all vectors is written by several tasks
+        placed = rows.withColumn("list", nearest(F.col("embedding")))
+        return placed.repartition("list", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("list", "book_key")
 
-    def _learn(self, rows: DataFrame) -> None:
-        """Centres of unit length from a sample; as many lists as the root of the number of vectors."""
+    def _learn(self, rows: DataFrame, number: int) -> bool:
+        """Store centres of unit length from a sample, as many lists as the root of the number of vectors; False where there are no vectors."""
         sizes = rows.where("size(embedding) > 0").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
         if sizes is None:
-            return
+            return False
         n, d = sizes["count"], sizes["d"]
         norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
         unit = F.when(norm > 0, F.transform("embedding", lambda x: x.cast("double") / norm))
-        some = rows.where(F.size("embedding") == d).sample(min(1.0, SAMPLE / n), seed=1) if n > SAMPLE else rows.where(F.size("embedding") == d)
-        some = some.select(unit.alias("v")).where("v is not null").select(array_to_vector("v").alias("features"))
-        k = max(1, min(LISTS, round(n**0.5)))
-        model = KMeans(k=k, seed=1, maxIter=10, initMode="random").fit(some.persist())
+        some = rows.where(F.size("embedding") == d)
+        some = (some.sample(SAMPLE / n, seed=1) if n > SAMPLE else some).select(unit.alias("v")).where("v is not null")
+        some = some.select(array_to_vector("v").alias("features")).persist()
+        centres = np.zeros((1, d))
+        if not some.isEmpty():
+            centres = np.array(KMeans(k=max(2, min(LISTS, round(n**0.5))), seed=1, maxIter=10, initMode="random").fit(some).clusterCenters())
+            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
         some.unpersist()
-        centres = np.array(model.clusterCenters())
-        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
         table = self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centre array<double>")
-        table.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/vectors/centres")
+        table.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/vectors/lists-{number}/centres")
+        return True
+
+    # --- substrings --------------------------------------------------------------------
+
+    def holding(self, keyword: str, *, book: str | None = None, version: int | None = None) -> DataFrame:
+        """The manifest's files that may hold the keyword, whatever the case; never leaves one out that does.
+
+        Keywords of fewer than three letters may be anywhere.
+        """
+        ship(self.spark)
+        version = self.version() if version is None else version
+        files = self._listed(version)
+        if book:
+            files = files.where(F.col("book_key") == book_key(F.lit(book)))
+        low = self.spark.range(1).select(F.lower(F.lit(keyword))).first()[0]
+        asked = trigrams(low)
+        if not len(asked):
+            return files
+        rows = self._part("trigrams", _TRIGRAMS, files.select("book_key", "written").distinct().collect())  # a row per book
+
+        def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                held = [may_hold(np.frombuffer(bits.as_py(), np.uint8), asked) for bits in b.column("bits")]
+                yield b.filter(pa.array(held, pa.bool_())).select(["book_key", "written", "file"])
+
+        found = rows.mapInArrow(test, "book_key string, written string, file string").distinct()
+        return files.join(found, ["book_key", "written", "file"], "left_semi").select(*files.columns)
+
+    def keyword_search(self, keyword: str, *, book: str | None = None, limit: int | None = None, version: int | None = None) -> DataFrame:
+        """As :func:`query.keyword_search` over a version; opens the files that may hold the keyword."""
+        version = self.version() if version is None else version
+        return query.keyword_search(self._open(self.holding(keyword, book=book, version=version), self._columns(version)), keyword, book=book, limit=limit)
 
     def vacuum(self) -> None:
         super().vacuum()
-        version = self.version()
+        version, number = self.version(), self._lists()
         needed = {f"written={r['written']}" for r in self._live(version)}
         for f in _list(self.spark, f"{self.path}/vectors"):
+            if f.getPath().getName() != f"lists-{number}":
+                _remove(self.spark, f.getPath().toString())
+        for f in _list(self.spark, f"{self.path}/vectors/lists-{number}/rows"):
             if f.getPath().getName().startswith("written=") and f.getPath().getName() not in needed:
                 _remove(self.spark, f.getPath().toString())
         if version:
@@ -234,3 +311,49 @@ class IndexedLibrary(Library):
                     _remove(self.spark, f.getPath().toString())
 
 
+def trigrams(text: str) -> np.ndarray:
+    """The distinct runs of three code points of a text, as numbers."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    return np.unique(c[:-2] | c[1:-1] << np.uint64(21) | c[2:] << np.uint64(42)) if len(c) > 2 else np.empty(0, np.uint64)
+
+
+def _places(numbers: np.ndarray, n_bits: int) -> np.ndarray:
+    """``PLACES`` rows of bits that numbers set; ``n_bits`` is a power of two."""
+    out = []
+    for i in range(PLACES):
+        x = (numbers ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        out.append((x ^ (x >> np.uint64(29))) & np.uint64(n_bits - 1))
+    return np.stack(out)
+
+
+def bloom(numbers: np.ndarray) -> bytes:
+    """A Bloom filter of distinct numbers, of at least ``BITS`` bits each."""
+    n_bits = 1 << max(6, (BITS * len(numbers) - 1).bit_length())
+    bits = np.zeros(n_bits, np.uint8)
+    bits[_places(numbers, n_bits).astype(np.int64).ravel()] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_hold(raw: np.ndarray, numbers: np.ndarray) -> bool:
+    """Whether a filter may hold all of the numbers."""
+    at = _places(numbers, 8 * len(raw)).astype(np.int64)
+    return bool((raw[at >> 3] >> (at & 7).astype(np.uint8) & 1).all())
+
+
+def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A filter for each file that a task reads; files follow each other."""
+    at, held = None, np.empty(0, np.uint64)
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at[0]]), pa.array([at[1]]), pa.array([bloom(held)], pa.binary())], names=["book_key", "file", "bits"])
+
+    for b in batches:
+        for key, file, text in zip(*(c.to_pylist() for c in b.columns)):
+            if at != (key, file):
+                if at is not None:
+                    yield row()
+                at, held = (key, file), np.empty(0, np.uint64)
+            held = np.union1d(held, trigrams(text))
+    if at is not None:
+        yield row()

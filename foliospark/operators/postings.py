@@ -2,7 +2,7 @@
 
 A *segment* is a bounded batch of chunks and one row: the chunks' ids, places and lengths,
 and for every term its postings in chunk order. Chunks of a segment lie in ranges of
-``RANGE``; a *block* is the postings of one term in one range, stored with its largest
+one width; a *block* is the postings of one term in one range, stored with its largest
 term frequency and the smallest length of its chunks. Both bound what the block can add to
 a score under any corpus statistics, so segments stay right when the corpus changes.
 
@@ -35,14 +35,14 @@ SEGMENT_WORDS, RANGE = 1_000_000, 64
 BLOCK_BYTES = 4 << 20
 
 SEGMENTS = (
-    "n_chunks long, n_words long, chunk_id array<string>, corpus_pos array<long>, book_title array<string>, chapter array<string>, lengths binary, "
+    "n_chunks long, n_words long, width int, chunk_id array<string>, corpus_pos array<long>, book_title array<string>, chapter array<string>, lengths binary, "
     "terms array<string>, dfs array<long>, block_starts binary, block_range binary, block_first binary, "
     "block_tf binary, block_length binary, docs binary, tfs binary"
 )
 
 
-def segments(chunks: DataFrame, *, by_book: bool = False, words: int = SEGMENT_WORDS) -> DataFrame:
-    """One row of ``SEGMENTS`` for a batch of chunks of about ``words`` words.
+def segments(chunks: DataFrame, *, by_book: bool = False, words: int = SEGMENT_WORDS, width: int = RANGE) -> DataFrame:
+    """One row of ``SEGMENTS`` for a batch of chunks of about ``words`` words, in ranges of ``width`` chunks.
 
     ``chunks`` has ``chunk_id, corpus_pos, book_title, chapter, text``; a null text has no
     words. With ``by_book`` a segment has chunks of one book only, if books come one after
@@ -57,28 +57,33 @@ def segments(chunks: DataFrame, *, by_book: bool = False, words: int = SEGMENT_W
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, book = [], 0, None
         for b in batches:
-            for part in _of_one_book(b) if by_book else [b]:
-                own = part.column("book_title")[0].as_py() if by_book and part.num_rows else book
-                if held and (n >= words or own != book):
-                    yield _segment(held)
+            for part, size, own in _parts(b, words, by_book):
+                if held and (n + size > words or own != book):
+                    yield _segment(held, width)
                     held, n = [], 0
-                if part.num_rows:
-                    held.append(part)
-                    n, book = n + pc.sum(pc.list_value_length(part.column("tokens"))).as_py(), own
+                held.append(part)
+                n, book = n + size, own
         if held:
-            yield _segment(held)
+            yield _segment(held, width)
 
     return rows.mapInArrow(build, SEGMENTS)
 
 
-def _of_one_book(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    titles = batch.column("book_title").to_pylist()
-    first = [i for i in range(len(titles)) if i == 0 or titles[i] != titles[i - 1]]
-    for a, b in zip(first, [*first[1:], len(titles)]):
-        yield batch.slice(a, b - a)
+def _parts(batch: pa.RecordBatch, words: int, by_book: bool) -> Iterator[tuple[pa.RecordBatch, int, str | None]]:
+    """A batch cut where about ``words`` words are full, and between books: the part, its words and its book."""
+    sizes = pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False)
+    titles = batch.column("book_title").to_pylist() if by_book else [None] * batch.num_rows
+    first, n = 0, 0
+    for i in range(batch.num_rows):
+        if i > first and (n + sizes[i] > words or titles[i] != titles[first]):
+            yield batch.slice(first, i - first), n, titles[first]
+            first, n = i, 0
+        n += int(sizes[i])
+    if batch.num_rows:
+        yield batch.slice(first), n, titles[first]
 
 
-def _segment(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+def _segment(batches: list[pa.RecordBatch], width: int) -> pa.RecordBatch:
     t = pa.Table.from_batches(batches).combine_chunks()
     lists = t.column("tokens").combine_chunks()
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype("<i4")
@@ -89,7 +94,7 @@ def _segment(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     term, doc = pairs // max(n, 1), (pairs % max(n, 1)).astype("<i4")
     df = np.bincount(term, minlength=len(terms)).astype(np.int64)
     # a block begins where the term or the range changes
-    part = doc // RANGE
+    part = doc // width
     new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (part[1:] != part[:-1])))) if len(doc) else np.empty(0, np.int64)
     most = np.maximum.reduceat(tf, new) if len(new) else tf
     least = np.minimum.reduceat(lengths[doc], new) if len(new) else tf
@@ -99,7 +104,7 @@ def _segment(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     listed = lambda c: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), t.column(c).combine_chunks())
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([n], pa.int64()), pa.array([len(code)], pa.int64()), *(listed(c) for c in ("chunk_id", "corpus_pos", "book_title", "chapter")), one(lengths),
+            pa.array([n], pa.int64()), pa.array([len(code)], pa.int64()), pa.array([width], pa.int32()), *(listed(c) for c in ("chunk_id", "corpus_pos", "book_title", "chapter")), one(lengths),
             pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms), pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), pa.array(df)),
             *map(one, raw), one(doc), one(tf),
         ],
@@ -143,7 +148,8 @@ class Segment:
         # a block's largest contribution is no more than this, before its weight
         most, least = of("block_tf"), of("block_length")
         self.bound = most * (K1 + 1) / (most + (K1 * (1 - B + B * least / mean) if mean else K1))
-        self.n_ranges = -(-len(self.lengths) // RANGE)
+        self.width = batch.column("width")[i].as_py()
+        self.n_ranges = -(-len(self.lengths) // self.width)
         self.blocks = self.skipped = 0
         self._masks: dict[tuple, np.ndarray | None] = {}
 
@@ -179,7 +185,7 @@ class Segment:
         held = np.zeros(self.n_ranges, bool)
         held[self.range[blocks]] = True
         if mask is not None:
-            held &= np.add.reduceat(mask, np.arange(0, len(mask), RANGE)) > 0
+            held &= np.add.reduceat(mask, np.arange(0, len(mask), self.width)) > 0
         order = np.argsort(-upper, kind="stable")
         order = order[held[order]]
         score, hit = np.zeros(len(self.lengths)), np.zeros(len(self.lengths), bool)
@@ -199,7 +205,7 @@ class Segment:
             hit[doc] = True
             at += len(now)
             if not dense:
-                new = np.flatnonzero(chosen[np.arange(len(score)) // RANGE] & hit & (True if mask is None else mask))
+                new = np.flatnonzero(chosen[np.arange(len(score)) // self.width] & hit & (True if mask is None else mask))
                 kept = np.concatenate((kept, np.round(score[new], digits)))
                 if len(kept) >= depth:
                     kept = np.partition(kept, len(kept) - depth)[len(kept) - depth :]
@@ -343,6 +349,6 @@ def _search(shared, mean: float, depth: int, zeros: bool, digits: int):
     return run
 
 
-def index_chunks(chunks: DataFrame, *, words: int = SEGMENT_WORDS) -> DataFrame:
+def index_chunks(chunks: DataFrame, **options) -> DataFrame:
     """The segments of ``chunks`` as a stored table; texts are read once."""
-    return stored(segments(spread(chunks.select("chunk_id", "corpus_pos", "book_title", "chapter", "text")), words=words), "postings")
+    return stored(segments(spread(chunks.select("chunk_id", "corpus_pos", "book_title", "chapter", "text")), **options), "postings")

@@ -88,10 +88,10 @@ def with_retry(call: Callable[[str], str], *, waits: tuple[float, ...] = (5, 10,
     return tried
 
 
-def ask(chunks: DataFrame, queries: DataFrame, profiles: DataFrame, vectors: DataFrame, *, top_k: int = ASK_TOP_K, force_all: bool = False) -> DataFrame:
-    """Routed hybrid search: results with their chunks and the filters that were used."""
+def ask(chunks: DataFrame, queries: DataFrame, profiles: DataFrame, vectors: DataFrame, *, top_k: int = ASK_TOP_K, force_all: bool = False, **options) -> DataFrame:
+    """Routed hybrid search: results with their chunks and the filters that were used; ``options`` are those of :func:`fusion.search`."""
     routed = routing.route(queries, profiles, vectors, force_all=force_all)
-    found = fusion.hydrate(fusion.search(chunks, routed, top_k=top_k), chunks.drop("embedding"))
+    found = fusion.hydrate(fusion.search(chunks, routed, top_k=top_k, **options), chunks.drop("embedding"))
     return found.join(routed.select("query_id", "book_filter", "chapter_filter"), "query_id")
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from ..functions import text as X
 
 _NO_BOOK = "none"
+#: Chunks of a file at most: some 80 MB of text, the unit that statistics skip.
+FILE_ROWS = 100_000
 #: A row of a version's list: a file of a book with what it holds. One row more, without a file, has the columns of all.
 MANIFEST = "book_key string, written string, file string, n_rows long, first_page long, last_page long, chapters array<string>, schema string"
 
@@ -110,7 +112,7 @@ class Library:
         """Write chunks by book; returns their rows of a manifest."""
         written = f"w{uuid.uuid4().hex}"
         keyed = chunks.withColumn("book_key", book_key("book_title"))
-        keyed.write.partitionBy("book_key").parquet(f"{self.path}/data/written={written}")
+        keyed.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("book_key").parquet(f"{self.path}/data/written={written}")
         # as rows are partitioned the key is no column of the files, and nothing is read where no row was written
         rows = self.spark.read.schema(keyed.schema).parquet(f"{self.path}/data/written={written}")
         self._index(written, rows)

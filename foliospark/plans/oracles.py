@@ -237,6 +237,8 @@ ORACLES: dict[str, str] = {
     ),
     "library_profiles": _with(BASE, CHANGED, PROFILES) + "SELECT book_title, word, round(score, 6) AS score, rank FROM profiles",
     "library_nearest": _with(BASE, CHANGED, WITH_VECTOR, DENSE_DOCS) + "SELECT query_id, chunk_id, rank0 FROM den",
+    "library_keyword": _with(BASE, CHANGED)
+    + "SELECT chunk_id, book_title, substring(text, greatest(1, i - 40), i + 60 - greatest(1, i - 40)) AS snippet FROM (SELECT *, strpos(lower(text), 'revised token') AS i FROM chunks) WHERE i > 0",
     "library_pages": _with(BASE, CHANGED) + "SELECT chunk_id, book_title, page_number FROM chunks WHERE page_number BETWEEN 100 AND 400",
     "keyword_search_snippet": _with(CHUNKS)
     + "SELECT chunk_id, book_title, substring(text, greatest(1, i - 40), i + 60 - greatest(1, i - 40)) AS snippet FROM (SELECT *, strpos(lower(text), 'token') AS i FROM chunks) WHERE i > 0",

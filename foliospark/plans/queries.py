@@ -370,6 +370,12 @@ def library_nearest_probed(t: Tables) -> DataFrame:
     return t.changed_library().nearest(t.vector_questions()).select("query_id", "chunk_id", "rank0")
 
 
+@registered
+def library_keyword(t: Tables) -> DataFrame:
+    """A substring in a changed library, by the files whose trigrams may hold it."""
+    return t.changed_library().keyword_search("revised token").select("chunk_id", "book_title", "snippet")
+
+
 @registered
 def library_pages(t: Tables) -> DataFrame:
     """A range of pages of a changed library; files of other pages are not opened."""
