@@ -138,9 +138,11 @@ def latex_to_spoken(text: Column | str) -> Column:
 
     Fractions and sums first, then letters, powers, indices, symbols, and what is left
     of delimiters and commands. An equals sign within a sum's lower bound is spelled out
-    by the general step, which gives the same words.
+    by the general step, which gives the same words. The noncharacters U+FDD0 and U+FDD1,
+    which no text should hold, mark powers meanwhile and are dropped from the text before.
     """
     steps = [
+        ("[\ufdd0\ufdd1]", ""),
         (r"\\frac\{([^{}]*)\}\{([^{}]*)\}", "$1 over $2 "),
         (r"\\sum_\{([^{}]*)\}\^\{([^{}]*)\}", "the sum from $1 to $2 of"),
         *[(rf"(?U)\\{g}\b", g) for g in GREEK],

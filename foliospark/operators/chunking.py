@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..model import CHUNK_OVERLAP, CHUNK_SIZE
+from ..shipping import ship
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 
@@ -57,6 +58,8 @@ def _pack(pieces: list[str], size: int, overlap: int) -> list[str]:
 def split_groups(groups: DataFrame, *, text: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """``groups`` exploded into ``sub_index, chunk_text``; groups of no text give no chunks."""
 
+    ship(groups.sparkSession)
+
     @F.arrow_udf("array<string>")
     def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:

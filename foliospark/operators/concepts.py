@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..model import EXTRACTION, EXTRACTION_BATCH, RELATED_CAP
+from ..shipping import ship
 from .sizes import broadcast_if_small
 
 PROMPT = (
@@ -76,6 +77,7 @@ def extract(batch_prompts: DataFrame, folder: str, model: Callable[[str], str],
     what it has stored. The calls are made when the result is read.
     """
     spark = batch_prompts.sparkSession
+    ship(spark)
     todo = batch_prompts.join(extraction_cache(spark, folder).select("text_key"), "text_key", "left_anti")
     todo = todo.select("book_title", "batch_id", "text_key", "prompt")
     width = callers or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -247,15 +249,32 @@ def colours(nodes: DataFrame, *, palette: int = 5) -> DataFrame:
     return primary.select("term_id", "primary_book").join(broadcast_if_small(ranked.drop("at")), "primary_book").select("term_id", "primary_book", "colour")
 
 
-def two_hops(edges: DataFrame, selected: DataFrame) -> DataFrame:
-    """``selected, term_id, level``: 0 for the selected node, 1 and 2 for its neighbours' distance."""
+#: Neighbours of a node that one task looks at together.
+HUB = 20_000
+
+
+def two_hops(edges: DataFrame, selected: DataFrame, *, hub: int = HUB) -> DataFrame:
+    """``selected, term_id, level``: 0 for the selected node, 1 and 2 for its neighbours' distance.
+
+    What is reached is made distinct before the next hop. The neighbours of a node that has
+    more than ``hub`` are dealt into pieces, and what stands at it goes to each of them, so no
+    task holds all edges of a hub.
+    """
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
-    start = selected.select(F.col("term_id").alias("selected"))
-    one = start.join(both, F.col("selected") == F.col("a")).select("selected", F.col("b").alias("term_id"))
-    two = one.join(both, one["term_id"] == both["a"]).select("selected", F.col("b").alias("term_id"))
+    hubs = both.groupBy("a").count().where(F.col("count") > hub).select("a", F.ceil(F.col("count") / hub).cast("int").alias("pieces"))
+    hubs = broadcast_if_small(hubs)  # narrow: a node and a number
+    piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("b"), F.col("pieces"))).otherwise(0).cast("int")
+    dealt = both.join(hubs, "a", "left").select("a", "b", piece.alias("piece"))
+
+    def hop(reached: DataFrame) -> DataFrame:
+        every = F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)
+        at = reached.distinct().join(hubs, reached["term_id"] == hubs["a"], "left").select("selected", F.col("term_id").alias("a"), F.explode(every).alias("piece"))
+        return at.join(dealt, ["a", "piece"]).select("selected", F.col("b").alias("term_id"))
+
+    start = selected.select(F.col("term_id").alias("selected"), "term_id").distinct()
+    one = hop(start).distinct()
     level = lambda df, n: df.withColumn("level", F.lit(n))
-    all_ = level(start.withColumn("term_id", F.col("selected")), 0).unionByName(level(one, 1)).unionByName(level(two, 2))
-    return all_.groupBy("selected", "term_id").agg(F.min("level").alias("level"))
+    return level(start, 0).unionByName(level(one, 1)).unionByName(level(hop(one), 2)).groupBy("selected", "term_id").agg(F.min("level").alias("level"))
 
 
 def filter_nodes(nodes: DataFrame, prop: str, values: list[str]) -> DataFrame:

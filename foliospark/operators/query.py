@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..model import ASK_TOP_K
+from ..shipping import ship
 from . import fusion, routing
 
 REFUSAL = "Information not found in the provided context."
@@ -53,6 +54,8 @@ def call_image_model(rows: DataFrame, model: Callable[[str, bytes, str], str], *
 
 
 def _called(rows: DataFrame, model: Callable[..., str], columns: list[str], out: str) -> DataFrame:
+    ship(rows.sparkSession)
+
     @F.arrow_udf("struct<answer:string,error:string>")
     def ask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:

@@ -6,7 +6,6 @@ from ..model import GREEK, NON_CHAPTER_KEYWORDS, POLLUTION_KEYWORDS, STOPWORDS
 from ..operators.concepts import PROMPT
 from ..operators.evaluate import JUDGES
 from ..operators.query import INSTRUCTIONS
-from ..sources.readers import _EXAMPLE
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
@@ -274,7 +273,10 @@ ORACLES: dict[str, str] = {
     "single_chapter": _with(HEADS)
     + "SELECT l.book_title || ' — ' || title AS book_title, line_no, page_number, text FROM lines l JOIN heads h ON l.book_title = h.book_title AND page_number BETWEEN start_page AND end_page",
     "page_offset": _with(LEVELS) + "SELECT book_title, line_no, page_number + 7 AS page_number, level FROM levelled",
-    "document_lines": "SELECT 'nation' AS book_title, row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS line_no, n_regionkey::BIGINT + 1 AS page_number, n_name AS text, n_nationkey::DOUBLE AS size FROM nation",
+    "document_lines": r"""WITH paged AS (SELECT page_id // 100 AS doc, row_number() OVER (PARTITION BY page_id // 100 ORDER BY page_id) AS page_number,
+      regexp_replace(coalesce(html, ''), '[\r\n]+', ' ', 'g') AS line FROM pages),
+      cut AS (SELECT doc, page_number, list_filter(regexp_split_to_array(line, '<[^>]*>'), lambda x: trim(x, ' ') <> '') AS l FROM paged WHERE page_number BETWEEN 2 AND 40)
+      SELECT doc, page_number, nth - 1 AS nth, trim(x, ' ') AS text, (length(x) % 7 + 10)::DOUBLE AS size FROM (SELECT doc, page_number, unnest(l) AS x, generate_subscripts(l, 1) AS nth FROM cut)""",
     "list_chapters": _with(HEADS, TOC)
     + "SELECT book_title, pos, title, start_page, end_page, level::BIGINT AS level FROM ranges UNION ALL SELECT book_title, pos, title, start_page, end_page, level::BIGINT FROM heads",
     "reassign_chapters": _with(CHUNKS, SOURCE_RANGES) + "SELECT chunk_id, book_title, hit AS chapter, page_number FROM assigned WHERE hit IS NOT NULL",
@@ -340,9 +342,7 @@ ORACLES: dict[str, str] = {
     "judged_items": f"""SELECT item_id, CASE WHEN n % 11 <> 0 THEN (n % 2)::DOUBLE END AS score, CASE WHEN n % 11 = 0 THEN 'TimeoutError: ' || n END AS judged_error
       FROM (SELECT item_id, {len(JUDGES['faithfulness']) - len('{context}{answer}')} + length(text) + length(item_id::VARCHAR) AS n FROM benchmark)""",
     "eval_slice": _with(CHUNKS, QUESTIONS_OF) + "SELECT 'q' || corpus_pos AS id, question FROM made ORDER BY corpus_pos LIMIT 8 OFFSET 3",
-    "builtin_eval_set": "SELECT * FROM (VALUES "
-    + ", ".join(f"('q{i}', '{q}', '{a}', '{c}')" for i, (q, a, c) in enumerate(_EXAMPLE, 1))
-    + ") AS v(id, question, ground_truth_answer, ground_truth_chunk_id)",
+    "eval_set_json": "SELECT 'q' || item_id AS id, coalesce(text, '') AS question, md5(text) AS ground_truth_answer, 'c' || item_id AS ground_truth_chunk_id FROM benchmark",
     "answer_prompts": _with(RANKINGS, fused("bylen", "byid", 3))
     + f""", c AS (SELECT query_id, string_agg('[' || lang || ' | Unknown | p.' || doc_id || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS c
       FROM fused JOIN documents ON chunk_id = doc_id::VARCHAR GROUP BY 1)
@@ -365,6 +365,6 @@ ORACLES: dict[str, str] = {
     "fence_stripped": r"""SELECT doc_id, md5(regexp_replace(regexp_replace('```json ' || coalesce(text, '') || ' ```', '^```json\s*', ''), '\s*```$', '')) AS text_md5 FROM documents""",
     "latex_to_spoken": f"SELECT doc_id, md5({_spoken(_FORMULAS)}) AS spoken_md5 FROM documents",
     "sentence_end_test": _with(LINES)
-    + r"""SELECT book_title, line_no, NOT regexp_matches(text, '(?i:\bp\.\s*\d*$|\be\.g\.$|\bi\.e\.$)|\b\d+\.$') AS ends, false AS cited_ends FROM lines""",
+    + r"""SELECT book_title, line_no, NOT regexp_matches(text, '(?i:\bp\.\s*\d*$|\be\.g\.$|\bi\.e\.$)|\b\d+\.$') AS ends, NOT regexp_matches(text || '.', '(?i:\bp\.\s*\d*$|\be\.g\.$|\bi\.e\.$)|\b\d+\.$') AS cited_ends FROM lines""",
     "html_escape": """SELECT page_id, md5(replace(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS escaped_md5 FROM pages""",
 }

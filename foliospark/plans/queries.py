@@ -8,7 +8,7 @@ page) and streams of text; words of ``benchmark`` items are concepts, neighbours
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from ..functions import text as X
 from ..operators import bm25, chunking, concepts, dense, evaluate, fusion, query, routing, store, structure
 from ..operators.indexes import IndexedLibrary
 from ..operators.sizes import broadcast_if_small, spread
-from ..sources import readers
+from ..sources import documents, readers
 from ..streaming import sentences as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,15 +140,30 @@ class Tables:
         words = F.split("text", r"(?U)\s+")
         items = self.benchmark.where("text is not null").select("item_id", F.col("text").alias("item"), words.alias("w"))
         inner = F.array_sort(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))), lambda a, b: F.length(b) - F.length(a))
-        long = items.where(F.size("w") > 2).select("item_id", "item", inner[0].alias("word"))
+        long = items.where(F.size("w") > 2).select("item_id", inner[0].alias("word"))
         docs = spread(self.documents.select("doc_id", "source", "text"))
-        led = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("word")).join(broadcast_if_small(long, 50_000), "word").select("doc_id", "item_id", "item").distinct()
-        held = docs.join(led, "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "source", "item_id")
-        short = items.where(F.size("w") <= 2).agg(F.collect_list(F.struct("item_id", "item")).alias("items"))  # one row of short texts
-        rest = docs.crossJoin(F.broadcast(short)).select("doc_id", "source", F.explode(F.filter("items", lambda i: F.contains(F.col("text"), i["item"]))).alias("i"))
-        held = held.unionByName(rest.select("doc_id", "source", "i.item_id"))
+        led = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("word")).join(broadcast_if_small(long), "word").select("doc_id", "item_id").distinct()
+        whole = items.select("item_id", "item")
+        held = docs.join(led, "doc_id").join(whole, "item_id").where(F.contains("text", F.col("item"))).select("doc_id", "source", "item_id")
+        for block in self._blocks(items.where(F.size("w") <= 2).select("item_id", "item")):
+            some = self.spark.createDataFrame([(block,)], "items array<struct<item_id:long,item:string>>")  # one row, of bounded bytes
+            rest = docs.crossJoin(F.broadcast(some)).select("doc_id", "source", F.explode(F.filter("items", lambda i: F.contains(F.col("text"), i["item"]))).alias("i"))
+            held = held.unionByName(rest.select("doc_id", "source", "i.item_id"))
         return held.select(F.col("item_id").alias("query_id"), F.concat(X.slug("source"), F.lit("_p"), F.col("doc_id").cast("string"), F.lit("_g0_c0")).alias("chunk_id"))
 
+    @staticmethod
+    def _blocks(items: DataFrame, block_bytes: int = 1 << 20) -> Iterator[list]:
+        """Items in blocks of bounded bytes, each to be looked for in every document at once."""
+        block, size = [], 0
+        for r in items.toLocalIterator():
+            block.append((r["item_id"], r["item"]))
+            size += 16 + len(r["item"])
+            if size >= block_bytes:
+                yield block
+                block, size = [], 0
+        if block:
+            yield block
+
     def extractions(self) -> DataFrame:
         """What a text model might say of each item: its words as terms, neighbours related."""
         words = X.whitespace_tokens("text")
@@ -417,17 +432,23 @@ def page_offset(t: Tables) -> DataFrame:
 
 @registered
 def document_lines(t: Tables) -> DataFrame:
-    """Binary files by a parser: the file of nations, a page a region, a name a line."""
+    """Pages 2 to 40 of files of a hundred web pages each, by the source of documents: a page a line of the file, its text between tags."""
+    folder = store.scratch(t.spark, "files")
+    bare = F.regexp_replace(F.coalesce("html", F.lit("")), r"[\r\n]+", " ")
+    pages = t.pages.select(F.floor(F.col("page_id") / 100).cast("long").alias("doc"), "page_id", bare.alias("line"))
+    pages.repartition("doc").sortWithinPartitions("doc", "page_id").select("doc", "line").write.partitionBy("doc").text(folder)
+    documents.register(t.spark, _html_parser, name="html_files")
+    rows = t.spark.read.format("html_files").load(folder).where("page_number between 2 and 40")
+    doc = F.regexp_extract("path", r"doc=(\d+)", 1).cast("long").alias("doc")
+    return rows.select(doc, "page_number", (F.col("line_no") % documents.PAGE_LINES).alias("nth"), "text", "size")
 
-    def parser(content: bytes) -> list:
-        import io
 
-        import pyarrow.parquet as pq
+def _html_parser(content: bytes, first: int, last: int) -> list:
+    import re
 
-        rows = pq.read_table(io.BytesIO(content)).sort_by("n_nationkey").to_pylist()
-        return [(page + 1, [(f" {r['n_name']} ", r["n_nationkey"] + 0.04) for r in rows if r["n_regionkey"] == page]) for page in range(5)]
+    pages = content.decode("utf-8").split("\n")[first - 1 : last]
+    return [(first + i, [(x.strip(" "), len(x) % 7 + 10) for x in re.split("<[^>]*>", page) if x.strip(" ")]) for i, page in enumerate(pages)]
 
-    return readers.document_lines(t.spark, f"{t.sf_dir}/nation.parquet", parser)
 
 
 @registered
@@ -759,8 +780,16 @@ def eval_slice(t: Tables) -> DataFrame:
 
 
 @registered
-def builtin_eval_set(t: Tables) -> DataFrame:
-    return readers.eval_set(t.spark, None)
+def eval_set_json(t: Tables) -> DataFrame:
+    """An evaluation set from JSON files of some items each."""
+    folder = store.scratch(t.spark, "items")
+    item = F.struct(
+        F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("id"), F.coalesce("text", F.lit("")).alias("question"),
+        F.md5("text").alias("ground_truth_answer"), F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("ground_truth_chunk_id"),
+    )
+    some = t.benchmark.groupBy(F.floor(F.col("item_id") / 20).cast("long").alias("part")).agg(F.to_json(F.collect_list(item)).alias("value"))  # twenty items a file
+    some.repartition("part").write.partitionBy("part").text(folder)
+    return readers.eval_set(t.spark, folder).select("id", "question", "ground_truth_answer", "ground_truth_chunk_id")
 
 
 @registered
@@ -826,7 +855,7 @@ def latex_to_spoken(t: Tables) -> DataFrame:
 
 @registered
 def sentence_end_test(t: Tables) -> DataFrame:
-    lines = t.lines().select("book_title", "line_no", F.concat("text", F.lit(" see p. 3.")).alias("cited"), "text")
+    lines = t.lines().select("book_title", "line_no", F.concat("text", F.lit(".")).alias("cited"), "text")
     return lines.select("book_title", "line_no", X.is_sentence_end("text").alias("ends"), X.is_sentence_end("cited").alias("cited_ends"))
 
 

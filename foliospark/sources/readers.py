@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import CHUNK_WIRE, EVAL_SET, UNKNOWN
+from ..shipping import ship
 
 #: A style's proxy sizes for HTML, which has no font sizes of its own.
 HTML_SIZES = {"h1": 18.0, "h2": 15.0, "h3": 13.0, "p": 10.0, "li": 10.0}
@@ -62,6 +63,7 @@ def document_lines(spark: SparkSession, path: str, parser: Callable[[bytes], lis
     ``parser`` gives pages from 1 as ``(page, [(line, size of its first span)])``. Lines
     are stripped, blank ones dropped, sizes rounded to one decimal. The book is the file's name.
     """
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +142,7 @@ def documents_as_chunks(documents: DataFrame, embeddings: DataFrame | None = Non
     chunks = documents.select(
         F.concat(slug, F.lit("_p"), F.col("doc_id").cast("string"), F.lit("_g0_c0")).alias("chunk_id"), "text",
         F.col("source").alias("book_title"), F.col("lang").alias("chapter"), F.lit(UNKNOWN).alias("section"),
-        F.col("doc_id").cast("int").alias("page_number"), F.lit(0).alias("chunk_index_on_page"), F.col("doc_id").alias("corpus_pos"),
+        F.col("doc_id").alias("page_number"), F.lit(0).alias("chunk_index_on_page"), F.col("doc_id").alias("corpus_pos"),
     )
     if embeddings is None:
         return chunks

@@ -8,7 +8,6 @@ when the stream ends is a sentence if it is not blank.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.text import NOT_AN_END
+from ..shipping import ship
 
 _END = re.compile(r"[.!?](?:\s|$)")
 _NOT_AN_END = re.compile(NOT_AN_END)
@@ -59,6 +59,7 @@ def segment(pieces: list[str]) -> list[str]:
 
 def sentences(rows: DataFrame, *, text: str = "text") -> DataFrame:
     """``rows`` exploded into ``sentence_no, sentence``; null and blank texts give none."""
+    ship(rows.sparkSession)
 
     @F.arrow_udf("array<string>")
     def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -69,42 +70,82 @@ def sentences(rows: DataFrame, *, text: str = "text") -> DataFrame:
 
 
 class _Segmenter(StatefulProcessor):
-    """Holds a stream's buffer, its next expected piece, and pieces that came too early."""
+    """Holds a stream's buffer and next expected piece, and, in a map of their own, pieces that came too early."""
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "buffer string, next int, emitted int, early string")
+        self.handle = handle
+        self.state = handle.getValueState("state", "buffer string, next int, emitted int, ended boolean, timer long")
+        self.early = handle.getMapState("early", "seq int", "piece string, last boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        buffer, expected, emitted, early = self.state.get() if self.state.exists() else ("", 0, 0, "{}")
-        waiting = json.loads(early)
+        buffer, expected, emitted, ended, timer = self.state.get() if self.state.exists() else ("", 0, 0, False, -1)
+        now = {}
         for df in rows:
             for seq, piece, last in zip(df["seq"], df["piece"], df["is_last"]):
-                if int(seq) >= expected:  # a piece that came before is not taken again
-                    waiting[str(int(seq))] = [piece or "", bool(last)]
-        out, ended = [], False
-        while not ended and str(expected) in waiting:
-            piece, ended = waiting.pop(str(expected))
+                if int(seq) >= expected and not ended:  # a piece that came before is not taken again
+                    now[int(seq)] = (piece or "", bool(last))
+        out = []
+        while not ended:
+            if expected in now:
+                piece, ended = now.pop(expected)
+            elif self.early.containsKey((expected,)):
+                piece, ended = self.early.getValue((expected,))
+                self.early.removeKey((expected,))
+            else:
+                break
             new, buffer = feed(buffer, piece)
             out += new
             expected += 1
-        if ended:
+        if ended:  # what comes still is known to be late until the stream is forgotten
             out += [buffer.strip()] if buffer.strip() else []
+            buffer = ""
+            self.early.clear()
+        else:
+            for seq, value in now.items():
+                self.early.updateValue((seq,), value)
+        if self.idle_ms is not None:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+            self.handle.registerTimer(timer)
+        if ended and self.idle_ms is None:
             self.state.clear()
         else:
-            self.state.update((buffer, expected, emitted + len(out), json.dumps(waiting)))
-        yield pd.DataFrame({"stream_id": [key[0]] * len(out), "sentence_no": range(emitted, emitted + len(out)), "sentence": pd.Series(out, dtype=object)})
+            self.state.update((buffer, expected, emitted + len(out), ended, timer))
+        yield _numbered(key, emitted, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        buffer, _, emitted, _, _ = self.state.get() if self.state.exists() else ("", 0, 0, True, -1)
+        self.state.clear()
+        self.early.clear()
+        yield _numbered(key, emitted, [buffer.strip()] if buffer.strip() else [])
 
     def close(self) -> None:
         pass
 
 
-def stream_sentences(pieces: DataFrame) -> DataFrame:
+def _numbered(key, first: int, out: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({"stream_id": [key[0]] * len(out), "sentence_no": range(first, first + len(out)), "sentence": pd.Series(out, dtype=object)})
+
+
+def stream_sentences(pieces: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
     """Sentences of a stream of ``stream_id long, seq int, piece string, is_last boolean``.
 
-    Pieces of one stream may come in any order, also across batches: gaps are waited for.
-    After ``is_last`` a stream's state is dropped. Needs the RocksDB state store.
+    Pieces of one stream may come in any order, also across batches: gaps are waited for,
+    each early piece being written once. Pieces that come again are passed over. Without
+    ``idle_ms`` a stream is forgotten at its last piece, and one that is left off is kept.
+    With it a stream is forgotten when it has had no piece for so many milliseconds of
+    processing time: one that was left off ends with what it holds up to its first gap, and
+    pieces behind the gap are lost; until then pieces after the last are passed over. A
+    piece that comes later still begins a new stream. Timers run in batches without data
+    too, so under ``availableNow`` such a query only ends by itself if
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` is off. Needs the RocksDB state store.
     """
+    ship(pieces.sparkSession)
     return pieces.groupBy("stream_id").transformWithStateInPandas(
-        statefulProcessor=_Segmenter(), outputStructType="stream_id long, sentence_no int, sentence string",
-        outputMode="Append", timeMode="None",
+        statefulProcessor=_Segmenter(idle_ms), outputStructType="stream_id long, sentence_no int, sentence string",
+        outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime",
     )

@@ -1,12 +1,17 @@
 """The stored library, concepts, sources, streaming and pages."""
 
 import json
+import os
+import subprocess
+import sys
+import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from foliospark.operators import concepts, render, store
-from foliospark.sources import readers
+from foliospark.sources import documents, readers
 from foliospark.streaming import ingest, sentences
 
 CHUNKS = "chunk_id string, text string, book_title string, corpus_pos long"
@@ -195,6 +200,116 @@ def test_stream_agrees_with_batch_whatever_the_order(spark, tmp_path):
     assert [r["sentence_no"] for r in got if r["stream_id"] == 2] == [0, 1, 2]
 
 
+def run_stream(spark, tmp_path, name, parts, *, idle_ms=3_600_000, wait=0.0):
+    """Feed parts of ``(stream_id, seq, piece, is_last)`` one after another, the query starting anew from its checkpoint for each."""
+    schema = "stream_id long, seq int, piece string, is_last boolean"
+    out = []
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # timers would keep the query running
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(f"file://{tmp_path}/{name}")
+        stream = spark.readStream.schema(schema).json(f"file://{tmp_path}/{name}")
+        q = sentences.stream_sentences(stream, idle_ms=idle_ms).writeStream.foreachBatch(lambda df, _: out.extend(tuple(r) for r in df.collect()))
+        q.option("checkpointLocation", f"file://{tmp_path}/{name}-check").trigger(availableNow=True).start().awaitTermination(240)
+        time.sleep(wait)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    return out
+
+
+def test_stream_early_late_and_repeated_pieces(spark, tmp_path):
+    """Early pieces wait in a map, across restarts; repeated pieces and those after the last are passed over."""
+    early = [(1, i, f"piece {i} more. ", False) for i in range(60, 0, -1)]
+    got = run_stream(spark, tmp_path, "early", [early, [(1, 0, "Begin. ", False), (1, 61, "end", True)], [(1, 3, "again. ", False), (1, 99, "after. ", False), (2, 0, "Other", True)]])
+    assert [(n, t) for s, n, t in got if s == 1] == list(enumerate(["Begin.", *(f"piece {i} more." for i in range(1, 61)), "end"]))
+    assert [(n, t) for s, n, t in got if s == 2] == [(0, "Other")]
+
+
+def test_stream_that_is_left_off_ends(spark, tmp_path):
+    """After its time-out a stream gives what it holds up to the gap and is forgotten; a later piece begins anew."""
+    got = run_stream(spark, tmp_path, "idle", [[(7, 0, "One. Two", False), (7, 2, "lost. ", False)], [(8, 0, "x", True)], [(7, 0, "New. ", True)]], idle_ms=1, wait=0.2)
+    assert [t for s, _, t in got if s == 7] == ["One.", "Two", "New."]
+    assert [n for s, n, _ in got if s == 7] == [0, 1, 0]
+    forever = run_stream(spark, tmp_path, "kept", [[(7, 0, "One. Two", False)], [(7, 1, " end.", True)], [(7, 0, "Anew", True)]], idle_ms=None)
+    assert [(n, t) for _, n, t in forever] == [(0, "One."), (1, "Two end."), (0, "Anew")]
+
+
+def parse_pages(folder):
+    """A parser of files with a page a line, words as lines; it notes which pages it parsed."""
+
+    def parser(content, first, last):
+        pages = content.decode().split("\n")
+        out = [(i + 1, [(w, 10 + len(w) / 3) for w in p.split(" ")]) for i, p in enumerate(pages) if first <= i + 1 <= last]
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(str(p) for p, _ in out))
+        return out
+
+    return parser
+
+
+def test_documents_by_pages(spark, tmp_path, monkeypatch):
+    """A filter on pages parses these pages only; large files are split; a stream gives the lines of a batch."""
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    (tmp_path / "in").mkdir()
+    for name, n in (("a", 9), ("b", 3), ("empty", 0), ("_hidden", 4)):
+        (tmp_path / "in" / f"{name}.bin").write_text("\n".join(f"{name}{p} x  é{p}" for p in range(1, n + 1)))
+    folder = f"file://{tmp_path}/in"
+    documents.register(spark, parse_pages(notes), name="paged", count=lambda content: content.count(b"\n") + 1)
+    parsed = lambda: sorted(int(x) for f in notes.iterdir() for x in [*f.read_text().split(), *([] if f.unlink() else [])])
+    rows = lambda df: sorted((r["book_title"], r["page_number"], r["line_no"] % documents.PAGE_LINES, r["text"], r["size"]) for r in df.collect())
+    read = lambda: spark.read.format("paged").load(folder)
+    everything = rows(read())
+    assert len(everything) == 36 and everything[0] == ("a", 1, 0, "a1", 10.7) and {r[2] for r in everything} == {0, 1, 3}
+    parsed()
+    some = rows(read().where("page_number between 3 and 4 and text != 'x'"))
+    assert some == [r for r in everything if 3 <= r[1] <= 4 and r[3] != "x"] and parsed() == [3, 3, 4]
+    assert rows(read().where("page_number in (2, 5)")) == [r for r in everything if r[1] in (2, 5)] and set(parsed()) == {2, 3, 4, 5}
+    assert rows(read().where("page_number = 2 or text = 'a9'")) == [r for r in everything if r[1] == 2 or r[3] == "a9"]
+    assert rows(read().where("page_number > 100")) == []
+    lines = spark.readStream.format("paged").load(folder)
+    got = []
+    for more in (None, "c"):
+        if more:
+            (tmp_path / "in" / "c.bin").write_text("c1 late")
+        q = lines.writeStream.foreachBatch(lambda df, _: got.extend(rows(df))).option("checkpointLocation", f"file://{tmp_path}/check-paged")
+        q.trigger(availableNow=True).start().awaitTermination(240)
+    assert sorted(got) == sorted(everything + [("c", 1, 0, "c1", 10.7), ("c", 1, 1, "late", 11.3)])
+
+
+def test_two_hops_with_hubs(spark):
+    """A planted hub's edges are dealt into pieces; the result is that of a walk."""
+    edges = [("hub", f"n{i}") for i in range(300)] + [(f"n{i}", f"m{i % 7}") for i in range(0, 300, 3)] + [("a", "n0"), ("a", "a"), ("a", "n0")]
+    table = spark.createDataFrame(edges, "src string, dst string")
+    near = {}
+    for x, y in edges:
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    picked = ["hub", "a", "m1", "alone", "a"]
+    want = set()
+    for s in picked:
+        one = near.get(s, set())
+        two = set().union(*(near[x] for x in one)) if one else set()
+        want |= {(s, t, 0 if t == s else 1 if t in one else 2) for t in {s} | one | two}
+    selected = spark.createDataFrame([(s,) for s in picked], "term_id string")
+    for hub in (10, 20_000):
+        assert {tuple(r) for r in concepts.two_hops(table, selected, hub=hub).select("selected", "term_id", "level").collect()} == want
+
+
+def test_code_reaches_workers(tmp_path):
+    """With the package on the driver's path only, jobs with Python functions run."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+sys.path.insert(0, {root!r})
+from foliospark.streaming.sentences import sentences
+print("found", sentences(spark.createDataFrame([("One. Two.",)], "text string")).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, env=env, timeout=300)
+    assert "found 2" in done.stdout, done.stderr[-2000:]
+
+
 def test_incremental_ingest_is_replayable(spark, tmp_path):
     schema = "book_title string, line_no long, page_number int, text string, size double"
     rows = [("B", 0, 1, "Title", 20.0), *[("B", i, 1, f"line {i}", 10.0) for i in range(1, 5)]]
