@@ -7,6 +7,8 @@ Encoders and text models are callables that the caller brings.
 from __future__ import annotations
 
 import argparse
+import importlib
+import json
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -30,11 +32,15 @@ class Engine:
     What asking needs beside the chunks (book profiles, chapter vectors) is stored and
     kept in memory for the library's newest version; a change makes a new version. Search
     reads the library's indexes; ``exact`` compares a question with all vectors, otherwise
-    with those of the nearest lists.
+    with those of the nearest lists. A text model is called again after each of ``waits``
+    seconds while it fails in a way that ``retriable`` takes for passing (None: never).
     """
 
-    def __init__(self, spark: SparkSession, root: str, *, encode: Callable[[Column], Column] = hashed_embedding, encoder: str | None = None, exact: bool = True):
-        self.exact = exact
+    def __init__(
+        self, spark: SparkSession, root: str, *, encode: Callable[[Column], Column] = hashed_embedding, encoder: str | None = None, exact: bool = True,
+        retriable: Callable[[Exception], bool] | None = query.may_pass, waits: tuple[float, ...] = (5, 10, 20, 40),
+    ):
+        self.exact, self.retriable, self.waits = exact, retriable, waits
         self.spark, self.root, self.encode = spark, root.rstrip("/"), encode
         self.encoder = encoder or getattr(encode, "__qualname__", type(encode).__name__)
         self.library = IndexedLibrary(spark, f"{self.root}/library")
@@ -140,10 +146,31 @@ class Engine:
         profiles, vectors = self.prepared()
         return query.ask(chunks, asked, profiles, vectors, top_k=top_k, force_all=force_all_books, index=self.library, exact=self.exact)
 
+    def _patient(self, model: Callable[[str], str]) -> Callable[[str], str]:
+        return query.with_retry(model, waits=self.waits, retriable=self.retriable) if self.retriable else model
+
+    def debug(self, questions: DataFrame, *, top_k: int = 10) -> DataFrame:
+        """Book-routed results with a flag on chapters that look like front or back matter."""
+        chunks = self.library.read()
+        asked = questions.withColumn("embedding", self.encode(F.col("question")))
+        return query.debug_queries(chunks, asked, self.prepared()[0], top_k=top_k, index=self.library, exact=self.exact)
+
+    def keyword_search(self, keyword: str, *, book: str | None = None, limit: int | None = None) -> DataFrame:
+        """Chunks that hold a keyword; opens the files that may."""
+        return self.library.keyword_search(keyword, book=book, limit=limit)
+
+    def eval_set(self, path: str, *, limit: int | None = 20, todo: bool = False) -> int:
+        """Write an evaluation set made of the library's chunks as a JSON array, or a template of one to fill in; returns its items."""
+        chunks = self.library.read()
+        made = evaluate.candidates_with_todo(chunks, limit=limit or 5) if todo else evaluate.generated_questions(chunks, limit=limit)
+        items = [r.asDict(recursive=True) for r in made.collect()]  # ``limit`` rows
+        _write_text(self.spark, path, json.dumps(items, ensure_ascii=False, indent=2))
+        return len(items)
+
     def answer(self, questions: DataFrame, model: Callable[[str], str], **options) -> DataFrame:
         """``query_id, answer, answer_error`` of a text model over the results."""
         prompts = query.prompts(questions, self.ask(questions, **options))
-        return query.call_model(prompts, model).select("query_id", "answer", "answer_error")
+        return query.call_model(prompts, self._patient(model)).select("query_id", "answer", "answer_error")
 
     def evaluate(self, items: DataFrame | None = None, model: Callable[[str], str] | None = None, *, path: str | None = None) -> str:
         """Metrics of search over all books, judged metrics of answers to them, as a report; written to ``path`` if given.
@@ -159,6 +186,7 @@ class Engine:
         retrieval = evaluate.metrics(truth, found).first().asDict()
         generation, skipped = None, "no text model was given"
         if model is not None:
+            model = self._patient(model)
             first = found.where("pos <= 3")
             prompts = query.prompts(asked, first).join(query.contexts(first), "query_id", "left")
             answers = query.call_model(prompts, model).select("query_id", "answer", "answer_error", "context")
@@ -171,10 +199,7 @@ class Engine:
         found.unpersist()
         text = evaluate.report(retrieval, when=f"{datetime.now():%Y-%m-%d %H:%M}", size=items.count(), generation=generation, skipped=skipped)
         if path:
-            p, system = _path(self.spark, path)
-            out = system.create(p, True)
-            out.write(bytearray(text.encode()))
-            out.close()
+            _write_text(self.spark, path, text)
         return text
 
     # --- concepts ----------------------------------------------------------------------
@@ -182,7 +207,7 @@ class Engine:
     def extract_concepts(self, book: str, model: Callable[[str], str], *, chapter: str | None = None, pause: float = 0.0) -> DataFrame:
         """Extractions of a book's batches up to the first that fails; cached by text, resumed by the next call."""
         prompts = self._prompts(self.library.read(book), chapter)
-        concepts.extract(prompts, self.cache, model, pause=pause, callers=1).write.format("noop").mode("overwrite").save()
+        concepts.extract(prompts, self.cache, self._patient(model), pause=pause, callers=1).write.format("noop").mode("overwrite").save()
         return concepts.extracted(prompts, concepts.extraction_cache(self.spark, self.cache))
 
     def _prompts(self, rows: DataFrame, chapter: str | None = None) -> DataFrame:
@@ -209,6 +234,19 @@ class Engine:
             _remove(self.spark, folder)
 
 
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    p, system = _path(spark, path)
+    out = system.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _named(place: str) -> Callable[[str], str]:
+    """The callable that ``module:name`` stands for."""
+    module, _, name = place.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def main(arguments: list[str] | None = None) -> None:
     """``python -m foliospark.engine ROOT COMMAND ...``"""
     p = argparse.ArgumentParser(prog="foliospark")
@@ -238,6 +276,24 @@ def main(arguments: list[str] | None = None) -> None:
     scored = sub.add_parser("evaluate", help="retrieval metrics as a report")
     scored.add_argument("--items", help="JSON of id, question, ground_truth_answer, ground_truth_chunk_id")
     scored.add_argument("--report", help="file to write")
+    found = sub.add_parser("search", help="chunks that hold a keyword")
+    found.add_argument("keyword")
+    found.add_argument("--book")
+    found.add_argument("--limit", type=int, default=5)
+    debug = sub.add_parser("debug-query", help="results with their scores and a flag on front and back matter")
+    debug.add_argument("question")
+    for name, text in (("create-eval-set", "a template of an evaluation set to fill in"), ("generate-eval-set", "an evaluation set of questions made of chunks")):
+        items = sub.add_parser(name, help=text)
+        items.add_argument("path")
+        items.add_argument("-n", type=int, default=5 if name == "create-eval-set" else 20)
+    terms = sub.add_parser("extract-concepts", help="ask a text model for the terms of a book's batches; goes on where it broke off")
+    terms.add_argument("book")
+    terms.add_argument("--model", required=True, help="module:callable")
+    terms.add_argument("--chapter")
+    terms.add_argument("--pause", type=float, default=0.0)
+    drawn = sub.add_parser("concept-map", help="a page with the graph of what was extracted")
+    drawn.add_argument("path")
+    drawn.add_argument("--title", default="Concepts")
     sub.add_parser("reset-library")
     a = p.parse_args(arguments)
     spark = SparkSession.builder.appName("foliospark").getOrCreate()
@@ -264,6 +320,17 @@ def main(arguments: list[str] | None = None) -> None:
         found.select("pos", "book_title", "chapter", "page_number", F.substring("text", 1, 200).alias("text")).orderBy("pos").show(truncate=False)
     elif a.command == "fix-chapters":
         engine.fix_chapters(spark.read.parquet(a.chapters)).show()
+    elif a.command == "search":
+        engine.keyword_search(a.keyword, book=a.book, limit=a.limit).show(a.limit, truncate=False)
+    elif a.command == "debug-query":
+        q = spark.createDataFrame([(0, a.question)], "query_id long, question string")
+        engine.debug(q).select("pos", "rrf_score", "chunk_id", "chapter", "polluted").orderBy("pos").show(truncate=False)
+    elif a.command in ("create-eval-set", "generate-eval-set"):
+        print(engine.eval_set(a.path, limit=a.n, todo=a.command == "create-eval-set"), "items")
+    elif a.command == "extract-concepts":
+        print(engine.extract_concepts(a.book, _named(a.model), chapter=a.chapter, pause=a.pause).count(), "batches")
+    elif a.command == "concept-map":
+        _write_text(spark, a.path, engine.concept_map(*engine.concept_graph(), a.title))
     elif a.command == "evaluate":
         print(engine.evaluate(readers.eval_set(spark, a.items) if a.items else None, path=a.report))
     else:

@@ -91,6 +91,11 @@ def with_retry(call: Callable[[str], str], *, waits: tuple[float, ...] = (5, 10,
     return tried
 
 
+def may_pass(error: Exception) -> bool:
+    """Whether an error is that of a service that is busy: 429 or 503 in its message."""
+    return any(code in str(error) for code in ("429", "503"))
+
+
 def ask(chunks: DataFrame, queries: DataFrame, profiles: DataFrame, vectors: DataFrame, *, top_k: int = ASK_TOP_K, force_all: bool = False, **options) -> DataFrame:
     """Routed hybrid search: results with their chunks and the filters that were used; ``options`` are those of :func:`fusion.search`."""
     routed = routing.route(queries, profiles, vectors, force_all=force_all)
@@ -98,10 +103,10 @@ def ask(chunks: DataFrame, queries: DataFrame, profiles: DataFrame, vectors: Dat
     return found.join(routed.select("query_id", "book_filter", "chapter_filter"), "query_id")
 
 
-def debug_queries(chunks: DataFrame, queries: DataFrame, profiles: DataFrame, *, top_k: int = 10) -> DataFrame:
-    """Book-routed results with a flag on chapters that look like front or back matter."""
+def debug_queries(chunks: DataFrame, queries: DataFrame, profiles: DataFrame, *, top_k: int = 10, **options) -> DataFrame:
+    """Book-routed results with a flag on chapters that look like front or back matter; ``options`` are those of :func:`fusion.search`."""
     routed = queries.join(routing.route_books(queries, profiles), "query_id").withColumn("chapter_filter", F.lit(None).cast("string"))
-    found = fusion.hydrate(fusion.search(chunks, routed, top_k=top_k), chunks.drop("embedding"))
+    found = fusion.hydrate(fusion.search(chunks, routed, top_k=top_k, **options), chunks.drop("embedding"))
     return found.withColumn("polluted", X.is_polluted("chapter"))
 
 

@@ -20,6 +20,7 @@ from ..operators.indexes import IndexedLibrary
 from ..operators.sizes import broadcast_if_small, spread
 from ..sources import documents, readers
 from ..streaming import sentences as S
+from ..streaming import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _CHANGED: dict[tuple, IndexedLibrary] = {}
@@ -820,6 +821,14 @@ def parse_judge_score(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.judge_score("text").alias("score"))
 
 
+@registered
+def sentences_sql(t: Tables) -> DataFrame:
+    """Every conversation as a stream of its turns, cut into sentences by the table function in SQL."""
+    sql.register(t.spark)
+    turns = t.conversations.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.concat("text", F.lit(" ")).alias("piece"))
+    return t.spark.sql("SELECT stream_id, sentence_no, sentence FROM sentences_of(TABLE({turns}))", turns=turns)
+
+
 # --- text --------------------------------------------------------------------------------
 
 

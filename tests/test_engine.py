@@ -3,9 +3,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark import engine
 from foliospark.operators import concepts
+from foliospark.sources import readers
 
 LINES = "book_title string, line_no long, page_number int, text string, size double"
 
@@ -156,3 +158,46 @@ def test_chapters(spark, tmp_path):
     e.ingest_chapters(lines(spark), listed.where("title = 'Index Chapter'"))
     assert {r["book_title"] for r in e.library.read().collect()} == {"Databases — Index Chapter"}
     assert e.sample_chunks(3).count() >= 1
+
+
+def reply(prompt):
+    """A text model for the command line."""
+    return '{"terms": [{"term": "Index", "definition": "d"}], "relations": []}'
+
+
+def test_more_commands(spark, tmp_path, capsys):
+    root = f"file://{tmp_path}/e"
+    e = engine.Engine(spark, root)
+    long = lines(spark).withColumn("text", F.when(F.col("size") == 10, F.repeat(F.concat("text", F.lit(" ")), 6)).otherwise(F.col("text")))
+    e.ingest(long)
+    engine.main([root, "search", "NEURON layer", "--limit", "2"])
+    assert "Networks" in capsys.readouterr().out
+    engine.main([root, "debug-query", "query index join"])
+    assert "polluted" in capsys.readouterr().out
+    engine.main([root, "generate-eval-set", f"file://{tmp_path}/real.json", "-n", "2"])
+    items = readers.eval_set(spark, f"file://{tmp_path}/real.json")
+    assert items.count() == 2 and items.join(e.library.read(), F.col("ground_truth_chunk_id") == F.col("chunk_id")).count() >= 2
+    engine.main([root, "create-eval-set", f"file://{tmp_path}/todo.json", "-n", "1"])
+    assert len(json.loads((tmp_path / "todo.json").read_text())) == 1
+    engine.main([root, "extract-concepts", "Databases", "--model", "tests.test_engine:reply"])
+    engine.main([root, "concept-map", f"file://{tmp_path}/map.html"])
+    assert "Index" in (tmp_path / "map.html").read_text()
+
+
+def test_a_busy_model_is_asked_again(spark, tmp_path):
+    e = engine.Engine(spark, f"file://{tmp_path}/e", waits=(0.0, 0.0, 0.0))
+    e.ingest(lines(spark))
+    q = spark.createDataFrame([(0, "query index")], "query_id long, question string").coalesce(1)
+    mark = tmp_path / "asked"
+
+    def busy(prompt):
+        with open(mark, "a") as f:
+            f.write("x")
+        if len(mark.read_text()) < 2:
+            raise RuntimeError("503 service unavailable")
+        return "yes"
+
+    assert e.answer(q, busy).first()["answer"] == "yes" and mark.read_text() == "xx"
+    mark.unlink()
+    never = engine.Engine(spark, e.root, retriable=None).answer(q, busy).first()
+    assert never["answer"] is None and "503" in never["answer_error"]

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import subprocess
 import sys
 import time
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from foliospark.operators import concepts, render, store
 from foliospark.sources import documents, readers
 from foliospark.streaming import ingest, sentences
+from foliospark.streaming import sql as sentences_sql
 
 CHUNKS = "chunk_id string, text string, book_title string, corpus_pos long"
 
@@ -310,6 +312,22 @@ print("found", sentences(spark.createDataFrame([("One. Two.",)], "text string"))
     assert "found 2" in done.stdout, done.stderr[-2000:]
 
 
+def test_sentences_in_sql(spark):
+    """The table function gives what the segmenter gives, whatever the order of rows and the type of ids."""
+    sentences_sql.register(spark)
+    rows = [(f"s{s}", i, p, "other") for s in range(5) for i, p in enumerate(PIECES[s:])] + [(None, 0, "No id. ", "x"), ("null", 0, None, "x"), ("null", 1, "Then. ", "x")]
+    random.Random(3).shuffle(rows)
+    spark.createDataFrame(rows, "stream_id string, seq int, piece string, sentence string").repartition(3).createOrReplaceTempView("pieces_view")
+    got = spark.sql("SELECT * FROM sentences_of(TABLE(pieces_view)) WHERE stream_id IS NOT NULL").collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r["stream_id"], r["sentence_no"])):
+        by.setdefault(r["stream_id"], []).append(r["sentence"])
+    assert by == {**{f"s{s}": sentences.segment(PIECES[s:]) for s in range(5)}, "null": ["Then."]}
+    assert spark.sql("SELECT * FROM sentences_of(TABLE(SELECT 1 AS stream_id, 0 AS seq, 'a' AS piece WHERE false))").count() == 0
+    with pytest.raises(Exception, match="piece"):
+        spark.sql("SELECT * FROM sentences_of(TABLE(SELECT 1 AS stream_id, 0 AS seq))").collect()
+
+
 def test_incremental_ingest_is_replayable(spark, tmp_path):
     schema = "book_title string, line_no long, page_number int, text string, size double"
     rows = [("B", 0, 1, "Title", 20.0), *[("B", i, 1, f"line {i}", 10.0) for i in range(1, 5)]]
