@@ -250,11 +250,14 @@ class IndexedLibrary(Library):
         norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
         unit = F.when(norm > 0, F.transform("embedding", lambda x: x.cast("double") / norm))
         some = rows.where(F.size("embedding") == d)
-        some = (some.sample(SAMPLE / n, seed=1) if n > SAMPLE else some).select(unit.alias("v")).where("v is not null")
-        some = some.select(array_to_vector("v").alias("features")).persist()
-        centres = np.zeros((1, d))
-        if not some.isEmpty():
-            centres = np.array(KMeans(k=max(2, min(LISTS, round(n**0.5))), seed=1, maxIter=10, initMode="random").fit(some).clusterCenters())
+        # distinct vectors: centres are begun with as many different ones as there are lists
+        some = (some.sample(SAMPLE / n, seed=1) if n > SAMPLE else some).select(unit.alias("v")).where("v is not null").distinct().persist()
+        k, found = min(LISTS, round(n**0.5)), some.count()
+        if k < 2 or found < 3:
+            centres = np.array([r["v"] for r in some.limit(1).collect()] or [[0.0] * d])
+        else:
+            model = KMeans(k=min(k, found), seed=1, maxIter=10, initMode="random").fit(some.select(array_to_vector("v").alias("features")))
+            centres = np.array(model.clusterCenters())
             centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
         some.unpersist()
         table = self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centre array<double>")
