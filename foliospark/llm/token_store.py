@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -65,6 +66,8 @@ class LibraryCodec(PieceEncoder):
         whole = Tokenizer.from_file(path)
         self.model, self.splitter = whole.model, whole.pre_tokenizer
         super().__init__(pattern, cache_bytes)
+        # whether ASCII letters with a space before them are one pre-token
+        self.letters = self.pattern.findall(f" {string.ascii_letters}") == [f" {string.ascii_letters}"]
         self.dtype = np.dtype("<u2" if whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         added = whole.get_added_tokens_decoder()
@@ -81,8 +84,16 @@ class LibraryCodec(PieceEncoder):
         starts = {a for _, (a, b) in self.splitter.pre_tokenize_str(probe) if b - a == 2 and probe[a] == " "}
         return {c for i, c in enumerate(characters) if 4 * i in starts}
 
+    def _encode_piece(self, piece: str) -> bytes:
+        if self.letters and piece.isalpha() and piece.isascii():
+            return self._encode_mapped(self.shown[32] + piece)
+        return super()._encode_piece(piece)
+
     def _encode_word(self, word: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(self._mapped(word))]
+        return self._encode_mapped(self._mapped(word))
+
+    def _encode_mapped(self, mapped: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(mapped)]
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def encode(self, text: str) -> bytes:
