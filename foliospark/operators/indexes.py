@@ -157,7 +157,7 @@ class IndexedLibrary(Library):
         return postings.top_k(index, q, vocabulary=self.vocabulary(version), size=self.size(version), depth=depth, drop_zero=drop_zero)
 
     def nearest(self, queries: DataFrame, *, depth: int = CANDIDATE_DEPTH, probes: int | None = None, exact: bool = False, version: int | None = None) -> DataFrame:
-        """As :func:`dense.top_k` over a version's vectors in the ``probes`` lists nearest to a query (None: an eighth, 8 at least).
+        """As :func:`dense.top_k` over a version's vectors in the ``probes`` lists nearest to a query (None: a quarter, 16 at least).
 
         ``exact`` reads all lists. The others are not read: they are filtered out as partitions.
         """
@@ -167,7 +167,7 @@ class IndexedLibrary(Library):
         rows = self.vectors(version)
         if exact or centres is None:
             return dense.top_k(rows, queries, depth=depth)
-        n = min(len(centres), probes or max(8, len(centres) // 8))
+        n = min(len(centres), probes or max(16, len(centres) // 4))
 
         def chosen(vectors: list) -> list[np.ndarray]:
             fits = np.array([v if len(v) == centres.shape[1] else [0.0] * centres.shape[1] for v in vectors], np.float64)

@@ -11,7 +11,7 @@ from foliospark.operators.chunking import split_text
 from foliospark.plans.catalog import ORACLES, QUERIES
 from foliospark.streaming.sentences import segment
 
-COMPARED = {"split_chunks", "build_chunks", "sentences", "ask_routed"}
+COMPARED = {"split_chunks", "build_chunks", "sentences", "sentences_sql", "library_nearest_probed", "ask_routed"}
 
 
 def test_every_query_is_compared():
@@ -77,6 +77,27 @@ def test_sentences(spark, sf_dir):
         assert segment([t]) == plain_sentences(t), t
 
 
+def test_sentences_sql(spark, sf_dir):
+    turns = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        turns[r["conv_id"]].append("" if r["text"] is None else r["text"] + " ")
+    want = [(c, i, s) for c, pieces in turns.items() for i, s in enumerate(segment(pieces))]
+    assert sorted(map(tuple, QUERIES["sentences_sql"](spark, sf_dir).collect())) == sorted(want)
+
+
+def test_library_nearest_probed(spark, sf_dir):
+    """Against the exact search, which equals its SQL: what is found of it, and the order of what is in both."""
+    exact, some = (collections.defaultdict(list), collections.defaultdict(list))
+    for name, out in (("library_nearest", exact), ("library_nearest_probed", some)):
+        for r in QUERIES[name](spark, sf_dir).orderBy("query_id", "rank0").collect():
+            out[r["query_id"]].append(r["chunk_id"])
+    assert set(some) == set(exact)
+    both = {q: collections.Counter(exact[q]) & collections.Counter(some[q]) for q in exact}  # two books may have chunks of one id
+    assert sum(n.total() for n in both.values()) >= 0.9 * sum(map(len, exact.values()))
+    for q, own in both.items():
+        assert [c for c in exact[q] if c in own] == [c for c in some[q] if c in own]
+
+
 def hashed(text):
     v = np.zeros(64)
     for w in text.lower().split(" "):
