@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, release, ship
+from .common import LONG_ROWS, lean, materialize, release, ship
 from .decontaminate import words_of
 
 #: Terms' occurrences that a segment holds at about this many: some 12 MB as stored.
@@ -136,7 +136,7 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", seg
                 n_docs, n_terms = n_docs + int((n > 0).sum()), n_terms + int(n.sum())
         yield pa.RecordBatch.from_arrays([pa.array([n_docs]), pa.array([n_terms])], names=["n_docs", "n_terms"])
 
-    counted = materialize(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(count, _TERMS.format(key=kind)), "term-counts")
+    counted = materialize(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(count, _TERMS.format(key=kind)), "term-counts", **LONG_ROWS)
     n_docs, n_terms = counted.select("sizes").mapInArrow(totals, "n_docs long, n_terms long").agg(F.sum("n_docs"), F.sum("n_terms")).first()
     n_docs, n_terms = n_docs or 0, n_terms or 0
 
@@ -155,7 +155,7 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", seg
                     names=["keys", "terms", "dfs", "starts", "numbers", "impacts", "docs", "sorted"],
                 )
 
-    segments = materialize(counted.mapInArrow(sort, _INDEX.format(key=kind)), "impacts")
+    segments = materialize(counted.mapInArrow(sort, _INDEX.format(key=kind)), "impacts", **LONG_ROWS)
     release(counted)
     return Index(segments, n_docs, n_terms)
 
