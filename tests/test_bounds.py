@@ -46,3 +46,34 @@ def test_segments_of_a_ranked_index_are_row_groups(spark):
     sizes = row_groups(index.segments)
     assert set(sizes) == {1} and len(sizes) >= 40
     index.release()
+
+
+def test_filters_gather_before_they_merge(monkeypatch):
+    """Every text cost a merge of all that its file had before."""
+    import numpy as np
+    import pyarrow as pa
+
+    from foliospark.operators import indexes
+
+    texts = [f"text {i} of words {i * i}" for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["b"] * 300), pa.array(["f"] * 200 + ["g"] * 100), pa.array(texts)], names=["book_key", "file", "text"])
+    merges, unique = [], np.unique
+    want = [indexes.bloom(unique(np.concatenate([indexes.trigrams(t) for t in some]))) for some in (texts[:200], texts[200:])]
+    monkeypatch.setattr(np, "union1d", lambda a, b: merges.append(1) or unique(np.concatenate([a, b])))
+    assert [x for b in indexes._filters(iter([batch])) for x in b.column("bits").to_pylist()] == want
+    assert len(merges) < 10
+    monkeypatch.setattr(indexes, "MERGED", 64)  # merged many times: the same
+    assert [x for b in indexes._filters(iter([batch])) for x in b.column("bits").to_pylist()] == want
+
+
+def test_large_books_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "FILE_ROWS", 10)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        library = store.Library(spark, f"file://{tmp_path}/lib")
+        library.rebuild(chunks(spark, 100).coalesce(1))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [r["file"] for r in library.manifest().where("file is not null").collect()]
+    assert len({f.split("-")[1] for f in files}) > 1
+    assert library.read().count() == 100
