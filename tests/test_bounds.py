@@ -77,3 +77,26 @@ def test_large_books_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
     files = [r["file"] for r in library.manifest().where("file is not null").collect()]
     assert len({f.split("-")[1] for f in files}) > 1
     assert library.read().count() == 100
+
+
+def test_dense_search_holds_few_scores(spark, monkeypatch):
+    """All queries' scores with a piece of the rows were held at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from foliospark.operators import dense
+
+    rng = np.random.default_rng(3)
+    block = [(i, rng.normal(size=4), None, None) for i in range(1000)]
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array([f"c{i}" for i in range(50)]), pa.array(range(50), pa.int64()), pa.array(["A"] * 50), pa.array(["x"] * 50), pa.array([rng.normal(size=4).tolist() for _ in range(50)], pa.list_(pa.float64()))],
+        names=["chunk_id", "corpus_pos", "book_title", "chapter", "embedding"],
+    )
+    sizes, rounded = [], np.round
+    monkeypatch.setattr(dense.np, "round", lambda a, *args, **more: sizes.append(len(a)) or rounded(a, *args, **more))
+    kept: dict = {}
+    dense._keep_best(kept, dense._by_length(block, range(len(block))), rows, 3, 6)
+    assert max(sizes) <= 256 and len(kept) == 1000
+    m = np.array(rows.column("embedding").to_pylist())
+    for i, v, _, _ in block:
+        assert [c for _, _, c in kept[i]] == [f"c{k}" for k in np.argsort(-rounded(m @ v, 6), kind="stable")[:3]]
