@@ -100,3 +100,17 @@ def test_dense_search_holds_few_scores(spark, monkeypatch):
     m = np.array(rows.column("embedding").to_pylist())
     for i, v, _, _ in block:
         assert [c for _, _, c in kept[i]] == [f"c{k}" for k in np.argsort(-rounded(m @ v, 6), kind="stable")[:3]]
+
+
+def test_splitting_is_given_bounded_batches(spark):
+    from foliospark.operators import chunking
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    try:
+        chunking.split_groups(chunks(spark, 2).select("chunk_id", "text"))
+        assert 0 < int(spark.conf.get(name).removesuffix("b")) <= 4 << 20
+    finally:
+        if before is not None:
+            spark.conf.set(name, before)
