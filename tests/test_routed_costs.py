@@ -47,6 +47,19 @@ def test_profiles_are_read_once_for_a_debug_query(spark, chunks, questions):
     assert n.value == profiles.count()
 
 
+def test_profiles_and_chapters_are_read_once_to_ask(spark, chunks, questions):
+    profiles = store.stored(routing.book_profiles(chunks), "profiles")
+    chapters = routing.chapters_in_order(chunks).withColumn("embedding", F.array(F.col("chapter_pos").cast("float"), F.lit(0.5).cast("float")))
+    vectors = store.stored(chapters, "chapters")
+    want = rows(query.ask(chunks, questions, profiles, vectors))
+    (seen, n), (near, m) = counted(profiles, "word"), counted(vectors, "chapter")
+    index = ChunkIndex(chunks.drop("embedding"), chunks)
+    got = query.ask(chunks, questions, seen, near, index=index)
+    index.release()
+    assert rows(got) == want and {r[0] for r in want} == {0, 1, 2, 3}
+    assert n.value == profiles.count() and m.value == vectors.count()
+
+
 def test_one_cut_of_texts_for_postings_and_profiles(spark, chunks, questions):
     seen, n = counted(chunks.drop("embedding"), "text")
     index = ChunkIndex(seen, chunks)
