@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as X
-from foliospark.operators import bm25, fusion, postings, query, routing, store
+from foliospark.operators import bm25, dense, fusion, postings, query, routing, store
 from foliospark.operators.indexes import ChunkIndex
 
 from .test_index_passes import CHUNKS, corpus
@@ -84,6 +84,13 @@ def test_profiles_of_an_index_are_those_of_texts(spark, monkeypatch, size):
     store.dropped(index)
 
 
+def test_filters_that_no_row_of_a_task_passes(spark, chunks, questions):
+    """A worker failed that had rows, but none for its queries."""
+    asked = questions.withColumn("book_filter", F.when(F.col("query_id") > 0, "no book"))
+    assert {r["query_id"] for r in dense.top_k(chunks, asked).collect()} == {0}
+    assert dense.top_k(chunks, asked.where("query_id > 0")).count() == 0
+
+
 def test_numbers_of_few_and_many_keys():
     for below in (10, 10_000_000):
         found, at = postings._numbered(np.array([7, 3, 7, 9, 3]), below)
